@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kpiforge.plans import it, supply_chain
+from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
 from kpiforge.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,42 @@ _reg("it3_monthly_trends", "it", it.monthly_trends)
 _reg("it4_performance", "it", it.performance)
 _reg("it5_recent_tickets", "it", it.recent_tickets)
 _reg("it6_insights", "it", it.insights)
+
+# production
+_reg("pr1_metrics", "production", production.metrics)
+_reg("pr2_distributions", "production", production.distributions)
+_reg("pr3_monthly_trends", "production", production.monthly_trends)
+_reg("pr4_performance", "production", production.performance)
+_reg("pr5_recent_operations", "production", production.recent_operations)
+_reg("pr6_insights", "production", production.insights)
+
+# sales
+_reg("sa1_metrics", "sales", sales.metrics)
+_reg("sa2_distributions", "sales", sales.distributions)
+_reg("sa3_monthly_trends", "sales", sales.monthly_trends)
+_reg("sa4_top_performers", "sales", sales.top_performers)
+_reg("sa5_recent_sales", "sales", sales.recent_sales)
+_reg("sa6_insights", "sales", sales.insights)
+
+# transport
+_reg("tr1_metrics", "transport", transport.metrics)
+_reg("tr2_distributions", "transport", transport.distributions)
+_reg("tr3_by_vehicle", "transport", transport.by_vehicle)
+_reg("tr4_monthly_deliveries", "transport", transport.monthly_deliveries)
+_reg("tr5_insights", "transport", transport.insights)
+_reg("tr6_monthly_service", "transport", transport.monthly_service)
+
+# HR
+_reg("hr1_metrics", "hr", hr.metrics)
+_reg("hr2_distributions", "hr", hr.distributions)
+_reg("hr3_department_insights", "hr", hr.department_insights)
+_reg("hr4_top_performers", "hr", hr.top_performers)
+_reg("hr5_training_recommendations", "hr", hr.training_recommendations)
+_reg("hr5_recommendation_split", "hr", hr.recommendation_split)
+_reg("hr6_training_effectiveness", "hr", hr.training_effectiveness)
+_reg("hr7_insight_records", "hr", hr.insight_records)
+
+# marketing
+_reg("mk1_metrics", "marketing", marketing.metrics)
+_reg("mk2_performance", "marketing", marketing.performance)
+_reg("mk3_recent_campaigns", "marketing", marketing.recent_campaigns)

@@ -116,3 +116,281 @@ t AS (SELECT issue FROM it WHERE issue IS NOT NULL GROUP BY issue
 SELECT 1 AS idx, printf('Average resolution time is %.1f hours', a) AS insight FROM b
 UNION ALL SELECT 2, printf('First call resolution rate is %.1f%%', f) FROM b
 UNION ALL SELECT 3, 'Most common issue is ' || issue FROM t"""
+
+# ---------------------------------------------------------------- production
+PR = """pr AS (
+  SELECT l.l_orderkey AS order_key, l.l_linenumber AS line_number, p.p_type AS product,
+         l.l_quantity AS units, l.l_quantity * l.l_discount AS defects,
+         l.l_linestatus AS line, l.l_returnflag AS shift,
+         100.0 * (1.0 - l.l_tax) AS utilization, CAST(l.l_shipdate AS DATE) AS date,
+         (l.l_quantity - l.l_quantity * l.l_discount) / NULLIF(l.l_quantity, 0) * 100.0 AS eff
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+SQL["pr1_metrics"] = f"""WITH {PR}
+SELECT COUNT(*) AS total_operations, ROUND(AVG(eff), 6) AS avg_efficiency,
+       ROUND(AVG(eff), 6) AS avg_quality_score, ROUND(AVG(utilization), 6) AS avg_machine_utilization
+FROM pr"""
+
+SQL["pr2_distributions"] = f"""WITH {PR}
+SELECT 'product_lines' AS section, product AS key, COUNT(*) AS n FROM pr
+WHERE product IS NOT NULL GROUP BY product
+UNION ALL SELECT 'production_lines', line, COUNT(*) FROM pr WHERE line IS NOT NULL GROUP BY line
+UNION ALL SELECT 'shifts', shift, COUNT(*) FROM pr WHERE shift IS NOT NULL GROUP BY shift"""
+
+SQL["pr3_monthly_trends"] = f"""WITH {PR}
+SELECT CAST(month(date) AS INTEGER) AS month, ROUND(AVG(eff), 6) AS avg_efficiency
+FROM pr GROUP BY 1"""
+
+SQL["pr4_performance"] = f"""WITH {PR}
+SELECT 'by_product' AS section, product AS key, ROUND(AVG(eff), 6) AS avg_efficiency
+FROM pr WHERE product IS NOT NULL GROUP BY product
+UNION ALL SELECT 'by_line', line, ROUND(AVG(eff), 6) FROM pr WHERE line IS NOT NULL GROUP BY line
+UNION ALL SELECT 'by_shift', shift, ROUND(AVG(eff), 6) FROM pr WHERE shift IS NOT NULL GROUP BY shift"""
+
+SQL["pr5_recent_operations"] = f"""WITH {PR}
+SELECT strftime(date, '%Y-%m-%d') AS date, order_key, line_number, product, line, shift, units,
+       ROUND(defects, 6) AS defects, ROUND(eff, 6) AS efficiency_rate,
+       ROUND(eff, 6) AS quality_score
+FROM pr
+ORDER BY pr.date DESC, order_key, line_number, product, line, shift, units, ROUND(defects, 6)
+LIMIT 10"""
+
+SQL["pr6_insights"] = f"""WITH {PR},
+b AS (SELECT AVG(eff) AS e, AVG(utilization) AS u FROM pr),
+t AS (SELECT product FROM pr WHERE product IS NOT NULL GROUP BY product
+      ORDER BY AVG(eff) DESC, product ASC LIMIT 1)
+SELECT 1 AS idx, printf('Average efficiency rate is %.1f%%', e) AS insight FROM b
+UNION ALL SELECT 2, printf('Average quality score is %.1f%%', e) FROM b
+UNION ALL SELECT 3, printf('Average machine utilization is %.1f%%', u) FROM b
+UNION ALL SELECT 4, 'Most efficient product is ' || product FROM t"""
+
+# ---------------------------------------------------------------- sales
+SA = """sa AS (
+  SELECT l.l_orderkey AS order_key, l.l_linenumber AS line_number, p.p_name AS product,
+         r.r_name AS region, s.s_name AS salesperson, CAST(o.o_orderdate AS DATE) AS date,
+         l.l_extendedprice * (1 - l.l_discount) AS revenue, l.l_quantity AS units
+  FROM lineitem l
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+SA_GROUPED = """g AS (
+  SELECT 'top_products' AS section, product AS key, SUM(revenue) AS rev FROM sa
+  WHERE product IS NOT NULL GROUP BY product
+  UNION ALL SELECT 'top_regions', region, SUM(revenue) FROM sa
+  WHERE region IS NOT NULL GROUP BY region
+  UNION ALL SELECT 'top_salespersons', salesperson, SUM(revenue) FROM sa
+  WHERE salesperson IS NOT NULL GROUP BY salesperson),
+ranked AS (
+  SELECT section, key, rev,
+         CAST(row_number() OVER (PARTITION BY section ORDER BY rev DESC, key ASC) AS INTEGER) AS rank
+  FROM g)"""
+
+SQL["sa1_metrics"] = f"""WITH {SA}
+SELECT ROUND(SUM(revenue), 2) AS total_sales, ROUND(SUM(units), 2) AS total_units,
+       ROUND(CASE WHEN SUM(units) > 0 THEN SUM(revenue) / SUM(units) ELSE 0.0 END, 6)
+         AS avg_unit_price,
+       COUNT(*) AS num_transactions
+FROM sa"""
+
+SQL["sa2_distributions"] = f"""WITH {SA}
+SELECT 'by_product' AS section, product AS key, COUNT(*) AS n FROM sa
+WHERE product IS NOT NULL GROUP BY product
+UNION ALL SELECT 'by_region', region, COUNT(*) FROM sa WHERE region IS NOT NULL GROUP BY region
+UNION ALL SELECT 'by_salesperson', salesperson, COUNT(*) FROM sa
+WHERE salesperson IS NOT NULL GROUP BY salesperson"""
+
+SQL["sa3_monthly_trends"] = f"""WITH {SA}
+SELECT strftime(date, '%Y-%m') AS month, ROUND(SUM(revenue), 2) AS revenue FROM sa GROUP BY 1"""
+
+SQL["sa4_top_performers"] = f"""WITH {SA}, {SA_GROUPED}
+SELECT section, key, ROUND(rev, 2) AS revenue, rank FROM ranked WHERE rank <= 5"""
+
+SQL["sa5_recent_sales"] = f"""WITH {SA}
+SELECT strftime(date, '%Y-%m-%d') AS date, product, region, salesperson,
+       ROUND(revenue, 2) AS revenue, units
+FROM sa
+ORDER BY sa.date DESC, product, region, salesperson, ROUND(revenue, 2), units
+LIMIT 10"""
+
+SQL["sa6_insights"] = f"""WITH {SA}, {SA_GROUPED},
+b AS (SELECT SUM(revenue) AS r, SUM(units) AS u,
+             CASE WHEN SUM(units) > 0 THEN SUM(revenue) / SUM(units) ELSE 0.0 END AS p,
+             COUNT(*) AS n FROM sa)
+SELECT 1 AS idx, printf('Total sales revenue: $%.2f', r) AS insight FROM b
+UNION ALL SELECT 2, printf('Total units sold: %d', CAST(ROUND(u, 0) AS BIGINT)) FROM b
+UNION ALL SELECT 3, printf('Average unit price: $%.2f', p) FROM b
+UNION ALL SELECT 4, printf('Number of transactions: %d', n) FROM b
+UNION ALL SELECT 5, 'Top selling product: ' || key FROM ranked
+  WHERE section = 'top_products' AND rank = 1
+UNION ALL SELECT 6, 'Top performing region: ' || key FROM ranked
+  WHERE section = 'top_regions' AND rank = 1
+UNION ALL SELECT 7, 'Top salesperson: ' || key FROM ranked
+  WHERE section = 'top_salespersons' AND rank = 1"""
+
+# ---------------------------------------------------------------- order grain
+OF = """of AS (
+  SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderpriority,
+         COUNT(*) AS f_lines,
+         AVG(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)))
+           AS f_delivery_days,
+         AVG(CAST(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)) <= 0
+                  AS DOUBLE)) * 100.0 AS f_on_time_rate,
+         COUNT(*) FILTER (WHERE date_diff('day', CAST(o.o_orderdate AS DATE),
+                                          CAST(l.l_shipdate AS DATE)) > 0) AS f_late_lines,
+         COUNT(*) FILTER (WHERE l.l_returnflag = 'R') AS f_returned_lines,
+         SUM(l.l_quantity) AS f_quantity, SUM(l.l_extendedprice * l.l_tax) AS f_tax
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderpriority)"""
+
+TR = OF + """,
+tr AS (
+  SELECT of.o_orderkey AS employee_id, c.c_mktsegment AS role,
+         CAST(of.o_orderdate AS DATE) AS entry_date, f_lines AS deliveries,
+         f_delivery_days AS delivery_time, o_orderpriority AS vehicle,
+         CAST(((o_custkey % 10) + 10) % 10 + 1 AS INTEGER) AS condition,
+         f_quantity AS fuel, f_tax AS maintenance, f_on_time_rate AS on_time_rate,
+         f_returned_lines AS incidents
+  FROM of LEFT JOIN customer c ON of.o_custkey = c.c_custkey)"""
+
+SQL["tr1_metrics"] = f"""WITH {TR}
+SELECT CAST(SUM(deliveries) AS BIGINT) AS total_deliveries,
+       ROUND(AVG(delivery_time), 1) AS avg_delivery_time,
+       ROUND(AVG(on_time_rate), 1) AS avg_on_time_rate,
+       CAST(SUM(incidents) AS BIGINT) AS total_incidents
+FROM tr"""
+
+SQL["tr2_distributions"] = f"""WITH {TR}
+SELECT 'vehicle_types' AS section, vehicle AS key, COUNT(*) AS n FROM tr
+WHERE vehicle IS NOT NULL GROUP BY vehicle
+UNION ALL SELECT 'roles', role, COUNT(*) FROM tr WHERE role IS NOT NULL GROUP BY role"""
+
+SQL["tr3_by_vehicle"] = f"""WITH {TR}
+SELECT vehicle, ROUND(AVG(delivery_time), 6) AS avg_delivery_time FROM tr
+WHERE vehicle IS NOT NULL GROUP BY vehicle"""
+
+SQL["tr4_monthly_deliveries"] = f"""WITH {TR}
+SELECT strftime(entry_date, '%Y-%m') AS month, CAST(SUM(deliveries) AS BIGINT) AS deliveries
+FROM tr GROUP BY 1"""
+
+SQL["tr5_insights"] = f"""WITH {TR},
+m AS (SELECT ROUND(AVG(delivery_time), 1) AS t, ROUND(AVG(on_time_rate), 1) AS r,
+             CAST(SUM(incidents) AS BIGINT) AS i FROM tr)
+SELECT 1 AS idx, 'Vehicle Performance' AS title,
+       printf('Average delivery time is %.1f hours with %.1f%% on-time rate.', t, r) AS description,
+       'High' AS impact, 'Improving' AS trend FROM m
+UNION ALL SELECT 2, 'Incident Analysis',
+       printf('Total incidents reported: %d. Focus on preventive maintenance.', i),
+       'Medium', 'Stable' FROM m
+UNION ALL SELECT 3, 'Fleet Utilization',
+       'Analyze vehicle type distribution for optimal resource allocation.',
+       'High', 'Increasing' FROM m"""
+
+SQL["tr6_monthly_service"] = f"""WITH {TR}
+SELECT strftime(entry_date, '%Y-%m') AS month, ROUND(AVG(delivery_time), 6) AS avg_delivery_time,
+       ROUND(AVG(on_time_rate), 6) AS avg_on_time_rate
+FROM tr GROUP BY 1"""
+
+# ---------------------------------------------------------------- HR
+HR = OF + """,
+cf AS (
+  SELECT o_custkey, COUNT(*) AS h_orders, SUM(f_lines) AS h_lines,
+         SUM(f_late_lines) AS h_late_lines, SUM(f_returned_lines) AS h_returned_lines
+  FROM of GROUP BY o_custkey),
+hr AS (
+  SELECT cf.o_custkey AS employee_id, c.c_mktsegment AS department, n.n_name AS position,
+         c.c_acctbal AS salary, h_orders AS performance,
+         CAST(h_lines AS BIGINT) AS training_hours, CAST(h_late_lines AS BIGINT) AS leave_days,
+         CAST(h_returned_lines AS BIGINT) AS overtime_hours,
+         CAST(c.c_acctbal < 0 AS INTEGER) AS resigned
+  FROM cf LEFT JOIN customer c ON cf.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+SQL["hr1_metrics"] = f"""WITH {HR}
+SELECT COUNT(*) AS total_employees,
+       ROUND(AVG(training_hours + overtime_hours - leave_days), 6) AS avg_tenure,
+       ROUND(AVG(training_hours), 6) AS training_completion,
+       ROUND(AVG(performance), 6) AS satisfaction_score
+FROM hr"""
+
+SQL["hr2_distributions"] = f"""WITH {HR}
+SELECT 'departments' AS section, department AS key, COUNT(*) AS n FROM hr
+WHERE department IS NOT NULL GROUP BY department
+UNION ALL SELECT 'performance', CAST(performance AS VARCHAR), COUNT(*) FROM hr
+WHERE performance IS NOT NULL GROUP BY performance"""
+
+SQL["hr3_department_insights"] = f"""WITH {HR}
+SELECT department, ROUND(AVG(performance), 6) AS avg_performance,
+       ROUND(AVG(resigned), 6) AS attrition_rate
+FROM hr WHERE department IS NOT NULL GROUP BY department"""
+
+SQL["hr4_top_performers"] = f"""WITH {HR}
+SELECT employee_id, department, position, CAST(performance AS DOUBLE) AS performance_score
+FROM hr ORDER BY performance DESC, employee_id ASC LIMIT 5"""
+
+SQL["hr5_training_recommendations"] = f"""WITH {HR}
+SELECT employee_id, department, position, CAST(performance AS DOUBLE) AS performance_score,
+       CAST(training_hours AS DOUBLE) AS training_hours
+FROM hr
+WHERE performance < (SELECT AVG(performance) FROM hr)
+  AND leave_days > (SELECT AVG(leave_days) FROM hr)"""
+
+SQL["hr5_recommendation_split"] = f"""WITH {HR},
+f AS (SELECT performance < (SELECT AVG(performance) FROM hr)
+             AND leave_days > (SELECT AVG(leave_days) FROM hr) AS rec FROM hr)
+SELECT COUNT(*) FILTER (WHERE rec) AS recommended,
+       COUNT(*) - COUNT(*) FILTER (WHERE rec) AS others
+FROM f"""
+
+SQL["hr6_training_effectiveness"] = f"""WITH {HR},
+g AS (SELECT training_hours, AVG(performance) AS mp FROM hr GROUP BY training_hours)
+SELECT ROUND(corr(CAST(training_hours AS DOUBLE), mp), 6) AS effectiveness FROM g"""
+
+SQL["hr7_insight_records"] = f"""WITH {HR},
+g AS (SELECT training_hours, AVG(performance) AS mp FROM hr GROUP BY training_hours),
+e AS (SELECT corr(CAST(training_hours AS DOUBLE), mp) AS c FROM g),
+b AS (SELECT AVG(performance) AS p FROM hr)
+SELECT 1 AS idx, 'Performance Analysis' AS title,
+       printf('Average performance score is %.2f', p) AS description,
+       'High' AS impact, 'Stable' AS trend FROM b
+UNION ALL SELECT 2, 'Training Impact', printf('Training effectiveness correlation: %.2f', c),
+       'Medium', 'Improving' FROM e"""
+
+# ---------------------------------------------------------------- marketing
+MK = """cp AS (
+  SELECT o.o_orderpriority AS campaign_type, c.c_mktsegment AS channel,
+         strftime(o.o_orderdate, '%Y-%m') AS month,
+         CAST(MIN(o.o_orderdate) AS DATE) AS start_date,
+         CAST(MAX(o.o_orderdate) AS DATE) AS end_date,
+         SUM(ABS(c.c_acctbal)) AS budget, COUNT(*) AS leads,
+         AVG(CAST(o.o_orderstatus = 'F' AS DOUBLE)) * 100.0 AS conversion_rate,
+         SUM(o.o_totalprice) AS revenue
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  GROUP BY 1, 2, 3),
+mk AS (SELECT *, concat_ws('|', campaign_type, channel, month) AS campaign_id FROM cp)"""
+
+SQL["mk1_metrics"] = f"""WITH {MK}
+SELECT COUNT(*) AS total_campaigns, ROUND(AVG(conversion_rate), 6) AS conversion_rate,
+       ROUND(SUM(budget) / SUM(leads * conversion_rate / 100.0), 6) AS acquisition_cost,
+       ROUND((SUM(revenue) - SUM(budget)) / SUM(budget) * 100.0, 6) AS roi
+FROM mk"""
+
+SQL["mk2_performance"] = f"""WITH {MK}
+SELECT 'campaign_performance' AS section, campaign_type AS key,
+       ROUND(SUM(budget), 2) AS budget, CAST(SUM(leads) AS BIGINT) AS leads,
+       ROUND(SUM(revenue), 2) AS revenue,
+       ROUND((SUM(revenue) - SUM(budget)) / SUM(budget) * 100.0, 6) AS roi
+FROM mk WHERE campaign_type IS NOT NULL GROUP BY campaign_type
+UNION ALL
+SELECT 'channel_effectiveness', channel, ROUND(SUM(budget), 2), CAST(SUM(leads) AS BIGINT),
+       ROUND(SUM(revenue), 2), ROUND((SUM(revenue) - SUM(budget)) / SUM(budget) * 100.0, 6)
+FROM mk WHERE channel IS NOT NULL GROUP BY channel"""
+
+SQL["mk3_recent_campaigns"] = f"""WITH {MK}
+SELECT campaign_id, campaign_type, channel, strftime(start_date, '%Y-%m-%d') AS start_date,
+       ROUND(budget, 2) AS budget, leads, ROUND(conversion_rate, 2) AS conversion_rate,
+       ROUND(revenue, 2) AS revenue
+FROM mk ORDER BY mk.start_date DESC, campaign_id ASC LIMIT 10"""
