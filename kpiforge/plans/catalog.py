@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
+from kpiforge.plans import whatif
 from kpiforge.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +80,7 @@ _reg("hr7_insight_records", "hr", hr.insight_records)
 _reg("mk1_metrics", "marketing", marketing.metrics)
 _reg("mk2_performance", "marketing", marketing.performance)
 _reg("mk3_recent_campaigns", "marketing", marketing.recent_campaigns)
+
+# what-if scenarios over data-derived KPIs
+QUERIES["wi1_projection"] = whatif.projection
+QUERIES["wi3_impacts"] = whatif.impact_table

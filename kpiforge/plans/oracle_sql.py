@@ -246,8 +246,7 @@ OF = """of AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderpriority)"""
 
-TR = OF + """,
-tr AS (
+TR_ONLY = """tr AS (
   SELECT of.o_orderkey AS employee_id, c.c_mktsegment AS role,
          CAST(of.o_orderdate AS DATE) AS entry_date, f_lines AS deliveries,
          f_delivery_days AS delivery_time, o_orderpriority AS vehicle,
@@ -255,6 +254,7 @@ tr AS (
          f_quantity AS fuel, f_tax AS maintenance, f_on_time_rate AS on_time_rate,
          f_returned_lines AS incidents
   FROM of LEFT JOIN customer c ON of.o_custkey = c.c_custkey)"""
+TR = OF + ",\n" + TR_ONLY
 
 SQL["tr1_metrics"] = f"""WITH {TR}
 SELECT CAST(SUM(deliveries) AS BIGINT) AS total_deliveries,
@@ -295,8 +295,7 @@ SELECT strftime(entry_date, '%Y-%m') AS month, ROUND(AVG(delivery_time), 6) AS a
 FROM tr GROUP BY 1"""
 
 # ---------------------------------------------------------------- HR
-HR = OF + """,
-cf AS (
+HR_ONLY = """cf AS (
   SELECT o_custkey, COUNT(*) AS h_orders, SUM(f_lines) AS h_lines,
          SUM(f_late_lines) AS h_late_lines, SUM(f_returned_lines) AS h_returned_lines
   FROM of GROUP BY o_custkey),
@@ -308,6 +307,7 @@ hr AS (
          CAST(c.c_acctbal < 0 AS INTEGER) AS resigned
   FROM cf LEFT JOIN customer c ON cf.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+HR = OF + ",\n" + HR_ONLY
 
 SQL["hr1_metrics"] = f"""WITH {HR}
 SELECT COUNT(*) AS total_employees,
@@ -394,3 +394,60 @@ SELECT campaign_id, campaign_type, channel, strftime(start_date, '%Y-%m-%d') AS
        ROUND(budget, 2) AS budget, leads, ROUND(conversion_rate, 2) AS conversion_rate,
        ROUND(revenue, 2) AS revenue
 FROM mk ORDER BY mk.start_date DESC, campaign_id ASC LIMIT 10"""
+
+# ---------------------------------------------------------------- what-if
+def _whatif_sql() -> str:
+    from kpiforge.operators import whatif as W
+    from kpiforge.plans.whatif import DEFAULT_PCTS
+
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    coef = ",\n    ".join(f"({q(d)}, {q(m)}, {a}, {q(e1)}, {b}, {q(e2)})"
+                           for d, m, a, e1, b, e2, _ in W.COEFFICIENTS)
+    base = ",\n    ".join(f"({q(m)}, {v}, {q(u)})" for m, (v, u) in W.BASE_VALUES.items())
+    pcts = ", ".join(f"{float(p)}" for p in DEFAULT_PCTS)
+    rate_it = RATE.format(cond="hours <= 1")
+    rate_sc = RATE.format(cond="dd <= 0")
+    return f"""WITH {SC}, {IT}, {PR}, {SA}, {OF}, {TR_ONLY}, {HR_ONLY}, {MK},
+kpi AS (
+  SELECT 'it' AS department, 'delivery_time' AS metric, ROUND(AVG(hours), 6) AS current FROM it
+  UNION ALL SELECT 'it', 'efficiency', ROUND({rate_it}, 6) FROM it
+  UNION ALL SELECT 'production', 'efficiency', ROUND(AVG(eff), 6) FROM pr
+  UNION ALL SELECT 'production', 'quality', ROUND(AVG(eff), 6) FROM pr
+  UNION ALL SELECT 'supply_chain', 'cost', ROUND(SUM(total_cost) / COUNT(*), 2) FROM sc
+  UNION ALL SELECT 'supply_chain', 'efficiency', ROUND({rate_sc}, 6) FROM sc
+  UNION ALL SELECT 'transport', 'delivery_time', ROUND(AVG(delivery_time), 6) FROM tr
+  UNION ALL SELECT 'transport', 'efficiency', ROUND(AVG(on_time_rate), 6) FROM tr
+  UNION ALL SELECT 'sales', 'revenue', ROUND(SUM(revenue), 2) FROM sa
+  UNION ALL SELECT 'hr', 'productivity', ROUND(AVG(performance), 6) FROM hr
+  UNION ALL SELECT 'marketing', 'revenue', ROUND(SUM(revenue), 2) FROM mk),
+coef(department, metric, m1, effect1, m2, effect2) AS (VALUES
+    {coef}),
+base(metric, base_value, unit) AS (VALUES
+    {base}),
+pairs AS (SELECT department, metric FROM coef UNION SELECT department, metric FROM kpi),
+grid AS (SELECT department, metric, unnest([{pcts}]) AS pct FROM pairs),
+j AS (
+  SELECT g.department, g.metric, g.pct,
+         CASE WHEN g.department IN (SELECT department FROM coef) THEN g.department ELSE 'it' END
+           AS lookup_department
+  FROM grid g),
+v AS (
+  SELECT j.department, j.metric, j.pct, c.effect1, c.m1, c.effect2, c.m2,
+         COALESCE(k.current, b.base_value, 100.0) AS cur, COALESCE(b.unit, '') AS unit
+  FROM j
+  LEFT JOIN coef c ON c.department = j.lookup_department AND c.metric = j.metric
+  LEFT JOIN base b ON b.metric = j.metric
+  LEFT JOIN kpi k ON k.department = j.department AND k.metric = j.metric)
+SELECT department, metric, pct, cur AS current,
+       cur * (1.0 + pct / 100.0) AS projected, unit,
+       unit || printf('%.1f', cur * (1.0 + pct / 100.0)) AS projected_text,
+       effect1, ROUND(ABS(pct * m1), 6) AS effect1_pct,
+       effect2, ROUND(ABS(pct * m2), 6) AS effect2_pct,
+       CASE WHEN pct >= 0 THEN 'positive' ELSE 'negative' END AS direction,
+       CASE WHEN pct > 0 THEN printf('+%.1f%%', pct) ELSE printf('%.1f%%', pct) END AS change_text
+FROM v"""
+
+
+SQL["wi1_projection"] = _whatif_sql()
