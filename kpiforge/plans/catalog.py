@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
-from kpiforge.plans import whatif
+from kpiforge.plans import models, whatif
 from kpiforge.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,23 @@ _reg("mk3_recent_campaigns", "marketing", marketing.recent_campaigns)
 # what-if scenarios over data-derived KPIs
 QUERIES["wi1_projection"] = whatif.projection
 QUERIES["wi3_impacts"] = whatif.impact_table
+
+# models: deterministic parts (with SQL oracles)
+QUERIES["ml1_label_codes"] = models.label_codes
+QUERIES["ml3_hr_zscores"] = models.hr_zscores
+QUERIES["ml4_split_counts"] = models.split_counts
+QUERIES["ml10_it_baseline_metrics"] = models.it_baseline_metrics
+QUERIES["ml9_supply_baseline_report"] = models.supply_baseline_report
+
+# models: fits (shape-checked only)
+QUERIES["ml5_supply_delay_forest"] = models.supply_delay_forest
+QUERIES["ml6_it_resolution_forest"] = models.it_resolution_forest
+QUERIES["ml6_production_efficiency_forest"] = models.production_efficiency_forest
+QUERIES["ml6_supply_cost_forest"] = models.supply_cost_forest
+QUERIES["ml6_sales_revenue_forest"] = models.sales_revenue_forest
+QUERIES["ml6_hr_performance_forest"] = models.hr_performance_forest
+QUERIES["ml8_hr_attrition_search"] = models.hr_attrition_search
+QUERIES["ml17_transport_models"] = models.transport_models
+QUERIES["ml11_supply_clusters"] = models.supply_clusters
+QUERIES["ml12_hr_cluster_sweep"] = models.hr_cluster_sweep
+QUERIES["ml13_hr_cluster_pca"] = models.hr_cluster_pca

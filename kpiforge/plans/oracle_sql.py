@@ -451,3 +451,69 @@ FROM v"""
 
 
 SQL["wi1_projection"] = _whatif_sql()
+
+# ---------------------------------------------------------------- models (deterministic)
+SPLIT = "(CAST(('0x' || substr(md5(CAST({id} AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) % 100 < 80)"
+
+SQL["ml1_label_codes"] = f"""WITH {HR}
+SELECT employee_id, position, department,
+       CAST(DENSE_RANK() OVER (ORDER BY position) - 1 AS INTEGER) AS position_code,
+       CAST(DENSE_RANK() OVER (ORDER BY department) - 1 AS INTEGER) AS department_code
+FROM hr"""
+
+_Z = ["salary", "performance", "training_hours", "leave_days", "overtime_hours", "active_time"]
+SQL["ml3_hr_zscores"] = f"""WITH {HR},
+h AS (SELECT *, training_hours + overtime_hours - leave_days AS active_time FROM hr)
+SELECT employee_id, """ + ",\n       ".join(
+    f"ROUND((CAST({c} AS DOUBLE) - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER (), 6) AS z_{c}"
+    for c in _Z) + "\nFROM h"
+
+SQL["ml4_split_counts"] = f"""SELECT CASE WHEN {SPLIT.format(id='o_orderkey')}
+            THEN 'train' ELSE 'test' END AS split, COUNT(*) AS n
+FROM orders GROUP BY 1"""
+
+SQL["ml10_it_baseline_metrics"] = f"""WITH {IT},
+d AS (SELECT *, {SPLIT.format(id='ticket_id')} AS train FROM it),
+m AS (SELECT system, AVG(hours) AS prediction FROM d WHERE train GROUP BY system),
+t AS (SELECT d.hours, COALESCE(m.prediction, 0.0) AS prediction
+      FROM d LEFT JOIN m ON d.system = m.system WHERE NOT d.train),
+a AS (SELECT AVG(hours) AS mu FROM t)
+SELECT ROUND(AVG((hours - prediction) * (hours - prediction)), 6) AS mse,
+       ROUND(1.0 - SUM((hours - prediction) * (hours - prediction))
+             / SUM((hours - mu) * (hours - mu)), 6) AS r2,
+       COUNT(*) AS n
+FROM t, a"""
+
+SQL["ml9_supply_baseline_report"] = f"""WITH {SC},
+d AS (SELECT category, CAST(dd > 0 AS INTEGER) AS label,
+             {SPLIT.format(id="concat_ws('-', order_key, line_number)")} AS train FROM sc),
+r AS (SELECT category, AVG(label) AS r FROM d WHERE train GROUP BY category),
+t AS (SELECT d.label, COALESCE(CAST(r.r > 0.5 AS INTEGER), 0) AS prediction
+      FROM d LEFT JOIN r ON d.category = r.category WHERE NOT d.train),
+cm AS (SELECT label AS actual, prediction AS predicted, COUNT(*) AS n FROM t GROUP BY 1, 2),
+cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm),
+per AS (
+  SELECT c,
+         COALESCE((SELECT SUM(n) FROM cm WHERE actual = c), 0) AS support,
+         COALESCE((SELECT SUM(n) FROM cm WHERE predicted = c), 0) AS pred,
+         COALESCE((SELECT SUM(n) FROM cm WHERE actual = c AND predicted = c), 0) AS tp
+  FROM cls),
+p AS (
+  SELECT c, support, tp,
+         CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+  FROM per),
+f AS (SELECT *, CASE WHEN precision + recall > 0
+                     THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM p)
+SELECT CAST(c AS VARCHAR) AS cls, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall,
+       ROUND(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL
+SELECT 'accuracy', ROUND(SUM(tp) / SUM(support), 6), ROUND(SUM(tp) / SUM(support), 6),
+       ROUND(SUM(tp) / SUM(support), 6), CAST(SUM(support) AS BIGINT) FROM f
+UNION ALL
+SELECT 'macro avg', ROUND(AVG(precision), 6), ROUND(AVG(recall), 6), ROUND(AVG(f1), 6),
+       CAST(SUM(support) AS BIGINT) FROM f
+UNION ALL
+SELECT 'weighted avg', ROUND(SUM(precision * support) / SUM(support), 6),
+       ROUND(SUM(recall * support) / SUM(support), 6),
+       ROUND(SUM(f1 * support) / SUM(support), 6), CAST(SUM(support) AS BIGINT) FROM f"""
