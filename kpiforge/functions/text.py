@@ -1,4 +1,9 @@
-"""Text helpers (FN8, FN11, FN12)."""
+"""Text helpers (FN8, FN11, FN12).
+
+Fixed-decimal formats round half-to-even on the value first (``bround``):
+Python's ``format`` (and C ``printf``) resolve exact ties that way, while
+Java's formatter rounds them up (``8.25`` -> ``8.2`` vs ``8.3``).
+"""
 
 from __future__ import annotations
 
@@ -14,17 +19,17 @@ def _c(c: ColumnOrName) -> Column:
 
 def fmt1(c: ColumnOrName) -> Column:
     """``{:.1f}``."""
-    return F.format_string("%.1f", _c(c))
+    return F.format_string("%.1f", F.bround(_c(c), 1))
 
 
 def fmt2(c: ColumnOrName) -> Column:
     """``{:.2f}``."""
-    return F.format_string("%.2f", _c(c))
+    return F.format_string("%.2f", F.bround(_c(c), 2))
 
 
 def money(c: ColumnOrName) -> Column:
     """``${:,.2f}``."""
-    return F.format_string("$%,.2f", _c(c))
+    return F.format_string("$%,.2f", F.bround(_c(c), 2))
 
 
 def safe_name(c: ColumnOrName) -> Column:

@@ -84,9 +84,9 @@ def insight_records(src) -> DataFrame:
     eff = per_hours.agg(F.corr(F.col("training_hours").cast("double"), "mp")).scalar()
     base = df.agg(F.avg("performance").alias("p"))
     rows = [
-        ("Performance Analysis", F.format_string("Average performance score is %.2f", "p"),
+        ("Performance Analysis", F.format_string("Average performance score is %.2f", F.bround("p", 2)),
          "High", "Stable"),
-        ("Training Impact", F.format_string("Training effectiveness correlation: %.2f", eff),
+        ("Training Impact", F.format_string("Training effectiveness correlation: %.2f", F.bround(eff, 2)),
          "Medium", "Improving"),
     ]
     structs = [F.struct(F.lit(i + 1).alias("idx"), F.lit(t).alias("title"),

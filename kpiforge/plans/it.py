@@ -68,7 +68,7 @@ def insights(src) -> DataFrame:
                  .orderBy(F.desc("n"), F.asc("key")).limit(1).select("key"))
     base = df.agg(F.avg("hours").alias("avg"), rate(F.col("hours") <= 1).alias("fcr"))
     return numbered(base, [
-        F.format_string("Average resolution time is %.1f hours", "avg"),
-        F.format_string("First call resolution rate is %.1f%%", "fcr"),
+        F.format_string("Average resolution time is %.1f hours", F.bround("avg", 1)),
+        F.format_string("First call resolution rate is %.1f%%", F.bround("fcr", 1)),
         F.concat(F.lit("Most common issue is "), top_issue.scalar()),
     ])

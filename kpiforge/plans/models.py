@@ -94,13 +94,13 @@ def it_resolution_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def production_efficiency_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML6: efficiency from product, line, shift, month, weekday."""
-    df = testbed.production(spark, sf_dir).frame("order_key", "line_number", "product", "line",
-                                                 "shift", "date", "units", "defects")
+    df = testbed.production(spark, sf_dir).frame("production_id", "product", "line", "shift",
+                                                 "date", "units", "defects")
     df = df.withColumns({"efficiency": efficiency_rate("units", "defects"),
                          "month": month_bucket("date", "month_of_year"),
-                         "weekday": weekday_mon0("date"),
-                         "rid": F.concat_ws("-", "order_key", "line_number")})
-    _, m = forest.fit_evaluate_regression(df.where(F.col("efficiency").isNotNull()), "rid",
+                         "weekday": weekday_mon0("date")})
+    _, m = forest.fit_evaluate_regression(df.where(F.col("efficiency").isNotNull()),
+                                          "production_id",
                                           "efficiency", ["month", "weekday"],
                                           ["product", "line", "shift"], scale=True, max_depth=8)
     return m
@@ -154,16 +154,19 @@ def hr_attrition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML5 + ML8: attrition classifier, 4 sampled grid points x 3-fold CV.
 
     Class imbalance is handled with inverse-frequency row weights (exact,
-    one aggregation) instead of synthetic oversampling.
+    one aggregation) instead of synthetic oversampling. On the test binding
+    ``resigned`` is derived from the account balance that also feeds
+    ``salary``, so salary is left out of the features (it would leak).
     """
-    df = zscore(_hr(spark, sf_dir), HR_NUMERIC).withColumn("label", F.col("resigned").cast("double"))
+    feats = [c for c in HR_NUMERIC if c != "salary"]
+    df = zscore(_hr(spark, sf_dir), feats).withColumn("label", F.col("resigned").cast("double"))
     pos_rate = df.agg(F.avg("label")).scalar()
     df = df.withColumn("w", F.when(F.col("label") == 1, 0.5 / pos_rate)
                        .otherwise(0.5 / (F.lit(1.0) - pos_rate)))
     train = df.where(is_train("employee_id", SEED))
     test = df.where(~is_train("employee_id", SEED))
     rf = forest.classifier("label", seed=SEED, weight_col="w")
-    pipe = forest.pipeline([f"z_{c}" for c in HR_NUMERIC], ["department", "position"], rf)
+    pipe = forest.pipeline([f"z_{c}" for c in feats], ["department", "position"], rf)
     grid = {"numTrees": [100, 150], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2]}
     cv = search.random_search(pipe, rf, grid, "label", n_iter=4, folds=3, seed=SEED)
     best = cv.fit(train).bestModel

@@ -119,7 +119,7 @@ UNION ALL SELECT 3, 'Most common issue is ' || issue FROM t"""
 
 # ---------------------------------------------------------------- production
 PR = """pr AS (
-  SELECT l.l_orderkey AS order_key, l.l_linenumber AS line_number, p.p_type AS product,
+  SELECT concat_ws('-', l.l_orderkey, l.l_linenumber) AS production_id, p.p_type AS product,
          l.l_quantity AS units, l.l_quantity * l.l_discount AS defects,
          l.l_linestatus AS line, l.l_returnflag AS shift,
          100.0 * (1.0 - l.l_tax) AS utilization, CAST(l.l_shipdate AS DATE) AS date,
@@ -148,11 +148,11 @@ UNION ALL SELECT 'by_line', line, ROUND(AVG(eff), 6) FROM pr WHERE line IS NOT N
 UNION ALL SELECT 'by_shift', shift, ROUND(AVG(eff), 6) FROM pr WHERE shift IS NOT NULL GROUP BY shift"""
 
 SQL["pr5_recent_operations"] = f"""WITH {PR}
-SELECT strftime(date, '%Y-%m-%d') AS date, order_key, line_number, product, line, shift, units,
+SELECT strftime(date, '%Y-%m-%d') AS date, production_id, product, line, shift, units,
        ROUND(defects, 6) AS defects, ROUND(eff, 6) AS efficiency_rate,
        ROUND(eff, 6) AS quality_score
 FROM pr
-ORDER BY pr.date DESC, order_key, line_number, product, line, shift, units, ROUND(defects, 6)
+ORDER BY pr.date DESC, production_id, product, line, shift, units, ROUND(defects, 6)
 LIMIT 10"""
 
 SQL["pr6_insights"] = f"""WITH {PR},
@@ -476,13 +476,12 @@ SQL["ml10_it_baseline_metrics"] = f"""WITH {IT},
 d AS (SELECT *, {SPLIT.format(id='ticket_id')} AS train FROM it),
 m AS (SELECT system, AVG(hours) AS prediction FROM d WHERE train GROUP BY system),
 t AS (SELECT d.hours, COALESCE(m.prediction, 0.0) AS prediction
-      FROM d LEFT JOIN m ON d.system = m.system WHERE NOT d.train),
-a AS (SELECT AVG(hours) AS mu FROM t)
+      FROM d LEFT JOIN m ON d.system = m.system WHERE NOT d.train)
 SELECT ROUND(AVG((hours - prediction) * (hours - prediction)), 6) AS mse,
        ROUND(1.0 - SUM((hours - prediction) * (hours - prediction))
-             / SUM((hours - mu) * (hours - mu)), 6) AS r2,
+             / (VAR_POP(hours) * COUNT(*)), 6) AS r2,
        COUNT(*) AS n
-FROM t, a"""
+FROM t"""
 
 SQL["ml9_supply_baseline_report"] = f"""WITH {SC},
 d AS (SELECT category, CAST(dd > 0 AS INTEGER) AS label,

@@ -1,7 +1,7 @@
 """Production operations pack (PR1-PR6, PRJ6).
 
-Roles: product, units, defects, line, shift, utilization, date
-(+ order_key, line_number as tie keys).
+Roles: production_id, product, units, defects, line, shift, utilization,
+date.
 """
 
 from __future__ import annotations
@@ -63,14 +63,13 @@ def performance(src) -> DataFrame:
 
 def recent_operations(src, n: int = 10) -> DataFrame:
     """PR5: latest operations, date ``YYYY-MM-DD``; ties broken on every column."""
-    df = src.frame("order_key", "line_number", "date", "product", "line", "shift", "units",
-                   "defects")
-    shaped = df.select("date", "order_key", "line_number", "product", "line", "shift", "units",
+    df = src.frame("production_id", "date", "product", "line", "shift", "units", "defects")
+    shaped = df.select("date", "production_id", "product", "line", "shift", "units",
                        F.round("defects", MEAN_DIGITS).alias("defects"),
                        F.round(_eff(), MEAN_DIGITS).alias("efficiency_rate"),
                        F.round(_eff(), MEAN_DIGITS).alias("quality_score"))
-    top = recent(shaped, "date", n, tie=["order_key", "line_number", "product", "line", "shift",
-                                         "units", "defects"])
+    top = recent(shaped, "date", n, tie=["production_id", "product", "line", "shift", "units",
+                                         "defects"])
     return top.withColumn("date", fmt_date("date"))
 
 
@@ -81,8 +80,8 @@ def insights(src) -> DataFrame:
     best = arg_max(by_product, "product", "m").select("product")
     base = df.agg(F.avg(_eff()).alias("e"), F.avg("utilization").alias("u"))
     return numbered(base, [
-        F.format_string("Average efficiency rate is %.1f%%", "e"),
-        F.format_string("Average quality score is %.1f%%", "e"),
-        F.format_string("Average machine utilization is %.1f%%", "u"),
+        F.format_string("Average efficiency rate is %.1f%%", F.bround("e", 1)),
+        F.format_string("Average quality score is %.1f%%", F.bround("e", 1)),
+        F.format_string("Average machine utilization is %.1f%%", F.bround("u", 1)),
         F.concat(F.lit("Most efficient product is "), best.scalar()),
     ])

@@ -82,9 +82,9 @@ def insights(src) -> DataFrame:
     base = df.agg(rev.alias("r"), units.alias("u"), safe_ratio(rev, units).alias("p"),
                   F.count(F.lit(1)).alias("n"))
     return numbered(base, [
-        F.format_string("Total sales revenue: $%.2f", "r"),
+        F.format_string("Total sales revenue: $%.2f", F.bround("r", 2)),
         F.format_string("Total units sold: %d", F.round("u", 0).cast("long")),
-        F.format_string("Average unit price: $%.2f", "p"),
+        F.format_string("Average unit price: $%.2f", F.bround("p", 2)),
         F.format_string("Number of transactions: %d", "n"),
         F.concat(F.lit("Top selling product: "), top_of("top_products")),
         F.concat(F.lit("Top performing region: "), top_of("top_regions")),

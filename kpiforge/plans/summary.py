@@ -83,8 +83,7 @@ def _sections(department: str) -> list[Callable]:
                 lambda s: long_form(m.insights(s), d, "insights", key="idx"),
                 lambda s: _recs(s, d),
                 lambda s: long_form(m.recent_operations(s), d, "recent_operations",
-                                    order=[F.desc("date"), F.asc("order_key"),
-                                           F.asc("line_number")])]
+                                    order=[F.desc("date"), F.asc("production_id")])]
     if d == "sales":
         m = sales
         return [lambda s: long_form(m.metrics(s), d, "metrics"),
@@ -99,9 +98,9 @@ def _sections(department: str) -> list[Callable]:
         m = transport
         return [lambda s: long_form(m.metrics(s), d, "metrics"),
                 lambda s: long_form(m.distributions(s), d, "distributions", "section", "key"),
-                lambda s: long_form(m.by_vehicle(s), d, "performance", "by_vehicle_type",
+                lambda s: long_form(m.by_vehicle(s), d, "performance", F.lit("by_vehicle_type"),
                                     key="vehicle"),
-                lambda s: long_form(m.monthly_deliveries(s), d, "performance", "monthly_trends",
+                lambda s: long_form(m.monthly_deliveries(s), d, "performance", F.lit("monthly_trends"),
                                     key="month"),
                 lambda s: long_form(m.monthly_service(s), d, "trends", key="month"),
                 lambda s: long_form(m.insights(s), d, "insights", key="idx"),
@@ -114,7 +113,7 @@ def _sections(department: str) -> list[Callable]:
                                     key="department"),
                 lambda s: long_form(m.top_performers(s), d, "top_performers",
                                     order=[F.desc("performance_score"), F.asc("employee_id")]),
-                lambda s: long_form(m.training_effectiveness(s), d, "trends", "training"),
+                lambda s: long_form(m.training_effectiveness(s), d, "trends", F.lit("training")),
                 lambda s: long_form(m.insight_records(s), d, "insights", key="idx"),
                 lambda s: _recs(s, d),
                 lambda s: long_form(m.training_recommendations(s), d, "training_recommendations",

@@ -71,15 +71,16 @@ def analysis(src) -> DataFrame:
     by_cat = (df.where(F.col("category").isNotNull())
                 .groupBy("category").agg(F.avg(_delay()).alias("d")))
     worst = arg_max(by_cat, "category", "d").select(
-        F.format_string("%s (%.1f days)", "category", "d"))
+        F.format_string("%s (%.1f days)", "category", F.bround("d", 1)))
     cost = mean_above_median(df, "total_cost").select(
         F.format_string("%s ($%,.2f)",
-                        F.when(F.col("above_median"), "High").otherwise("Low"), "mean"))
+                        F.when(F.col("above_median"), "High").otherwise("Low"),
+                        F.bround("mean", 2)))
     on_time = df.agg(rate(_delay() <= 0).alias("r"))
     verdict = F.when(F.col("r") >= 90, "Good").otherwise("Needs Improvement")
     return on_time.select(worst.scalar().alias("worst_performing_category"),
                           cost.scalar().alias("cost_efficiency"),
-                          F.format_string("%s (%.1f%%)", verdict, "r").alias("delivery_performance"))
+                          F.format_string("%s (%.1f%%)", verdict, F.bround("r", 1)).alias("delivery_performance"))
 
 
 def recent_orders(src, n: int = 10) -> DataFrame:

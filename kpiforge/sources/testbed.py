@@ -94,8 +94,8 @@ def production(spark: SparkSession, sf_dir: str) -> StarSource:
         fact=lambda: t("lineitem"),
         dims={"part": Dim(lambda: t("part"), [("l_partkey", "p_partkey")])},
         roles={
-            "order_key": Role(F.col("l_orderkey")),
-            "line_number": Role(F.col("l_linenumber")),
+            "production_id": Role(F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                              F.col("l_linenumber").cast("string"))),
             "product": Role(F.col("p_type"), ("part",)),
             "units": Role(F.col("l_quantity")),
             "defects": Role(F.col("l_quantity") * F.col("l_discount")),
