@@ -75,6 +75,7 @@ _reg("hr5_training_recommendations", "hr", hr.training_recommendations)
 _reg("hr5_recommendation_split", "hr", hr.recommendation_split)
 _reg("hr6_training_effectiveness", "hr", hr.training_effectiveness)
 _reg("hr7_insight_records", "hr", hr.insight_records)
+_reg("hr8_days_since_hired", "hr", hr.days_since_hired)
 
 # marketing
 _reg("mk1_metrics", "marketing", marketing.metrics)
@@ -104,3 +105,5 @@ QUERIES["ml17_transport_models"] = models.transport_models
 QUERIES["ml11_supply_clusters"] = models.supply_clusters
 QUERIES["ml12_hr_cluster_sweep"] = models.hr_cluster_sweep
 QUERIES["ml13_hr_cluster_pca"] = models.hr_cluster_pca
+QUERIES["ml18_hr_tenure_clusters"] = models.hr_tenure_clusters
+QUERIES["ml19_hr_salary_forest"] = models.hr_salary_forest

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiforge.functions import days_since, fmt_date
 from kpiforge.operators.aggregate import value_counts_multi
 from kpiforge.operators.derive import flag_low_high, recommended_split, total_active_time
 from kpiforge.operators.topk import top_n
@@ -20,6 +21,17 @@ def _active():
     return total_active_time("training_hours", "overtime_hours", "leave_days")
 
 
+# Fixed value: as-of date of the reference's days-since-hired artifact.
+AS_OF = "2025-05-20"
+
+
+def days_since_hired(src, as_of: str = AS_OF) -> DataFrame:
+    """PRJ15: days from the hire date to ``as_of`` per employee."""
+    df = src.frame("employee_id", "hired")
+    return df.select("employee_id", fmt_date("hired").alias("hired"),
+                     days_since("hired", as_of).alias("days_since_hired"))
+
+
 def metrics(src) -> DataFrame:
     """HR1: employees, mean active time, mean training hours, mean performance."""
     df = src.frame("training_hours", "overtime_hours", "leave_days", "performance")

@@ -27,7 +27,7 @@ SEED = 42
 def _hr(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = testbed.hr(spark, sf_dir)
     df = src.frame("employee_id", "department", "position", "salary", "performance",
-                   "training_hours", "leave_days", "overtime_hours", "resigned")
+                   "training_hours", "leave_days", "overtime_hours", "resigned", "hired")
     return df.withColumn("active_time",
                          total_active_time("training_hours", "overtime_hours", "leave_days"))
 
@@ -218,3 +218,23 @@ def hr_cluster_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = cluster.kmeans(data, k)
     out = cluster.pca_2d(model.transform(data), ["employee_id", "cluster"])
     return out
+
+
+def hr_tenure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML18: k=4 groups on the z-scored HR columns plus days since hired (PRJ15)."""
+    from kpiforge.functions import days_since
+    from kpiforge.plans.hr import AS_OF
+    df = _hr(spark, sf_dir).withColumn("tenure_days", days_since("hired", AS_OF))
+    cols = HR_NUMERIC + ["tenure_days"]
+    data = cluster.assemble(zscore(df, cols), [f"z_{c}" for c in cols])
+    return cluster.cluster_counts(cluster.kmeans(data, 4), data)
+
+
+def hr_salary_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML19: salary regression from the other HR columns (actual vs predicted metrics)."""
+    feats = [c for c in HR_NUMERIC if c != "salary"]
+    df = zscore(_hr(spark, sf_dir), feats)
+    _, m = forest.fit_evaluate_regression(df, "employee_id", "salary",
+                                          [f"z_{c}" for c in feats],
+                                          ["department", "position"], max_depth=5)
+    return m

@@ -296,12 +296,13 @@ FROM tr GROUP BY 1"""
 
 # ---------------------------------------------------------------- HR
 HR_ONLY = """cf AS (
-  SELECT o_custkey, COUNT(*) AS h_orders, SUM(f_lines) AS h_lines,
+  SELECT o_custkey, COUNT(*) AS h_orders, MIN(o_orderdate) AS h_first_order,
+         SUM(f_lines) AS h_lines,
          SUM(f_late_lines) AS h_late_lines, SUM(f_returned_lines) AS h_returned_lines
   FROM of GROUP BY o_custkey),
 hr AS (
   SELECT cf.o_custkey AS employee_id, c.c_mktsegment AS department, n.n_name AS position,
-         c.c_acctbal AS salary, h_orders AS performance,
+         c.c_acctbal AS salary, CAST(h_first_order AS DATE) AS hired, h_orders AS performance,
          CAST(h_lines AS BIGINT) AS training_hours, CAST(h_late_lines AS BIGINT) AS leave_days,
          CAST(h_returned_lines AS BIGINT) AS overtime_hours,
          CAST(c.c_acctbal < 0 AS INTEGER) AS resigned
@@ -359,6 +360,11 @@ SELECT 1 AS idx, 'Performance Analysis' AS title,
 UNION ALL SELECT 2, 'Training Impact', printf('Training effectiveness correlation: %.2f', c),
        'Medium', 'Improving' FROM e"""
 
+SQL["hr8_days_since_hired"] = f"""WITH {HR}
+SELECT employee_id, strftime(hired, '%Y-%m-%d') AS hired,
+       CAST(date_diff('day', hired, DATE '2025-05-20') AS INTEGER) AS days_since_hired
+FROM hr"""
+
 # ---------------------------------------------------------------- marketing
 MK = """cp AS (
   SELECT o.o_orderpriority AS campaign_type, c.c_mktsegment AS channel,

@@ -175,6 +175,7 @@ def customer_facts(t: Tables) -> DataFrame:
     return (order_facts(t)
             .groupBy("o_custkey")
             .agg(F.count(F.lit(1)).alias("h_orders"),
+                 F.min("o_orderdate").alias("h_first_order"),
                  F.sum("f_lines").alias("h_lines"),
                  F.sum("f_late_lines").alias("h_late_lines"),
                  F.sum("f_returned_lines").alias("h_returned_lines")))
@@ -194,6 +195,7 @@ def hr(spark: SparkSession, sf_dir: str) -> StarSource:
             "department": Role(F.col("c_mktsegment"), ("customer",)),
             "position": Role(F.col("n_name"), ("nation",)),
             "salary": Role(F.col("c_acctbal"), ("customer",)),
+            "hired": Role(_date("h_first_order")),
             "performance": Role(F.col("h_orders")),
             "training_hours": Role(F.col("h_lines")),
             "leave_days": Role(F.col("h_late_lines")),
