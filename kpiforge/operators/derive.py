@@ -68,12 +68,11 @@ def description(item: ColumnOrName, supplier: ColumnOrName) -> Column:
 def flag_low_high(df: DataFrame, low_col: str, high_col: str, alias: str = "flag") -> DataFrame:
     """PRJ10 / JN4: ``low_col < mean(low_col) AND high_col > mean(high_col)``.
 
-    The two global means are scalar subqueries (one small aggregation each,
-    planned once), not a join, so no row pairs and nothing to broadcast.
+    Both global means come from one aggregation used as a scalar subquery
+    (a struct), not a join, so no row pairs and nothing to broadcast.
     """
-    m_low = df.agg(F.avg(low_col)).scalar()
-    m_high = df.agg(F.avg(high_col)).scalar()
-    return df.withColumn(alias, (F.col(low_col) < m_low) & (F.col(high_col) > m_high))
+    m = df.agg(F.struct(F.avg(low_col).alias("low"), F.avg(high_col).alias("high"))).scalar()
+    return df.withColumn(alias, (F.col(low_col) < m["low"]) & (F.col(high_col) > m["high"]))
 
 
 def recommended_split(df: DataFrame, flag: str) -> DataFrame:

@@ -522,3 +522,35 @@ UNION ALL
 SELECT 'weighted avg', ROUND(SUM(precision * support) / SUM(support), 6),
        ROUND(SUM(recall * support) / SUM(support), 6),
        ROUND(SUM(f1 * support) / SUM(support), 6), CAST(SUM(support) AS BIGINT) FROM f"""
+
+
+def _impacts_sql() -> str:
+    from kpiforge.operators import whatif as W
+    from kpiforge.plans.whatif import DEFAULT_PCTS
+
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    full = _whatif_sql()
+    kpi_ctes = full[:full.index("coef(department")].rstrip().rstrip(",")
+    coef = ",\n    ".join(f"({q(d)}, {q(m)}, {list(imp)})"
+                           for d, m, _, _, _, _, imp in W.COEFFICIENTS)
+    pcts = ", ".join(f"{float(p)}" for p in DEFAULT_PCTS)
+    labels = "[" + ", ".join(q(x) for x in W.IMPACT_LABELS) + "]"
+    return f"""{kpi_ctes},
+coef(department, metric, impacts) AS (VALUES
+    {coef}),
+grid AS (SELECT department, metric, unnest([{pcts}]) AS pct FROM kpi),
+j AS (
+  SELECT g.*, CASE WHEN g.department IN (SELECT department FROM coef) THEN g.department
+                   ELSE 'it' END AS lk
+  FROM grid g),
+v AS (
+  SELECT j.department, j.metric, j.pct, COALESCE(c.impacts, {list(W.FALLBACK_IMPACTS)}) AS imp
+  FROM j LEFT JOIN coef c ON c.department = j.lk AND c.metric = j.metric)
+SELECT department, metric, pct, CAST(t.i AS INTEGER) AS idx,
+       ({labels})[t.i] AS impact_label, CAST(imp[t.i] AS INTEGER) AS impact
+FROM v, range(1, 7) t(i)"""
+
+
+SQL["wi3_impacts"] = _impacts_sql()

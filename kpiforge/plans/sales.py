@@ -74,9 +74,12 @@ def insights(src) -> DataFrame:
     """SA6: four KPI strings plus the top product, region and salesperson."""
     df = src.frame("revenue", "units")
     best = top_per_section(_grouped_revenue(src), "revenue", 1)
+    # one subquery (a struct of the three winners) instead of one per section
+    tops = best.agg(F.struct(*[F.max(F.when(F.col("section") == s, F.col("key"))).alias(s)
+                               for s in SECTIONS]).alias("t")).scalar()
 
     def top_of(section: str):
-        return best.where(F.col("section") == section).select("key").scalar()
+        return tops[section]
 
     rev, units = F.sum("revenue"), F.sum("units")
     base = df.agg(rev.alias("r"), units.alias("u"), safe_ratio(rev, units).alias("p"),

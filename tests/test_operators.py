@@ -114,3 +114,19 @@ def test_scope_to(spark):
     df = spark.createDataFrame([("hr",), ("it",)], "department string")
     assert scope_to(df, "hr", False).count() == 1
     assert scope_to(df, "hr", True).count() == 2
+
+
+def test_projection_helpers_and_logs_join(spark):
+    from kpiforge.functions.dates import iso_or_null
+    from kpiforge.operators.derive import cast_columns, drop_columns, project
+    from kpiforge.operators.joins import logs_with_users
+    df = spark.createDataFrame([(1, "7", None)], "id int, n string, ts timestamp")
+    out = cast_columns(drop_columns(df, ["ts"]), {"n": "int"})
+    assert out.dtypes == [("id", "int"), ("n", "int")]
+    assert project(out, ["n"]).columns == ["n"]
+    assert df.select(iso_or_null("ts").alias("iso")).first().iso is None
+    logs = spark.createDataFrame([(1, "login"), (2, "upload"), (None, "anon")],
+                                 "user_id int, action string")
+    users = spark.createDataFrame([(1, "a@x")], "id int, email string")
+    rows = {r.action: r.email for r in logs_with_users(logs, users).collect()}
+    assert rows == {"login": "a@x", "upload": None, "anon": None}
