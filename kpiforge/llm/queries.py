@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import mixing, urls
+from kpiforge.llm import mixing, secret_scan, token_files, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,46 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("taken").cast("long").alias("taken"), "source", "copies")
 
 
+def tokenizer_path() -> str:
+    """The production tokenizer's file: the public vocabulary that the installed package names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as Simple-8b token files, read back."""
+    return token_files.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_query
+def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back through the verified record chains."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op5_warc_records"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+g AS (SELECT h, max(page_id) AS last FROM d GROUP BY h),
+b AS (SELECT h, last, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS digest
+      FROM g)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d JOIN b USING (h)
+"""
+
+
+@_query
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known secret formats and random-looking strings of every document."""
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
 @_query
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict for every page's URL."""
