@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import mixing, secret_scan, token_files, urls, warc
+from kpiforge.llm import mixing, secret_scan, tiling, token_files, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that cover half of a benchmark item or more, in any order of its pieces."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        F.col("id").alias("doc_id"), "n_items", "best_item", F.round("coverage", 6).alias("coverage"), "n_tiles")
+
+
 @_query
 def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back through the verified record chains."""
