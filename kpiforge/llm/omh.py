@@ -1,59 +1,281 @@
-"""Near-duplicate classes by Order MinHash, verified by banded alignment."""
+"""Near-duplicate classes by Order MinHash, verified by banded alignment.
+
+A text's k-mers are its five-word windows, each labelled with its occurrence, so that a
+repeated window counts as often as it occurs. A sketch takes the ``PICK`` k-mers with the
+smallest hashes and keeps them in text order: two texts agree on it if they share these k-mers
+*and* their order, which follows edit similarity closer than the set does. Each of ``SKETCHES``
+sketches deals the texts into buckets.
+
+Candidates: a bucket's most central text (the one in the largest buckets) is compared with the
+others of the bucket; no bucket's pairs are spelled out, so a group of copies costs its size,
+not its square. Texts that fail against a centre go on in finer buckets (agreement on two, then
+three sketches), with a centre taken among those that failed.
+
+Verification: the shared labelled k-mers within a band around the diagonal are aligned (longest
+chain that rises in both texts); similarity is the aligned k-mers over all k-mers of both, and
+``SIMILARITY`` or more is a link. Classes are the connected components of the links.
+
+Equal texts are one node with many rows. Only nodes are sketched, compared and linked.
+
+Defined cases: a null text is an empty one; texts of fewer than five words are in a class with
+equal texts only; a class's id is its smallest document id, null if it has none; repeated rows
+are rows of one class; empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left
+from itertools import combinations
+
 import numpy as np
-import xxhash
-from kpiforge.llm.common import words
-from kpiforge.llm.tiling import rolling
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from kpiforge.llm.common import broadcast_if_small, per_batch, staged, words
+from kpiforge.llm.tiling import WordHashes, rolling
 
-K, L, M = 5, 3, 16
+K = 5
+PICK = 3
+SKETCHES = 16
 SIMILARITY = 0.8
-_SALT = np.random.default_rng(20240229).integers(1, 1 << 63, size=M, dtype=np.uint64) | np.uint64(1)
+SEED = 20240229
+#: Sketch combinations of the finer buckets.
+PAIRS = list(combinations(range(SKETCHES), 2))
+TRIPLES = [(i, (i + s) % SKETCHES, (i + t) % SKETCHES) for i in range(SKETCHES)
+           for s, t in ((1, 3), (1, 7), (2, 7), (3, 8), (4, 10), (5, 11), (6, 13))]
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
 
-def labelled(tokens, cache=None):
-    h = np.fromiter((cache[t] for t in tokens) if cache is not None else (xxhash.xxh3_64_intdigest(t) for t in tokens), dtype=np.uint64, count=len(tokens))
-    k = rolling(h, min(K, len(h)))
+
+# ---------------------------------------------------------------- one text
+
+def labelled_kmers(tokens: list[str], cache: WordHashes) -> np.ndarray:
+    """Hashes of the windows of ``K`` words in text order, each with its occurrence number mixed in."""
+    if len(tokens) < K:
+        return np.empty(0, dtype=np.uint64)
+    k = rolling(np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens)), K)
     order = np.argsort(k, kind="stable")
-    s = k[order]
-    first = np.r_[True, s[1:] != s[:-1]]
+    ranked = k[order]
+    first = np.r_[True, ranked[1:] != ranked[:-1]]
     if not first.all():
-        at = np.arange(len(s))
-        occ = at - np.maximum.accumulate(np.where(first, at, 0))
-        lab = np.empty(len(s), np.uint64); lab[order] = occ.astype(np.uint64)
-        k = k + lab * np.uint64(0xD6E8FEB86659FD93)
+        at = np.arange(len(k))
+        occurrence = np.empty(len(k), dtype=np.uint64)
+        occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+        k = k + occurrence * np.uint64(0xD6E8FEB86659FD93)
     return k
 
-def sketches(k, m=M, l=L):
-    if len(k) <= l:
-        pick = np.broadcast_to(np.arange(len(k)), (m, len(k)))
+
+def sketches(kmers: np.ndarray) -> np.ndarray:
+    """The ``SKETCHES`` hashes of the smallest k-mers in text order (all k-mers of a shorter text)."""
+    if len(kmers) <= PICK:
+        pick = np.broadcast_to(np.arange(len(kmers)), (SKETCHES, len(kmers)))
     else:
-        x = k[None, :] * _SALT[:m, None]
+        x = kmers[None, :] * _MULTIPLIERS[:, None]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9FB21C651E98DF25)
         x ^= x >> np.uint64(29)
-        pick = np.sort(np.argpartition(x, l - 1, axis=1)[:, :l], axis=1)
-    out = np.full(m, 17, np.uint64)
+        pick = np.sort(np.argpartition(x, PICK - 1, axis=1)[:, :PICK], axis=1)
+    out = np.full(SKETCHES, 17, dtype=np.uint64)
     for j in range(pick.shape[1]):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + k[pick[:, j]]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + kmers[pick[:, j]]
         out ^= out >> np.uint64(31)
     return out
 
-def aligned(a, b, band):
-    """in-order common labelled k-mers within the band (LIS)."""
-    from bisect import bisect_left
-    ia = np.argsort(a, kind="stable"); 
-    pos = np.searchsorted(a[ia], b); pos[pos == len(a)] = 0
-    ok = a[ia][pos] == b
-    i = ia[pos[ok]]; j = np.flatnonzero(ok)
-    near = np.abs(i - j) <= band
-    seq = i[near].tolist()
-    tails = []
-    for x in seq:
+
+def alignment(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common chain of labelled k-mers that stays within ``band`` of the diagonal."""
+    order = np.argsort(a, kind="stable")
+    place = np.minimum(np.searchsorted(a, b, sorter=order), len(a) - 1)
+    i = order[place]
+    j = np.flatnonzero((a[i] == b) & (np.abs(i - np.arange(len(b))) <= band))
+    tails: list[int] = []
+    for x in i[j].tolist():
         p = bisect_left(tails, x)
-        if p == len(tails): tails.append(x)
-        else: tails[p] = x
+        if p == len(tails):
+            tails.append(x)
+        else:
+            tails[p] = x
     return len(tails)
 
-def similarity(a, b):
-    n, m = len(a), len(b)
-    if min(n, m) < SIMILARITY * max(n, m): return 0.0
-    c = aligned(a, b, int((1 - SIMILARITY) * max(n, m)) + 1)
-    return c / (n + m - c)
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Aligned k-mers over all k-mers of both texts; 0 where lengths alone keep it below ``least``."""
+    short, long = sorted((len(a), len(b)))
+    if not short or short < least * long:
+        return 0.0
+    common = alignment(a, b, int((1 - least) * long) + 1)
+    return common / (short + long - common)
+
+
+# ---------------------------------------------------------------- nodes and candidates
+
+def node_of(text: Column) -> Column:
+    """A text's node: equal texts share it."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, n, sketch) per row; ``sketch`` is null for texts of fewer than ``K`` words."""
+    cache = WordHashes()
+
+    def run(batches):
+        for batch in batches:
+            n, out = [], []
+            for text in batch.column(2):
+                kmers = labelled_kmers(words(text.as_py()), cache)
+                n.append(len(kmers))
+                out.append(sketches(kmers).view(np.int64) if len(kmers) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.int64()))],
+                ["id", "node", "n", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), node_of(F.col(text_col)).alias("node"),
+                       F.col(text_col).alias("text"))
+    return per_batch(rows, run, "id long, node binary, n int, sketch array<long>")
+
+
+def _dealt(nodes: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
+    """``nodes`` once for each bucket: the hash of the sketches of each combination."""
+    hashes = F.array(*(F.xxhash64(F.lit(k), *(F.col("sketch")[i] for i in c)) for k, c in enumerate(combos)))
+    return nodes.select("node", "n", "pop", "label", F.explode(hashes).alias("bucket"))
+
+
+def _candidates(nodes: DataFrame, combos: list[tuple[int, ...]], first: bool) -> DataFrame:
+    """Distinct pairs (a, b): each bucket's centre with its members of another label.
+
+    ``first``: the centre is the most central text; else the most central of those whose label isn't its.
+    """
+    rows = _dealt(nodes, combos)
+    top = F.max(F.struct("pop", "node", "n", "label"))
+    mixed = (rows.groupBy("bucket").agg(top.alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+             .where("l0 != l1").select("bucket", "top"))
+    if not first:
+        mixed = (rows.join(mixed, "bucket").where("label != top.label")
+                 .groupBy("bucket").agg(top.alias("top")))
+    near = F.least("n", "top.n") >= F.lit(SIMILARITY) * F.greatest("n", "top.n")
+    return (rows.join(mixed, "bucket").where((F.col("label") != F.col("top.label")) & near)
+            .select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct())
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that banded alignment finds similar."""
+    t = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    both = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "text_a", "text_b")
+    cache = WordHashes()
+
+    def run(batches):
+        for batch in batches:
+            last, keep = (None, None), []
+            nodes = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for k in sorted(range(len(nodes)), key=nodes.__getitem__):  # a centre's k-mers are made once
+                if last[0] != nodes[k][0]:
+                    last = nodes[k][0], labelled_kmers(words(batch.column(2)[k].as_py()), cache)
+                if similarity(last[1], labelled_kmers(words(batch.column(3)[k].as_py()), cache)) >= SIMILARITY:
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return per_batch(both, run, "a binary, b binary")
+
+
+def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each node labelled with the most central of itself and the texts it is linked to."""
+    sides = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b"), F.col("a")))
+    pop = nodes.select(F.col("node").alias("other"), F.col("pop").alias("other_pop"))
+    best = (sides.join(pop, "other").groupBy("node").agg(F.max(F.struct("other_pop", "other")).alias("best"))
+            .withColumnRenamed("node", "linked"))
+    own = F.struct(F.col("pop").alias("other_pop"), F.col("node").alias("other"))
+    return (nodes.drop("label").join(best, F.col("node") == F.col("linked"), "left")
+            .withColumn("label", F.greatest(own, F.col("best"))["other"]).drop("linked", "best"))
+
+
+def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All verified links (a, b) between different texts. ``signed``: ``signatures(docs)``, staged."""
+    sketched = (signed.where("sketch IS NOT NULL").groupBy("node")
+                .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("rep")))
+    nodes = staged(sketched.withColumn("pop", F.lit(1)).withColumn("label", F.col("node")), "omh-nodes")
+    single = [(i,) for i in range(SKETCHES)]
+    dealt = _dealt(nodes, single).select("node", "bucket")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    pop = dealt.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("pop"))
+    nodes = staged(nodes.drop("pop").join(pop, "node"), "omh-central")  # texts that share a bucket
+
+    wanted = broadcast_if_small(nodes.select(F.col("node").alias("w_node"), F.col("rep")), 200_000)
+    texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(id_col).cast("long").alias("id"),
+                        F.col(text_col).alias("text"))
+    texts = staged(texts.join(wanted, (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("rep")))
+                   .select("node", "text").dropDuplicates(["node"]), "omh-texts")
+
+    found = staged(verified(_candidates(nodes, single, True), texts), "omh-links")
+    for combos in (PAIRS, TRIPLES):
+        labelled = staged(_relabelled(nodes, found), "omh-labels")
+        found = staged(found.union(verified(_candidates(_unsettled(labelled, single), combos, False), texts)).distinct(),
+                       "omh-links")
+    return found
+
+
+def _unsettled(nodes: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
+    """Nodes that share a bucket with a node of another label."""
+    rows = _dealt(nodes, combos).select("node", "bucket", "label")
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1")
+    return nodes.join(rows.join(mixed, "bucket").select("node").distinct(), "node", "left_semi")
+
+
+# ---------------------------------------------------------------- classes
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): connected components by alternating large and small stars.
+
+    Each round joins every edge with its end's smallest neighbour; no group is gathered.
+    """
+    edges = staged(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
+                   "cc-edges")
+    state = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        edges = staged(large, "cc-large")
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        tied = edges.join(low, "u")
+        small = (tied.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+                 .union(tied.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        edges = staged(small, "cc-small")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        state = now
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, node, root (its class) and class_id (the class's smallest id)."""
+    signed = staged(signatures(docs, id_col, text_col), "omh-signed")
+    roots = components(links(signed, docs, id_col, text_col)).withColumnRenamed("node", "linked")
+    nodes = signed.groupBy("node").agg(F.min("id").alias("rep"))
+    nodes = staged(nodes.join(roots, F.col("node") == F.col("linked"), "left")
+                   .select("node", "rep", F.coalesce("root", "node").alias("root")), "omh-roots")
+    least = nodes.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return signed.select("id", "node").join(nodes.join(least, "root").select("node", "root", "class_id"), "node")
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the smallest id, then the smallest text hash; all columns kept."""
+    classes = staged(near_duplicates(docs, id_col, text_col), "omh-classes")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("node"))
+    best = classes.groupBy("root").agg(F.min(rank).alias("best"))
+    judged = classes.join(best, "root").withColumn("stays", rank == F.col("best"))
+    judged = staged(judged.groupBy("id", "node").agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+                    .where("NOT stays OR rows > 1"), "omh-judged")
+    row = (F.col(f"`{id_col}`").cast("long"), node_of(F.col(f"`{text_col}`")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def match(side: DataFrame, how: str) -> DataFrame:
+        side = broadcast_if_small(side.select(F.col("id").alias("_j_id"), F.col("node").alias("_j_node")), 200_000)
+        return docs.join(side, row[0].eqNullSafe(F.col("_j_id")) & (row[1] == F.col("_j_node")), how)
+
+    again = judged.where("stays")  # the row that stays occurs more than once: all but one of its equals go
+    kept = match(judged, "left_anti").select(*columns)
+    if again.limit(1).count():
+        same = match(again, "left_semi")
+        kept = kept.union(same.withColumn("_j_node", row[1]).withColumn("_j_id", row[0])
+                          .dropDuplicates(["_j_id", "_j_node"]).select(*columns))
+    return kept

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import mixing, secret_scan, tiling, token_files, urls, warc
+from kpiforge.llm import mixing, omh, secret_scan, tiling, token_files, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,12 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+@_query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: equal texts, and texts with an aligned similarity of 0.8 or more."""
+    return omh.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 @_query
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict for every page's URL."""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import broadcast_if_small, staged, words
+from kpiforge.llm.common import broadcast_if_small, per_batch, staged, words
 
 SEED_WORDS = 5
 TABLE_BITS = 1 << 23
@@ -106,8 +106,8 @@ def seeds_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text")
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))],
                 ["item_id", "part", "n_words", "pos", "seed"])
 
-    return (items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "item_id long, part long, n_words int, pos int, seed long").distinct())
+    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    return per_batch(rows, run, "item_id long, part long, n_words int, pos int, seed long").distinct()
 
 
 def seed_table(seeds: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
@@ -146,8 +146,9 @@ def document_windows(docs: DataFrame, table: np.ndarray, bits: int, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(seeds, pa.int64()),
                                               pa.array(places, pa.list_(pa.int32()))], ["id", "key", "seed", "places"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"),
-                       F.col(text_col).alias("text")).mapInArrow(run, "id long, key long, seed long, places array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"),
+                       F.col(text_col).alias("text"))
+    return per_batch(rows, run, "id long, key long, seed long, places array<int>")
 
 
 def row_key(id_col: str, text_col: str):
@@ -251,7 +252,7 @@ def coverage(docs: DataFrame, items: DataFrame, bits: int = TABLE_BITS, id_col:
             cols = list(zip(*rows)) if rows else [[]] * len(_PAIR_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PAIR_SCHEMA)], schema=_PAIR_SCHEMA)
 
-    return pairs.select("id", "key", "item_id", "n_words", "hits").mapInArrow(run, PAIR)
+    return per_batch(pairs.select("id", "key", "item_id", "n_words", "hits"), run, PAIR)
 
 
 _PAIR_SCHEMA = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()), ("n_tiles", pa.int32()), ("longest", pa.int32()),

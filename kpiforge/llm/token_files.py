@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import shared_path, staged
+from kpiforge.llm.common import per_batch, shared_path, staged
 
 MAGIC = b"KFS8B001"
 BLOCK = 1_024
@@ -352,7 +352,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                          ["part", "piece", "path", "n_ids", "n_docs", "n_bytes"])
 
-    return staged(rows.mapInArrow(write, MANIFEST), "token-manifest").withColumn("folder", F.lit(folder))
+    return staged(per_batch(rows, write, MANIFEST), "token-manifest").withColumn("folder", F.lit(folder))
 
 
 def _slices(texts: pa.Array, chars: int = 4 << 20) -> Iterator[slice]:
@@ -387,7 +387,7 @@ def read_token_files(manifest: DataFrame, tokens: bool = False) -> DataFrame:
                 else:
                     yield from _digests(f, before)
 
-    return files.repartitionByRange(n, "part", "piece").mapInArrow(read, schema)
+    return per_batch(files.repartitionByRange(n, "part", "piece"), read, schema)
 
 
 def _whole(f: FileReader, before: int):

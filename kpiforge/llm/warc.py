@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import broadcast_if_small, shared_path, staged
+from kpiforge.llm.common import broadcast_if_small, per_batch, shared_path, staged
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
                                          ["path", "folder", "bytes", "records"])
 
     rows = with_originals(pages, least_bytes, **columns).select("page_id", "url", "html", "refers_to")
-    return staged(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+    return staged(per_batch(rows, write, MANIFEST), "warc-manifest")
 
 
 # ---------------------------------------------------------------- reading
@@ -176,7 +176,7 @@ def chunk_entries(ranges: DataFrame, chunk_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(at), pa.array(out)],
                                                  ["path", "at", "exit"])
 
-    links = staged(_spread(ranges).mapInArrow(scan, "path string, at long, exit long"), "warc-links")
+    links = staged(per_batch(_spread(ranges), scan, "path string, at long, exit long"), "warc-links")
     starts = ranges.select("path", F.lit(0).cast("long").alias("at")).distinct()
     # only candidates at which some chain leaves a range can be entries
     doors = links.select("path", F.col("exit").alias("at")).distinct().union(starts).distinct()
@@ -213,7 +213,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payloads:
                             rows = []
                     yield _batch(rows, payloads)
 
-    return _spread(work).mapInArrow(read, schema)
+    return per_batch(_spread(work), read, schema)
 
 
 def _batch(rows: list, payloads: bool) -> pa.RecordBatch:
