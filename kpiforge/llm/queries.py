@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import mixing, omh, secret_scan, tiling, token_files, urls, warc
+from kpiforge.llm import mixing, omh, posting, secret_scan, tiling, token_files, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+@_query
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th row by inner product."""
+    return posting.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict for every page's URL."""
