@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import mixing, omh, posting, secret_scan, tiling, token_files, urls, warc
+from kpiforge.llm import mixing, omh, perspectives, posting, secret_scan, tiling, token_files, toxicity, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,14 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("taken").cast("long").alias("taken"), "source", "copies")
 
 
+@_query
+def op2_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain judges toxic, with the chain's probabilities."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxic_documents(docs, model)
+
+
 def tokenizer_path() -> str:
     """The production tokenizer's file: the public vocabulary that the installed package names."""
     import public_tokenizers
@@ -71,6 +79,31 @@ FROM d JOIN b USING (h)
 """
 
 
+@_query
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every speaker's side, by turns, with training masks."""
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+SQL["op6_chat_perspectives"] = """
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+seg AS (
+  SELECT s.conv_id, perspective, turn, role, text, role = perspective AS own,
+         CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+              ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+         md5(role || chr(10) || text) AS h
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+whole AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM seg),
+placed AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, h
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM whole)
+SELECT conv_id, perspective, turn, role, segment, start,
+       CASE WHEN own THEN start + length(head) END AS mask_start, CASE WHEN own THEN start + length(segment) END AS mask_end
+FROM placed
+"""
+
+
 @_query
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known secret formats and random-looking strings of every document."""
