@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+INVALID = -1   # cluster of the rows that lack a feature
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+    """Rows with all features, assembled; ``cluster_counts`` reports the others as ``INVALID``."""
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
 
 
-def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44),
+def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = tuple(range(42, 52)),
            features: str = "features") -> KMeansModel:
     """ML11: k-means, best of several seeds by training cost (``n_init``).
 
@@ -34,7 +38,7 @@ def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44),
 
 
 def silhouette_sweep(df: DataFrame, ks: Sequence[int] = (2, 3, 4, 5),
-                     seeds: Sequence[int] = (42,), features: str = "features") -> DataFrame:
+                     seeds: Sequence[int] = tuple(range(42, 52)), features: str = "features") -> DataFrame:
     """ML12: silhouette per k -> (k, silhouette). Spark's silhouette uses
     squared Euclidean distance, so scores differ from the reference's."""
     ev = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
@@ -51,9 +55,16 @@ def best_k(sweep: DataFrame) -> int:
     return int(sweep.orderBy(F.desc("silhouette"), F.asc("k")).first()["k"])
 
 
-def cluster_counts(model: KMeansModel, df: DataFrame) -> DataFrame:
-    """(cluster, n)."""
-    return model.transform(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+def cluster_counts(model: KMeansModel, df: DataFrame, everything: DataFrame | None = None,
+                   cols: Sequence[str] = ()) -> DataFrame:
+    """(cluster, n); with ``everything``, its rows that lack one of ``cols`` count as ``INVALID``."""
+    counts = model.transform(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    if everything is None:
+        return counts
+    lacks = F.greatest(*[F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in cols]) if len(cols) > 1 \
+        else F.col(cols[0]).isNull()
+    rest = everything.agg(F.count_if(lacks).alias("n")).where("n > 0")
+    return counts.unionByName(rest.select(F.lit(INVALID).alias("cluster"), "n"))
 
 
 def pca_2d(df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:

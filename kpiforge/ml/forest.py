@@ -20,17 +20,14 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], estimator,
              scale: bool = False) -> Pipeline:
     """One-hot categoricals, assemble (optionally scale), then the estimator."""
     stages = one_hot_stages(categorical) if categorical else []
-    inputs = list(numeric) + [c + "_oh" for c in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="raw_features",
-                                  handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features",
-                                     withMean=True, withStd=True))
-        estimator = estimator.setFeaturesCol("features")
-    else:
-        estimator = estimator.setFeaturesCol("raw_features")
-    stages.append(estimator)
-    return Pipeline(stages=stages)
+    codes = [c + "_oh" for c in categorical]
+    inputs = list(numeric) + codes
+    if scale and numeric:   # the one-hot vectors stay sparse
+        stages.append(VectorAssembler(inputCols=list(numeric), outputCol="numeric", handleInvalid="keep"))
+        stages.append(StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True, withStd=True))
+        inputs = ["scaled", *codes]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    return Pipeline(stages=[*stages, estimator.setFeaturesCol("features")])
 
 
 def regressor(label: str, num_trees: int = 100, max_depth: int = 10, seed: int = 42,

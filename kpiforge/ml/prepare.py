@@ -31,13 +31,15 @@ def one_hot_stages(cols: Sequence[str]) -> list:
     return [idx, ohe]
 
 
-def zscore(df: DataFrame, cols: Sequence[str], prefix: str = "z_") -> DataFrame:
+def zscore(df: DataFrame, cols: Sequence[str], prefix: str = "z_", fit_on: DataFrame | None = None) -> DataFrame:
     """ML3: ``(x - mean) / population std`` for each column (Q17).
 
+    ``fit_on``: the rows whose statistics are used (a model's training side, Q18); default all.
+
     All means and deviations come from one aggregation, used as a single
     scalar subquery (a struct), so the data is scanned once for the stats.
     """
-    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+    stats = (df if fit_on is None else fit_on).agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
                             *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).alias("s")).scalar()
     return df.withColumns({f"{prefix}{c}": (F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"]
                            for c in cols})

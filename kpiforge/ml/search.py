@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
 
 def sampled_grid(estimator, grid: Mapping[str, Sequence], n_iter: int = 4, seed: int = 42):
@@ -22,16 +22,18 @@ def sampled_grid(estimator, grid: Mapping[str, Sequence], n_iter: int = 4, seed:
 
 def random_search(pipeline: Pipeline, estimator, grid: Mapping[str, Sequence], label: str,
                   task: str = "classification", n_iter: int = 4, folds: int = 3,
-                  seed: int = 42) -> CrossValidator:
-    """A CrossValidator over sampled param maps (accuracy or r2)."""
+                  seed: int = 42, fold_col: str | None = None) -> CrossValidator:
+    """A CrossValidator over sampled param maps (accuracy or r2).
+
+    ``fold_col``: each row's fold (0 to folds - 1), so that a repeated task
+    puts its rows into the same folds.
+    """
     if task == "classification":
         ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     else:
         ev = RegressionEvaluator(labelCol=label, metricName="r2")
-    return CrossValidator(estimator=pipeline,
+    extra = {"foldCol": fold_col} if fold_col else {}
+    return CrossValidator(**extra, estimator=pipeline,
                           estimatorParamMaps=sampled_grid(estimator, grid, n_iter, seed),
                           evaluator=ev, numFolds=folds, parallelism=4, seed=seed)
 
-
-def best_model(cv_model: CrossValidatorModel):
-    return cv_model.bestModel

@@ -33,41 +33,3 @@ def logs_with_users(logs: DataFrame, users: DataFrame, log_key: str = "user_id",
                     user_key: str = "id") -> DataFrame:
     """JN3: audit/manifest rows with their user (left equi-join)."""
     return logs.join(users, logs[log_key] == users[user_key], "left")
-
-
-def heavy_keys(df: DataFrame, key: str, fraction: float = 0.01, min_share: float = 0.01,
-               seed: int = 42) -> DataFrame:
-    """Keys holding at least ``min_share`` of a row sample (one column, ``key``).
-
-    At most ``1 / min_share`` keys can pass, so the result is bounded by
-    construction and safe to broadcast whatever the table size.
-    """
-    sample = df.select(key).where(F.col(key).isNotNull()).sample(fraction=fraction, seed=seed)
-    total = sample.agg(F.count(F.lit(1))).scalar()
-    return (sample.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") >= total * F.lit(min_share)).select(key))
-
-
-def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-                salts: int = 16, how: str = "inner", **heavy) -> DataFrame:
-    """Equi-join a large fact to a unique-key table, spreading hot keys over ``salts`` tasks.
-
-    Fact rows of a heavy key get a salt from a hash of the row (deterministic,
-    so a recomputed task after an executor loss routes rows the same way);
-    the matching dimension row is replicated once per salt. Other keys keep
-    salt 0. Each fact row still meets its dimension row exactly once.
-    """
-    hot = F.broadcast(heavy_keys(fact, fact_key, **heavy)
-                      .select(F.col(fact_key).alias("_hot_key"), F.lit(True).alias("_hot")))
-    f = (fact.join(hot, fact[fact_key] == F.col("_hot_key"), "left")
-             .withColumn("_salt", F.when(F.col("_hot"),
-                                         F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
-                                   .otherwise(F.lit(0).cast("long")))
-             .drop("_hot_key", "_hot"))
-    d = (dim.join(hot, dim[dim_key] == F.col("_hot_key"), "left")
-            .withColumn("_dsalt", F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-                 .otherwise(F.array(F.lit(0).cast("long")))))
-            .drop("_hot_key", "_hot"))
-    cond = (f[fact_key] == d[dim_key]) & (f["_salt"] == d["_dsalt"])
-    return f.join(d, cond, how).drop("_salt", "_dsalt")

@@ -103,6 +103,7 @@ def project(scenarios: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
     pct = F.col("pct")
     current = F.coalesce(F.col("_kpi"), F.col("base_value"), F.lit(DEFAULT_BASE[0]))
     unit = F.coalesce(F.col("unit"), F.lit(DEFAULT_BASE[1]))
+    moves = F.when(pct >= 0, "increase").otherwise("decrease")
     projected = current * (F.lit(1.0) + pct / F.lit(100.0))
     return s.select(
         "department", "metric", pct.alias("pct"),
@@ -111,13 +112,15 @@ def project(scenarios: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
         unit.alias("unit"),
         F.concat(unit, F.format_string("%.1f", projected)).alias("projected_text"),
         "effect1", F.round(F.abs(pct * F.col("m1")), 6).alias("effect1_pct"),
+        F.when(F.col("m1").isNotNull(), moves).alias("effect1_direction"),
         "effect2", F.round(F.abs(pct * F.col("m2")), 6).alias("effect2_pct"),
+        F.when(F.col("m2").isNotNull(), moves).alias("effect2_direction"),
         F.when(pct >= 0, "positive").otherwise("negative").alias("direction"),
         signed_pct(pct).alias("change_text"))
 
 
 def impacts(scenarios: DataFrame) -> DataFrame:
-    """WI3: six labelled impacts per scenario (independent of pct)."""
+    """WI3: six labelled impacts per scenario (``current`` is carried along if given)."""
     spark = scenarios.sparkSession
     coef = coefficients(spark).select("department", "metric", "impacts")
     fallback = F.array(*[F.lit(v) for v in FALLBACK_IMPACTS])
@@ -130,14 +133,17 @@ def impacts(scenarios: DataFrame) -> DataFrame:
                ["lookup_department", "metric"], "left")
     labels = F.array(*[F.lit(x) for x in IMPACT_LABELS])
     vec = F.coalesce(F.col("impacts"), fallback)
-    return (s.select("department", "metric", "pct",
+    keep = [c for c in ("pct", "current") if c in scenarios.columns]
+    return (s.select("department", "metric", *keep,
                      F.posexplode(F.arrays_zip(labels.alias("label"), vec.alias("impact"))))
-             .select("department", "metric", "pct", (F.col("pos") + 1).alias("idx"),
+             .select("department", "metric", *keep, (F.col("pos") + 1).alias("idx"),
                      F.col("col.label").alias("impact_label"),
                      F.col("col.impact").alias("impact")))
 
 
 def scenario_grid(kpis: DataFrame, pcts: Sequence[float]) -> DataFrame:
     """Every (department, metric) of ``kpis`` crossed with a pct list (explode, no join)."""
+    if any(not -100 <= p <= 100 for p in pcts):
+        raise ValueError("percentages lie between -100 and 100")
     grid = F.array(*[F.lit(float(p)) for p in pcts])
     return kpis.select("department", "metric", F.explode(grid).alias("pct"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
-from kpiforge.plans import models, whatif
+from kpiforge.plans import models, summary, whatif
 from kpiforge.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +84,7 @@ _reg("mk3_recent_campaigns", "marketing", marketing.recent_campaigns)
 
 # what-if scenarios over data-derived KPIs
 QUERIES["wi1_projection"] = whatif.projection
-QUERIES["wi3_impacts"] = whatif.impact_table
+QUERIES["wi3_kpi_impacts"] = whatif.impact_table
 
 # models: deterministic parts (with SQL oracles)
 QUERIES["ml1_label_codes"] = models.label_codes
@@ -93,6 +93,18 @@ QUERIES["ml4_split_counts"] = models.split_counts
 QUERIES["ml10_it_baseline_metrics"] = models.it_baseline_metrics
 QUERIES["ml9_supply_baseline_report"] = models.supply_baseline_report
 
+QUERIES["ml7_oversampled_counts"] = models.oversampled_counts
+QUERIES["ml20_test_sides"] = models.test_sides
+
+# summaries of all departments
+QUERIES["all3_summary_sections"] = summary.section_sizes
+QUERIES["snk3_metrics_report"] = summary.metric_rows
+
+# model results that SQL can check
+QUERIES["ml11_supply_cluster_totals"] = models.supply_cluster_totals
+QUERIES["ml14_supply_scatter_check"] = models.supply_scatter_check
+QUERIES["ml15_supply_cost_scores"] = models.supply_cost_scores
+
 # models: fits (shape-checked only)
 QUERIES["ml5_supply_delay_forest"] = models.supply_delay_forest
 QUERIES["ml6_it_resolution_forest"] = models.it_resolution_forest

@@ -41,7 +41,8 @@ def distributions(src) -> DataFrame:
 def monthly_trends(src) -> DataFrame:
     """IT3: mean resolution hours by month of year (1..12, years merged)."""
     df = src.frame("reported_at", "hours")
-    return (df.groupBy(month_bucket("reported_at", "month_of_year").alias("month"))
+    return (df.where(F.col("reported_at").isNotNull())
+              .groupBy(month_bucket("reported_at", "month_of_year").alias("month"))
               .agg(rmean("hours").alias("avg_resolution_time")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kpiforge.functions import month_bucket, weekday_mon0
 from kpiforge.ml import cluster, forest, search
 from kpiforge.ml.metrics import classification_report, regression_metrics
+from kpiforge.ml.oversample import oversample
 from kpiforge.ml.prepare import label_encode, zscore
 from kpiforge.ml.split import is_train
 from kpiforge.operators.derive import delay_days, efficiency_rate, total_active_time
@@ -143,7 +144,8 @@ def sales_revenue_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hr_performance_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML6: performance from the other z-scored HR columns and codes."""
     feats = [c for c in HR_NUMERIC if c != "performance"]
-    df = zscore(_hr(spark, sf_dir), feats)
+    hr = _hr(spark, sf_dir)
+    df = zscore(hr, feats, fit_on=hr.where(is_train("employee_id", SEED)))
     _, m = forest.fit_evaluate_regression(df, "employee_id", "performance",
                                           [f"z_{c}" for c in feats] + ["resigned"],
                                           ["department", "position"], max_depth=5)
@@ -159,16 +161,18 @@ def hr_attrition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``salary``, so salary is left out of the features (it would leak).
     """
     feats = [c for c in HR_NUMERIC if c != "salary"]
-    df = zscore(_hr(spark, sf_dir), feats).withColumn("label", F.col("resigned").cast("double"))
-    pos_rate = df.agg(F.avg("label")).scalar()
+    hr = _hr(spark, sf_dir)
+    side = is_train("employee_id", SEED)
+    df = zscore(hr, feats, fit_on=hr.where(side)).withColumn("label", F.col("resigned").cast("double"))
+    pos_rate = df.where(side).agg(F.avg("label")).scalar()
     df = df.withColumn("w", F.when(F.col("label") == 1, 0.5 / pos_rate)
                        .otherwise(0.5 / (F.lit(1.0) - pos_rate)))
-    train = df.where(is_train("employee_id", SEED))
-    test = df.where(~is_train("employee_id", SEED))
+    df = df.withColumn("fold", F.pmod(F.xxhash64("employee_id"), F.lit(3)).cast("int"))
+    train, test = df.where(side), df.where(~side)
     rf = forest.classifier("label", seed=SEED, weight_col="w")
     pipe = forest.pipeline([f"z_{c}" for c in feats], ["department", "position"], rf)
     grid = {"numTrees": [100, 150], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2]}
-    cv = search.random_search(pipe, rf, grid, "label", n_iter=4, folds=3, seed=SEED)
+    cv = search.random_search(pipe, rf, grid, "label", n_iter=4, folds=3, seed=SEED, fold_col="fold")
     best = cv.fit(train).bestModel
     return classification_report(best.transform(test), "label", "prediction")
 
@@ -200,7 +204,70 @@ def supply_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = testbed.supply_chain(spark, sf_dir).frame("quantity", "unit_cost")
     data = cluster.assemble(df, ["quantity", "unit_cost"])
     model = cluster.kmeans(data, 3)
-    return cluster.cluster_counts(model, data)
+    return cluster.cluster_counts(model, data, df, ["quantity", "unit_cost"])
+
+
+def supply_cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML11 checked: rows in all clusters (the invalid group included), and the table's rows."""
+    counts = supply_clusters(spark, sf_dir)
+    return counts.agg(F.sum("n").cast("long").alias("clustered"), F.count_if(F.col("n") <= 0).alias("empty"))
+
+
+def supply_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML14: quantity, unit cost and cluster of every line that has both."""
+    df = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "quantity", "unit_cost")
+    data = cluster.assemble(df, ["quantity", "unit_cost"])
+    return cluster.kmeans(data, 3).transform(data).select("order_key", "line_number", "quantity",
+                                                          F.round("unit_cost", 6).alias("unit_cost"), "cluster")
+
+
+def supply_scatter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML14 checked: rows, quantity sum and rows without a cluster."""
+    return supply_scatter(spark, sf_dir).agg(
+        F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"),
+        F.count_if(F.col("cluster").isNull() | ~F.col("cluster").between(0, 2)).alias("unclustered"))
+
+
+def supply_cost_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML15/ML16 checked: the cost model scores every line; rows, and rows without a prediction."""
+    df = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "quantity", "unit_cost",
+                                                   "total_cost", "order_date", "delivery_date")
+    df = df.withColumns({"delay": delay_days("delivery_date", "order_date"),
+                         "rid": F.concat_ws("-", "order_key", "line_number")})
+    model, _ = forest.fit_evaluate_regression(df, "rid", "total_cost", ["quantity", "unit_cost", "delay"], max_depth=8)
+    return forest.score(model, df, ["rid"]).agg(F.count("*").alias("n"),
+                                                F.count_if(F.col("prediction").isNull()).alias("missing"))
+
+
+def test_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each model is tested on: rows per side, the label's mean and variance on the test side."""
+    sc = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "total_cost", "order_date", "delivery_date")
+    sc = sc.withColumn("rid", F.concat_ws("-", "order_key", "line_number"))
+    sa = testbed.sales(spark, sf_dir).frame("order_key", "line_number", "revenue").withColumn(
+        "rid", F.concat_ws("-", "order_key", "line_number"))
+    hr = _hr(spark, sf_dir)
+    jobs = [("ml5_supply_delay", sc, "rid", (delay_days("delivery_date", "order_date") > 0).cast("double")),
+            ("ml6_supply_cost", sc, "rid", F.col("total_cost")), ("ml6_sales_revenue", sa, "rid", F.col("revenue")),
+            ("ml6_it_resolution", _it(spark, sf_dir), "ticket_id", F.col("hours")),
+            ("ml6_hr_performance", hr, "employee_id", F.col("performance")),
+            ("ml8_hr_attrition", hr, "employee_id", F.col("resigned")),
+            ("ml19_hr_salary", hr, "employee_id", F.col("salary"))]
+    out = None
+    for name, df, rid, label in jobs:
+        d = df.select(is_train(rid, SEED).alias("train"), label.cast("double").alias("y"))
+        y = F.when(~F.col("train"), F.col("y"))
+        row = d.agg(F.lit(name).alias("job"), F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_test"),
+                    F.round(F.avg(y), 4).alias("test_mean"), F.round(F.var_pop(y) / F.avg(F.abs(y)), 4).alias("test_spread"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def oversampled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML7: training rows per label after oversampling, and how many are synthetic."""
+    hr = _hr(spark, sf_dir).where(is_train("employee_id", SEED))
+    out = oversample(hr, "employee_id", "resigned", [c for c in HR_NUMERIC if c != "salary"], seed=SEED)
+    return out.groupBy("resigned").agg(F.count("*").alias("n"),
+                                       F.count_if(F.col("employee_id").startswith("synthetic-")).alias("synthetic"))
 
 
 def hr_cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,14 +293,16 @@ def hr_tenure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kpiforge.plans.hr import AS_OF
     df = _hr(spark, sf_dir).withColumn("tenure_days", days_since("hired", AS_OF))
     cols = HR_NUMERIC + ["tenure_days"]
-    data = cluster.assemble(zscore(df, cols), [f"z_{c}" for c in cols])
-    return cluster.cluster_counts(cluster.kmeans(data, 4), data)
+    z = zscore(df, cols)
+    data = cluster.assemble(z, [f"z_{c}" for c in cols])
+    return cluster.cluster_counts(cluster.kmeans(data, 4), data, z, [f"z_{c}" for c in cols])
 
 
 def hr_salary_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML19: salary regression from the other HR columns (actual vs predicted metrics)."""
     feats = [c for c in HR_NUMERIC if c != "salary"]
-    df = zscore(_hr(spark, sf_dir), feats)
+    hr = _hr(spark, sf_dir)
+    df = zscore(hr, feats, fit_on=hr.where(is_train("employee_id", SEED)))
     _, m = forest.fit_evaluate_regression(df, "employee_id", "salary",
                                           [f"z_{c}" for c in feats],
                                           ["department", "position"], max_depth=5)

@@ -54,7 +54,7 @@ SQL["sc3_monthly_trends"] = f"""WITH {SC}
 SELECT strftime(order_date, '%Y-%m') AS month,
        ROUND(SUM(total_cost), 2) AS monthly_cost,
        ROUND(AVG(dd), 6) AS monthly_delay
-FROM sc GROUP BY 1"""
+FROM sc WHERE order_date IS NOT NULL GROUP BY 1"""
 
 SQL["sc4_supplier_performance"] = f"""WITH {SC}
 SELECT supplier, ROUND(AVG(dd), 6) AS avg_delay, ROUND(SUM(total_cost), 2) AS total_cost,
@@ -96,7 +96,7 @@ UNION ALL SELECT 'status', status, COUNT(*) FROM it WHERE status IS NOT NULL GRO
 
 SQL["it3_monthly_trends"] = f"""WITH {IT}
 SELECT CAST(month(reported_at) AS INTEGER) AS month, ROUND(AVG(hours), 6) AS avg_resolution_time
-FROM it GROUP BY 1"""
+FROM it WHERE reported_at IS NOT NULL GROUP BY 1"""
 
 SQL["it4_performance"] = f"""WITH {IT}
 SELECT 'by_system' AS section, system AS key, ROUND(AVG(hours), 6) AS avg_resolution_time
@@ -139,7 +139,7 @@ UNION ALL SELECT 'shifts', shift, COUNT(*) FROM pr WHERE shift IS NOT NULL GROUP
 
 SQL["pr3_monthly_trends"] = f"""WITH {PR}
 SELECT CAST(month(date) AS INTEGER) AS month, ROUND(AVG(eff), 6) AS avg_efficiency
-FROM pr GROUP BY 1"""
+FROM pr WHERE date IS NOT NULL GROUP BY 1"""
 
 SQL["pr4_performance"] = f"""WITH {PR}
 SELECT 'by_product' AS section, product AS key, ROUND(AVG(eff), 6) AS avg_efficiency
@@ -204,7 +204,8 @@ UNION ALL SELECT 'by_salesperson', salesperson, COUNT(*) FROM sa
 WHERE salesperson IS NOT NULL GROUP BY salesperson"""
 
 SQL["sa3_monthly_trends"] = f"""WITH {SA}
-SELECT strftime(date, '%Y-%m') AS month, ROUND(SUM(revenue), 2) AS revenue FROM sa GROUP BY 1"""
+SELECT strftime(date, '%Y-%m') AS month, ROUND(SUM(revenue), 2) AS revenue FROM sa
+WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1"""
 
 SQL["sa4_top_performers"] = f"""WITH {SA}, {SA_GROUPED}
 SELECT section, key, ROUND(rev, 2) AS revenue, rank FROM ranked WHERE rank <= 5"""
@@ -274,7 +275,7 @@ WHERE vehicle IS NOT NULL GROUP BY vehicle"""
 
 SQL["tr4_monthly_deliveries"] = f"""WITH {TR}
 SELECT strftime(entry_date, '%Y-%m') AS month, CAST(SUM(deliveries) AS BIGINT) AS deliveries
-FROM tr GROUP BY 1"""
+FROM tr WHERE entry_date IS NOT NULL GROUP BY 1"""
 
 SQL["tr5_insights"] = f"""WITH {TR},
 m AS (SELECT ROUND(AVG(delivery_time), 1) AS t, ROUND(AVG(on_time_rate), 1) AS r,
@@ -292,7 +293,7 @@ UNION ALL SELECT 3, 'Fleet Utilization',
 SQL["tr6_monthly_service"] = f"""WITH {TR}
 SELECT strftime(entry_date, '%Y-%m') AS month, ROUND(AVG(delivery_time), 6) AS avg_delivery_time,
        ROUND(AVG(on_time_rate), 6) AS avg_on_time_rate
-FROM tr GROUP BY 1"""
+FROM tr WHERE entry_date IS NOT NULL GROUP BY 1"""
 
 # ---------------------------------------------------------------- HR
 HR_ONLY = """cf AS (
@@ -426,6 +427,8 @@ kpi AS (
   UNION ALL SELECT 'transport', 'delivery_time', ROUND(AVG(delivery_time), 6) FROM tr
   UNION ALL SELECT 'transport', 'efficiency', ROUND(AVG(on_time_rate), 6) FROM tr
   UNION ALL SELECT 'sales', 'revenue', ROUND(SUM(revenue), 2) FROM sa
+  UNION ALL SELECT 'sales', 'discount', ROUND(AVG(l_discount), 6) FROM lineitem
+  UNION ALL SELECT 'warehouse', 'cost', ROUND(AVG(l_tax), 6) FROM lineitem
   UNION ALL SELECT 'hr', 'productivity', ROUND(AVG(performance), 6) FROM hr
   UNION ALL SELECT 'marketing', 'revenue', ROUND(SUM(revenue), 2) FROM mk),
 coef(department, metric, m1, effect1, m2, effect2) AS (VALUES
@@ -450,7 +453,9 @@ SELECT department, metric, pct, cur AS current,
        cur * (1.0 + pct / 100.0) AS projected, unit,
        unit || printf('%.1f', cur * (1.0 + pct / 100.0)) AS projected_text,
        effect1, ROUND(ABS(pct * m1), 6) AS effect1_pct,
+       CASE WHEN m1 IS NOT NULL THEN CASE WHEN pct >= 0 THEN 'increase' ELSE 'decrease' END END AS effect1_direction,
        effect2, ROUND(ABS(pct * m2), 6) AS effect2_pct,
+       CASE WHEN m2 IS NOT NULL THEN CASE WHEN pct >= 0 THEN 'increase' ELSE 'decrease' END END AS effect2_direction,
        CASE WHEN pct >= 0 THEN 'positive' ELSE 'negative' END AS direction,
        CASE WHEN pct > 0 THEN printf('+%.1f%%', pct) ELSE printf('%.1f%%', pct) END AS change_text
 FROM v"""
@@ -526,7 +531,6 @@ SELECT 'weighted avg', ROUND(SUM(precision * support) / SUM(support), 6),
 
 def _impacts_sql() -> str:
     from kpiforge.operators import whatif as W
-    from kpiforge.plans.whatif import DEFAULT_PCTS
 
     def q(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
@@ -535,22 +539,96 @@ def _impacts_sql() -> str:
     kpi_ctes = full[:full.index("coef(department")].rstrip().rstrip(",")
     coef = ",\n    ".join(f"({q(d)}, {q(m)}, {list(imp)})"
                            for d, m, _, _, _, _, imp in W.COEFFICIENTS)
-    pcts = ", ".join(f"{float(p)}" for p in DEFAULT_PCTS)
     labels = "[" + ", ".join(q(x) for x in W.IMPACT_LABELS) + "]"
     return f"""{kpi_ctes},
 coef(department, metric, impacts) AS (VALUES
     {coef}),
-grid AS (SELECT department, metric, unnest([{pcts}]) AS pct FROM kpi),
+grid AS (SELECT department, metric, current FROM kpi),
 j AS (
   SELECT g.*, CASE WHEN g.department IN (SELECT department FROM coef) THEN g.department
                    ELSE 'it' END AS lk
   FROM grid g),
 v AS (
-  SELECT j.department, j.metric, j.pct, COALESCE(c.impacts, {list(W.FALLBACK_IMPACTS)}) AS imp
+  SELECT j.department, j.metric, j.current, COALESCE(c.impacts, {list(W.FALLBACK_IMPACTS)}) AS imp
   FROM j LEFT JOIN coef c ON c.department = j.lk AND c.metric = j.metric)
-SELECT department, metric, pct, CAST(t.i AS INTEGER) AS idx,
-       ({labels})[t.i] AS impact_label, CAST(imp[t.i] AS INTEGER) AS impact
+SELECT department, metric, CAST(t.i AS INTEGER) AS idx, ({labels})[t.i] AS impact_label,
+       CAST(imp[t.i] AS INTEGER) AS impact, current, current * imp[t.i] / 100.0 AS impact_value
 FROM v, range(1, 7) t(i)"""
 
 
-SQL["wi3_impacts"] = _impacts_sql()
+SQL["wi3_kpi_impacts"] = _impacts_sql()
+
+
+# ---------------------------------------------------------------- summaries
+#: Sections of the summaries and the queries whose rows they hold.
+SECTIONS = {
+    "supply_chain": {"metrics": ["sc1_metrics"], "distributions": ["sc2_cost_distributions"],
+                     "trends": ["sc3_monthly_trends"], "performance": ["sc4_supplier_performance"],
+                     "analysis": ["sc5_analysis"], "recent_orders": ["sc6_recent_orders"]},
+    "it": {"metrics": ["it1_metrics"], "distributions": ["it2_distributions"], "trends": ["it3_monthly_trends"],
+           "performance": ["it4_performance"], "recent_tickets": ["it5_recent_tickets"],
+           "insights": ["it6_insights"], "recommendations": 3},
+    "production": {"metrics": ["pr1_metrics"], "distributions": ["pr2_distributions"],
+                   "trends": ["pr3_monthly_trends"], "performance": ["pr4_performance"],
+                   "recent_operations": ["pr5_recent_operations"], "insights": ["pr6_insights"],
+                   "recommendations": 4},
+    "sales": {"metrics": ["sa1_metrics"], "distributions": ["sa2_distributions"], "trends": ["sa3_monthly_trends"],
+              "performance": ["sa4_top_performers"], "recent_sales": ["sa5_recent_sales"],
+              "insights": ["sa6_insights"], "recommendations": 4},
+    "transport": {"metrics": ["tr1_metrics"], "distributions": ["tr2_distributions"],
+                  "performance": ["tr3_by_vehicle", "tr4_monthly_deliveries"], "trends": ["tr6_monthly_service"],
+                  "insights": ["tr5_insights"], "recommendations": None},
+    "hr": {"metrics": ["hr1_metrics"], "distributions": ["hr2_distributions"],
+           "department_insights": ["hr3_department_insights"], "top_performers": ["hr4_top_performers"],
+           "trends": ["hr6_training_effectiveness"], "insights": ["hr7_insight_records"],
+           "recommendations": None, "training_recommendations": ["hr5_training_recommendations"]},
+    "marketing": {"metrics": ["mk1_metrics"], "performance": ["mk2_performance"],
+                  "recommendations": None, "recent_campaigns": ["mk3_recent_campaigns"]},
+}
+
+
+def _section_sizes_sql() -> str:
+    from kpiforge.operators.insights import RECOMMENDATIONS
+
+    rows = []
+    for d, sections in SECTIONS.items():
+        for s, names in sections.items():
+            n = (" + ".join(f"(SELECT COUNT(*) FROM ({SQL[q]}))" for q in names) if isinstance(names, list)
+                 else str(len(RECOMMENDATIONS.get(d, []))))
+            rows.append(f"SELECT '{d}' AS department, '{s}' AS section, CAST({n} AS BIGINT) AS n")
+    return "SELECT * FROM (\n" + "\nUNION ALL ".join(rows) + "\n) WHERE n > 0"
+
+
+SQL["all3_summary_sections"] = _section_sizes_sql()
+SQL["snk3_metrics_report"] = "\nUNION ALL ".join(
+    f"SELECT '{d}' AS department, metric, ROUND(value, 4) AS value FROM "
+    f"(UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({SQL[s['metrics'][0]]})) ON COLUMNS(*) INTO NAME metric VALUE value)"
+    for d, s in SECTIONS.items())
+
+# ---------------------------------------------------------------- model results that SQL can check
+SQL["ml11_supply_cluster_totals"] = "SELECT COUNT(*) AS clustered, CAST(0 AS BIGINT) AS empty FROM lineitem"
+SQL["ml14_supply_scatter_check"] = """SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS quantity,
+       CAST(0 AS BIGINT) AS unclustered FROM lineitem WHERE l_quantity <> 0 AND l_extendedprice IS NOT NULL"""
+SQL["ml15_supply_cost_scores"] = "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS missing FROM lineitem"
+
+
+def _side_sql(job: str, table: str, rid: str, label: str) -> str:
+    side = SPLIT.format(id=rid)
+    return f"""SELECT '{job}' AS job, COUNT(*) FILTER ({side}) AS n_train, COUNT(*) FILTER (NOT {side}) AS n_test,
+       ROUND(AVG({label}) FILTER (NOT {side}), 4) AS test_mean,
+       ROUND(VAR_POP({label}) FILTER (NOT {side}) / AVG(ABS({label})) FILTER (NOT {side}), 4) AS test_spread
+FROM {table}"""
+
+
+_LINE = "concat_ws('-', order_key, line_number)"
+SQL["ml20_test_sides"] = f"WITH {SC}, {SA}, {IT}, {HR}\n" + "\nUNION ALL ".join([
+    _side_sql("ml5_supply_delay", "sc", _LINE, "CAST(dd > 0 AS DOUBLE)"),
+    _side_sql("ml6_supply_cost", "sc", _LINE, "total_cost"),
+    _side_sql("ml6_sales_revenue", "sa", _LINE, "revenue"),
+    _side_sql("ml6_it_resolution", "it", "ticket_id", "hours"),
+    _side_sql("ml6_hr_performance", "hr", "employee_id", "CAST(performance AS DOUBLE)"),
+    _side_sql("ml8_hr_attrition", "hr", "employee_id", "CAST(resigned AS DOUBLE)"),
+    _side_sql("ml19_hr_salary", "hr", "employee_id", "salary")])
+SQL["ml7_oversampled_counts"] = f"""WITH {HR},
+t AS (SELECT resigned, COUNT(*) AS n FROM hr WHERE {SPLIT.format(id='employee_id')} AND resigned IS NOT NULL GROUP BY 1)
+SELECT resigned, (SELECT MAX(n) FROM t) AS n, (SELECT MAX(n) FROM t) - n AS synthetic FROM t"""

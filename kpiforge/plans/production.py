@@ -50,7 +50,8 @@ def distributions(src) -> DataFrame:
 def monthly_trends(src) -> DataFrame:
     """PR3: mean efficiency by month of year."""
     df = src.frame("date", "units", "defects")
-    return (df.groupBy(month_bucket("date", "month_of_year").alias("month"))
+    return (df.where(F.col("date").isNotNull())
+              .groupBy(month_bucket("date", "month_of_year").alias("month"))
               .agg(rmean(_eff()).alias("avg_efficiency")))
 
 

@@ -1,8 +1,8 @@
 """Sales pack (SA1-SA6, AG8, SO4).
 
 Roles: product, region, salesperson, date, revenue, units. The reference
-guards every section on column presence (PRJ14); ``TableSource`` inputs
-missing a role get the reference's empty/zero result via ``if_has``.
+guards every section on column presence (PRJ14): a ``TableSource`` reads a
+missing role as nulls, sums over it are 0 and groups by it are empty.
 """
 
 from __future__ import annotations
@@ -15,13 +15,6 @@ from kpiforge.operators.aggregate import group_agg_multi, value_counts_multi
 from kpiforge.operators.topk import recent, top_per_section
 from kpiforge.plans.common import MEAN_DIGITS, SUM_DIGITS, numbered, rsum
 
-# Fixed values of the reference.
-RECOMMENDATIONS = [
-    "Focus marketing efforts on top-performing products and regions.",
-    "Provide incentives for high-performing sales staff.",
-    "Analyze underperforming products for improvement opportunities.",
-    "Monitor monthly trends to adjust sales strategies.",
-]
 SECTIONS = {"top_products": "product", "top_regions": "region",
             "top_salespersons": "salesperson"}
 
@@ -30,9 +23,10 @@ def metrics(src) -> DataFrame:
     """SA1: revenue, units, revenue per unit (0 if no units), transactions."""
     df = src.frame("revenue", "units")
     rev, units = F.sum("revenue"), F.sum("units")
-    return df.agg(F.round(rev, SUM_DIGITS).alias("total_sales"),
-                  F.round(units, SUM_DIGITS).alias("total_units"),
-                  F.round(safe_ratio(rev, units), MEAN_DIGITS).alias("avg_unit_price"),
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return df.agg(zero(F.round(rev, SUM_DIGITS)).alias("total_sales"),
+                  zero(F.round(units, SUM_DIGITS).cast("double")).alias("total_units"),
+                  zero(F.round(safe_ratio(rev, units), MEAN_DIGITS)).alias("avg_unit_price"),
                   F.count(F.lit(1)).alias("num_transactions"))
 
 
@@ -46,13 +40,15 @@ def distributions(src) -> DataFrame:
 def monthly_trends(src) -> DataFrame:
     """SA3: revenue by ``yyyy-MM``."""
     df = src.frame("date", "revenue")
-    return (df.groupBy(month_bucket("date", "year_month").alias("month"))
+    return (df.where(F.col("date").isNotNull() & F.col("revenue").isNotNull())
+              .groupBy(month_bucket("date", "year_month").alias("month"))
               .agg(rsum("revenue").alias("revenue")))
 
 
 def _grouped_revenue(src) -> DataFrame:
     df = src.frame("product", "region", "salesperson", "revenue")
-    return group_agg_multi(df, SECTIONS, {"revenue": F.sum("revenue")}, keep=["revenue"])
+    return group_agg_multi(df, SECTIONS, {"revenue": F.sum("revenue")}, keep=["revenue"]).where(
+        F.col("revenue").isNotNull())
 
 
 def top_performers(src, n: int = 5) -> DataFrame:
@@ -66,7 +62,7 @@ def recent_sales(src, n: int = 10) -> DataFrame:
     df = src.frame("date", "product", "region", "salesperson", "revenue", "units")
     shaped = df.select("date", "product", "region", "salesperson",
                        F.round("revenue", SUM_DIGITS).alias("revenue"), "units")
-    top = recent(shaped, "date", n, tie=["product", "region", "salesperson", "revenue", "units"])
+    top = recent(shaped.where(F.col("date").isNotNull()), "date", n, tie=["product", "region", "salesperson", "revenue", "units"])
     return top.withColumn("date", fmt_date("date"))
 
 

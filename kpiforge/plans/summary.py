@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.operators.insights import recommendations
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
+from kpiforge.sources import testbed
 
 SUMMARY_SCHEMA = "department string, section string, name string, key string, value string"
 
@@ -138,3 +139,27 @@ def build_summary(department: str, src) -> DataFrame:
 
 
 DEPARTMENTS = ("supply_chain", "it", "production", "sales", "transport", "hr", "marketing")
+
+
+def section_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALL3: rows of every section of every department's summary."""
+    out = None
+    for d in DEPARTMENTS:
+        part = build_summary(d, testbed.SOURCES[d](spark, sf_dir)).groupBy("department", "section").agg(
+            F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: the metrics sections of the summaries as (department, metric, value) rows."""
+    out = None
+    for d in DEPARTMENTS:
+        src = testbed.SOURCES[d](spark, sf_dir)
+        m = {"supply_chain": supply_chain, "it": it, "production": production, "sales": sales,
+             "transport": transport, "hr": hr, "marketing": marketing}[d].metrics(src)
+        wide = m.select(*[F.col(c).cast("double").alias(c) for c in m.columns])
+        part = wide.unpivot([], wide.columns, "metric", "value").select(F.lit(d).alias("department"), "metric",
+                                                                       F.round("value", 4).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -45,7 +45,8 @@ def distributions(src) -> DataFrame:
 def monthly_trends(src) -> DataFrame:
     """SC3: per ``yyyy-MM`` of the order date: cost sum and mean delay."""
     df = src.frame("order_date", "delivery_date", "total_cost")
-    return (df.groupBy(month_bucket("order_date", "year_month").alias("month"))
+    return (df.where(F.col("order_date").isNotNull())
+              .groupBy(month_bucket("order_date", "year_month").alias("month"))
               .agg(rsum("total_cost").alias("monthly_cost"),
                    rmean(_delay()).alias("monthly_delay")))
 

@@ -39,7 +39,8 @@ def by_vehicle(src) -> DataFrame:
 def monthly_deliveries(src) -> DataFrame:
     """TR4: deliveries by ``yyyy-MM`` of entry date."""
     df = src.frame("entry_date", "deliveries")
-    return (df.groupBy(month_bucket("entry_date", "year_month").alias("month"))
+    return (df.where(F.col("entry_date").isNotNull())
+              .groupBy(month_bucket("entry_date", "year_month").alias("month"))
               .agg(F.sum("deliveries").cast("long").alias("deliveries")))
 
 
@@ -67,6 +68,7 @@ def insights(src) -> DataFrame:
 def monthly_service(src) -> DataFrame:
     """TR6: mean delivery time and mean on-time rate by ``yyyy-MM``."""
     df = src.frame("entry_date", "delivery_time", "on_time_rate")
-    return (df.groupBy(month_bucket("entry_date", "year_month").alias("month"))
+    return (df.where(F.col("entry_date").isNotNull())
+              .groupBy(month_bucket("entry_date", "year_month").alias("month"))
               .agg(rmean("delivery_time").alias("avg_delivery_time"),
                    rmean("on_time_rate").alias("avg_on_time_rate")))

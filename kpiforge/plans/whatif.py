@@ -9,8 +9,14 @@ from kpiforge.functions import rate
 from kpiforge.operators import whatif
 from kpiforge.operators.derive import delay_days, efficiency_rate
 from kpiforge.sources import testbed
+from kpiforge.sources.tables import Tables
 
 DEFAULT_PCTS = (-20.0, -10.0, 0.0, 10.0, 20.0)
+#: What ``current_kpis`` supplies; the scenarios take it from here, not from a scan.
+KPI_PAIRS = (("it", "delivery_time"), ("it", "efficiency"), ("production", "efficiency"),
+             ("production", "quality"), ("supply_chain", "cost"), ("supply_chain", "efficiency"),
+             ("transport", "delivery_time"), ("transport", "efficiency"), ("sales", "revenue"),
+             ("sales", "discount"), ("warehouse", "cost"), ("hr", "productivity"), ("marketing", "revenue"))
 
 
 def _rows(df: DataFrame, department: str, **metrics) -> DataFrame:
@@ -30,6 +36,7 @@ def current_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     pr = testbed.production(spark, sf_dir).frame("units", "defects")
     sc = testbed.supply_chain(spark, sf_dir).frame("order_date", "delivery_date", "total_cost")
     sa = testbed.sales(spark, sf_dir).frame("revenue")
+    li = Tables(spark, sf_dir)("lineitem")
     tr = testbed.transport(spark, sf_dir).frame("delivery_time", "on_time_rate")
     hr = testbed.hr(spark, sf_dir).frame("performance")
     mk = testbed.marketing(spark, sf_dir).frame("revenue")
@@ -44,6 +51,9 @@ def current_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rows(tr, "transport", delivery_time=r6(F.avg("delivery_time")),
               efficiency=r6(F.avg("on_time_rate"))),
         _rows(sa, "sales", revenue=F.round(F.sum("revenue"), 2)),
+        # a metric and a department without coefficients: the lookups' fallbacks (JN1)
+        _rows(li, "sales", discount=r6(F.avg("l_discount"))),
+        _rows(li, "warehouse", cost=r6(F.avg("l_tax"))),
         _rows(hr, "hr", productivity=r6(F.avg("performance"))),
         _rows(mk, "marketing", revenue=F.round(F.sum("revenue"), 2)),
     ]
@@ -55,12 +65,12 @@ def current_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projection(spark: SparkSession, sf_dir: str, pcts=DEFAULT_PCTS) -> DataFrame:
     """Every known (department, metric) and every data-derived KPI x pct grid."""
-    kpis = current_kpis(spark, sf_dir)
-    pairs = (whatif.coefficients(spark).select("department", "metric")
-             .unionByName(kpis.select("department", "metric")).distinct())
-    return whatif.project(whatif.scenario_grid(pairs, pcts), kpis)
+    pairs = spark.createDataFrame(sorted({(d, m) for d, m, *_ in whatif.COEFFICIENTS} | set(KPI_PAIRS)),
+                                  "department string, metric string")
+    return whatif.project(whatif.scenario_grid(pairs, pcts), current_kpis(spark, sf_dir))
 
 
-def impact_table(spark: SparkSession, sf_dir: str, pcts=DEFAULT_PCTS) -> DataFrame:
-    kpis = current_kpis(spark, sf_dir)
-    return whatif.impacts(whatif.scenario_grid(kpis, pcts))
+def impact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WI3 on real KPIs: each impact as a share of the KPI's current value."""
+    out = whatif.impacts(current_kpis(spark, sf_dir))
+    return out.withColumn("impact_value", F.col("current") * F.col("impact") / F.lit(100.0))

@@ -74,6 +74,7 @@ DEPARTMENTS: dict[str, list[tuple[str, T.DataType, str]]] = {
         ("Conversion Rate (%)", _D, "conversion_rate"),
         ("Revenue Generated ($)", _D, "revenue"),
     ],
+    "finance": [],                                  # stored as uploaded, no typed columns
     "supply_chain": [
         ("Procurement ID", _S, "procurement_id"),
         ("Item Name", _S, "item"),
@@ -109,6 +110,7 @@ DATASET_TYPES = {
     "it": "it",
     "production": "production",
     "sales": "sales",
+    "finance": "finance",
     "marketing": "marketing",
     "supply_chain": "supply_chain",
     "transport": "transport",

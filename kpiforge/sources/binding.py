@@ -16,19 +16,29 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 class TableSource:
-    """A single table whose columns are the roles."""
+    """A single table whose columns are the roles.
 
-    def __init__(self, df: DataFrame):
+    ``optional`` (role -> type): roles that the table may lack; they read as
+    typed nulls, so packs give 0 or empty sections instead of failing (PRJ14).
+    """
+
+    def __init__(self, df: DataFrame, optional: Mapping[str, DataType] | None = None):
         self.df = df
+        self.optional = dict(optional or {})
 
     def roles(self) -> list[str]:
         return list(self.df.columns)
 
     def frame(self, *roles: str) -> DataFrame:
-        return self.df.select(*roles) if roles else self.df
+        if not roles:
+            return self.df
+        have = set(self.df.columns)
+        return self.df.select(*[F.lit(None).cast(self.optional[r]).alias(r)
+                                if r not in have and r in self.optional else F.col(r) for r in roles])
 
 
 @dataclass

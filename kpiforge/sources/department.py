@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, IntegerType
 
 from kpiforge.functions.dates import parse_dmy
 from kpiforge.operators.derive import yes_no_to_int
@@ -57,7 +58,15 @@ def read_department(spark: SparkSession, department: str, path: str,
         df = to_roles(spark.read.parquet(path), department)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
-    return TableSource(df)
+    return TableSource(df, optional_roles(department))
+
+
+def optional_roles(department: str) -> dict[str, DataType]:
+    """Every role of a department with its type (derived roles included)."""
+    roles: dict[str, DataType] = {r: t for _, t, r in DEPARTMENTS[department]}
+    if department == "hr":
+        roles |= {"hired": DateType(), "resigned": IntegerType()}
+    return roles
 
 
 def scan_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

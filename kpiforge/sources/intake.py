@@ -2,7 +2,10 @@
 
 Connects upload to analysis: accepted files land as Parquet partitioned by
 department under ``<root>/datasets/<dataset_type>``, where
-``read_department(..., fmt="parquet")`` reads them.
+``read_department(..., fmt="parquet")`` reads them. The uploading department
+is the partition column ``upload_department``, beside any ``Department`` of the
+file. Rows with a value that doesn't fit its type go to ``<root>/rejects``
+instead, with the raw record and the reason, and the manifest counts them.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from pyspark.sql import functions as F
 from kpiforge.schemas import DATASET_TYPES, DEPARTMENTS
 from kpiforge.sinks.files import append_audit
 
-MANIFEST_SCHEMA = "filename string, dataset_type string, department string, user_id int"
+MANIFEST_SCHEMA = ("filename string, dataset_type string, department string, user_id int, "
+                   "accepted long, rejected long")
+PARTITION = "upload_department"
 
 
 class IntakeError(ValueError):
@@ -38,17 +43,35 @@ def ingest_dataset(spark: SparkSession, path: str, dataset_type: str, department
     filename = os.path.basename(path.rstrip("/"))
     validate(filename, dataset_type, department)
     shape = DATASET_TYPES[dataset_type]
-    types = {h: t for h, t, _ in DEPARTMENTS[shape]}
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    typed = raw.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types
-                         else F.col(f"`{c}`") for c in raw.columns])
+    typed, rejects = split_rejects(raw, shape)
     target = f"{root.rstrip('/')}/datasets/{dataset_type}"
-    (typed.withColumn("department", F.lit(department))
-          .write.mode("append").partitionBy("department").parquet(target))
-    manifest = spark.createDataFrame([(filename, dataset_type, department, user_id)],
-                                     MANIFEST_SCHEMA)
+    (typed.withColumn(PARTITION, F.lit(department))
+          .write.mode("append").partitionBy(PARTITION).parquet(target))
+    (rejects.select(F.lit(filename).alias("filename"), F.lit(dataset_type).alias("dataset_type"),
+                    F.lit(department).alias(PARTITION), "record", "reason")
+            .write.mode("append").parquet(f"{root.rstrip('/')}/rejects"))
+    rejected, rows = rejects.count(), raw.count()
+    manifest = spark.createDataFrame([(filename, dataset_type, department, user_id,
+                                       rows - rejected, rejected)], MANIFEST_SCHEMA)
     (manifest.withColumn("upload_timestamp", F.current_timestamp())
              .write.mode("append").parquet(f"{root.rstrip('/')}/manifest"))
     append_audit(spark, f"{root.rstrip('/')}/audit", user_id, "upload_dataset",
                  f"{dataset_type}:{filename}:{department}")
-    return spark.read.parquet(target).where(F.col("department") == department)
+    return spark.read.parquet(target).where(F.col(PARTITION) == department)
+
+
+def split_rejects(raw: DataFrame, shape: str) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejected rows as ``record`` JSON with ``reason``) of a text frame."""
+    types = {h: t for h, t, _ in DEPARTMENTS[shape]}
+    cast = {c: F.col(f"`{c}`").try_cast(types[c]) for c in raw.columns if c in types}
+    wrong = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNotNull() & v.isNull(), F.lit(f"{c}: not a {types[c].simpleString()}"))
+                               for c, v in cast.items()]) if cast else F.array().cast("array<string>"),
+                     lambda x: x.isNotNull())
+    marked = raw.select(*[F.col(f"`{c}`") for c in raw.columns], wrong.alias("_wrong"))
+    good = marked.where(F.size("_wrong") == 0).select(*[cast[c].alias(c) if c in cast else F.col(f"`{c}`")
+                                                        for c in raw.columns])
+    bad = marked.where(F.size("_wrong") > 0).select(
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns])).alias("record"),
+        F.array_join("_wrong", "; ").alias("reason"))
+    return good, bad

@@ -7,8 +7,8 @@ request needs. nation/region have 25/5 rows by specification and are the
 only broadcast sides; all other joins are left to Catalyst and AQE.
 
 Derived grains:
-* order grain (transport): lineitem JOIN orders aggregated per order; hot
-  order keys (found by a sampled pre-pass) are salted across tasks.
+* order grain (transport): lineitem aggregated per (order, ship day), then
+  joined to orders and finished per order.
 * customer grain (HR): the order grain aggregated per customer.
 * campaign grain (marketing): orders JOIN customer aggregated per
   (priority, segment, month).
@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.operators.joins import salted_join
 from kpiforge.sources.binding import Dim, Role, StarSource
 from kpiforge.sources.tables import Tables
 
@@ -127,27 +126,35 @@ def it_support(spark: SparkSession, sf_dir: str) -> StarSource:
 
 
 def order_facts(t: Tables) -> DataFrame:
-    """One row per order that has lines: line counts, delivery days, returns."""
-    li = t("lineitem").select("l_orderkey", "l_shipdate", "l_returnflag", "l_quantity",
-                              "l_extendedprice", "l_tax")
+    """One row per order that has lines: line counts, delivery days, returns.
+
+    The lines are summed per (order, ship day) before they meet their order.
+    Partial aggregation leaves a task at most one row per order and day, so
+    an order that holds a large share of all lines is small before any
+    shuffle; the last step weighs each day by its line count.
+    """
+    day = F.to_date("l_shipdate").alias("f_day")
+    days = (t("lineitem").groupBy("l_orderkey", day)
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.count_if(F.col("l_returnflag") == "R").alias("returned"),
+                 F.sum("l_quantity").alias("quantity"),
+                 F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax")))
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    d = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
-    # An order holding a large share of all lines would put them in one join
-    # task: such keys are salted (salted_join), and partial aggregation per
-    # task collapses each hot order to a few rows before the final shuffle.
-    # Grouped by the order key alone: the other order columns depend on it.
-    return (salted_join(li, o, "l_orderkey", "o_orderkey")
-              .groupBy("o_orderkey")
-              .agg(F.any_value("o_custkey").alias("o_custkey"),
-                   F.any_value("o_orderdate").alias("o_orderdate"),
-                   F.any_value("o_orderpriority").alias("o_orderpriority"),
-                   F.count(F.lit(1)).alias("f_lines"),
-                   F.avg(d).alias("f_delivery_days"),
-                   (F.avg((d <= 0).cast("double")) * 100.0).alias("f_on_time_rate"),
-                   F.count_if(d > 0).alias("f_late_lines"),
-                   F.count_if(F.col("l_returnflag") == "R").alias("f_returned_lines"),
-                   F.sum("l_quantity").alias("f_quantity"),
-                   F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("f_tax")))
+    late = F.datediff(F.col("f_day"), F.to_date("o_orderdate"))
+    timed = F.sum(F.when(late.isNotNull(), F.col("n")))
+    return (days.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+                .groupBy("o_orderkey")
+                .agg(F.any_value("o_custkey").alias("o_custkey"),
+                     F.any_value("o_orderdate").alias("o_orderdate"),
+                     F.any_value("o_orderpriority").alias("o_orderpriority"),
+                     F.sum("n").alias("f_lines"),
+                     (F.sum(late * F.col("n")) / timed).alias("f_delivery_days"),
+                     (F.sum(F.when(late <= 0, F.col("n")).when(late > 0, F.lit(0))) / timed * 100.0)
+                     .alias("f_on_time_rate"),
+                     F.coalesce(F.sum(F.when(late > 0, F.col("n"))), F.lit(0)).alias("f_late_lines"),
+                     F.sum("returned").alias("f_returned_lines"),
+                     F.sum("quantity").alias("f_quantity"),
+                     F.sum("tax").alias("f_tax")))
 
 
 def transport(spark: SparkSession, sf_dir: str) -> StarSource:

@@ -3,8 +3,9 @@
 The batch intake (``sources.intake``) as a Structured Streaming query: a
 file source with the department schema (streams need one up front), the
 department taken from the sub-folder name, written exactly once per file
-to Parquet partitioned by department. Progress lives in a checkpoint under
-the shared ``spark.checkpoint.dir``, so a restarted job resumes.
+to Parquet partitioned by ``upload_department``. Progress lives in the given
+checkpoint folder, so a restarted job with the same folder resumes. Files whose
+header isn't the department's, in its order, fail the query.
 """
 
 from __future__ import annotations
@@ -14,21 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kpiforge.schemas import DATASET_TYPES, csv_schema
-from kpiforge.session import scratch_dir
 
 
 def start_intake(spark: SparkSession, inbox: str, dataset_type: str, target: str,
-                 checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                 checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Watch ``inbox/<department>/*.csv``; append rows to ``target``."""
     schema = csv_schema(DATASET_TYPES[dataset_type])
-    stream = (spark.readStream.schema(schema).option("header", True).option("escape", '"')
+    stream = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"')
               .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False)
               .csv(f"{inbox.rstrip('/')}/*"))
     dept = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    out = stream.withColumn("department", dept)
-    writer = (out.writeStream.format("parquet").partitionBy("department")
-              .option("checkpointLocation",
-                      checkpoint or scratch_dir(spark, f"intake-{dataset_type}"))
+    out = stream.withColumn("upload_department", dept)
+    writer = (out.writeStream.format("parquet").partitionBy("upload_department")
+              .option("checkpointLocation", checkpoint)
               .option("path", target))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="30 seconds")

@@ -79,7 +79,7 @@ def test_intake_validation_and_store(spark, tmp_path):
     with pytest.raises(IntakeError):
         validate("data.xlsx", "it", "IT")
     with pytest.raises(IntakeError):
-        validate("data.csv", "finance", "IT")
+        validate("data.csv", "payroll", "IT")
     with pytest.raises(IntakeError):
         validate("data.csv", "it", "")
     path = fixtures.write(tmp_path, "it")
@@ -100,7 +100,7 @@ def test_streaming_intake(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 4
-    assert {r.department for r in out.select("department").distinct().collect()} == {"Transport"}
+    assert {r.upload_department for r in out.select("upload_department").distinct().collect()} == {"Transport"}
 
 
 def test_whatif_identity_and_fallbacks(spark):
@@ -121,3 +121,79 @@ def test_whatif_identity_and_fallbacks(spark):
     assert unk.current == 100.0 and unk.effect1 is None
     imp = whatif.impacts(sc).where("department = 'hr' AND metric = 'unknown'").orderBy("idx")
     assert [r.impact for r in imp.collect()] == whatif.FALLBACK_IMPACTS
+
+
+def test_hr_intake_keeps_the_files_department(spark, tmp_path):
+    path = fixtures.write(tmp_path, "hr")
+    ingest_dataset(spark, path, "hr", "People", str(tmp_path / "store"))
+    src = read_department(spark, "hr", str(tmp_path / "store" / "datasets" / "hr"), fmt="parquet")
+    direct = read_department(spark, "hr", path)
+    assert sorted(src.frame("employee_id", "department").collect()) == sorted(
+        direct.frame("employee_id", "department").collect())
+
+
+def test_intake_rejects_are_kept_with_a_reason(spark, tmp_path):
+    path = fixtures.write(tmp_path, "it")
+    lines = open(path).read().splitlines()
+    parts = lines[1].split(",")
+    parts[4] = "abc"
+    with open(path, "w") as f:
+        f.write("\n".join([lines[0], ",".join(parts), *lines[2:]]) + "\n")
+    root = str(tmp_path / "store")
+    stored = ingest_dataset(spark, path, "it", "IT", root)
+    assert stored.count() == len(lines) - 2
+    reject = spark.read.parquet(f"{root}/rejects").collect()
+    assert len(reject) == 1 and "Resolution Time (hrs)" in reject[0].reason and "abc" in reject[0].record
+    m = spark.read.parquet(f"{root}/manifest").first()
+    assert (m.accepted, m.rejected) == (len(lines) - 2, 1)
+
+
+def test_finance_datasets_are_accepted(spark, tmp_path):
+    p = tmp_path / "f.csv"
+    p.write_text("a,b\n1,x\n2,y\n")
+    assert ingest_dataset(spark, str(p), "finance", "Finance", str(tmp_path / "store")).count() == 2
+
+
+def test_corrupt_summary_is_rebuilt(spark, tmp_path):
+    root = tmp_path / "summary"
+    it = read_department(spark, "it", fixtures.write(tmp_path, "it"))
+    first = get_or_build_summary(spark, str(root), "it", lambda: build_summary("it", it)).count()
+    for f in (root / "department=it").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (root / "department=it").glob(".*.crc"):
+        f.unlink()
+    again = get_or_build_summary(spark, str(root), "it", lambda: build_summary("it", it))
+    assert again.count() == first
+
+
+def test_partial_sales_file_gives_zero_and_empty_sections(spark, tmp_path):
+    from kpiforge.plans import sales
+    p = tmp_path / "sales.csv"
+    p.write_text("Region\nNorth\nSouth\nNorth\n")
+    src = read_department(spark, "sales", str(p))
+    m = sales.metrics(src).first()
+    assert (m.total_sales, m.total_units, m.avg_unit_price, m.num_transactions) == (0, 0, 0, 3)
+    assert {(r.section, r.key, r.n) for r in sales.distributions(src).collect()} == {
+        ("by_region", "North", 2), ("by_region", "South", 1)}
+    for part in (sales.monthly_trends, sales.top_performers, sales.recent_sales):
+        assert part(src).count() == 0
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from kpiforge import session
+
+    class Fake:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Fake)
+
+
+def test_percentages_outside_the_bounds_are_refused(spark):
+    with pytest.raises(ValueError):
+        whatif.scenario_grid(spark.createDataFrame([("it", "cost")], "department string, metric string"), [150])

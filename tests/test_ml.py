@@ -67,3 +67,27 @@ def test_forest_and_kmeans_shapes(spark):
     km = cluster.kmeans(data, 2, seeds=(1, 2))
     counts = cluster.cluster_counts(km, data).collect()
     assert sum(r.n for r in counts) == 400 and len(counts) == 2
+
+
+def test_oversampling_balances_between_minority_rows(spark):
+    from kpiforge.ml.oversample import oversample
+    rows = [(i, int(i % 10 == 0), float(i % 7), float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    out = oversample(df, "k", "y", ["a", "b"]).toPandas()
+    assert (out.y == 1).sum() == (out.y == 0).sum() == 270
+    made = out[out.k.str.startswith("synthetic-")][["a", "b"]].to_numpy()
+    small = np.array([r[2:] for r in rows if r[1]])
+    for x in made:   # on a segment between two minority rows
+        d = small[:, None, :] - small[None]
+        t = ((x - small[None]) * d).sum(2) / np.maximum((d ** 2).sum(2), 1e-12)
+        near = np.linalg.norm(small[None] + np.clip(t, 0, 1)[..., None] * d - x, axis=2)
+        assert near.min() < 1e-9
+    again = oversample(df.repartition(5), "k", "y", ["a", "b"]).toPandas()
+    assert np.allclose(np.sort(made, axis=0), np.sort(again[again.k.str.startswith("synthetic-")][["a", "b"]].to_numpy(), axis=0))
+
+
+def test_cluster_counts_cover_invalid_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (5.0, 6.0), (None, 1.0)], "x double, y double")
+    data = cluster.assemble(df, ["x", "y"])
+    counts = {r.cluster: r.n for r in cluster.cluster_counts(cluster.kmeans(data, 2, (1,)), data, df, ["x", "y"]).collect()}
+    assert sum(counts.values()) == 3 and counts[cluster.INVALID] == 1

@@ -130,20 +130,3 @@ def test_projection_helpers_and_logs_join(spark):
     users = spark.createDataFrame([(1, "a@x")], "id int, email string")
     rows = {r.action: r.email for r in logs_with_users(logs, users).collect()}
     assert rows == {"login": "a@x", "upload": None, "anon": None}
-
-
-def test_salted_join_equals_plain_join_under_skew(spark):
-    from kpiforge.operators.joins import heavy_keys, salted_join
-    # key 0 holds 40% of the fact rows
-    fact = spark.range(5000).select(
-        F.when(F.col("id") % 5 < 2, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("k"),
-        F.col("id").alias("v"))
-    dim = spark.range(0, 98).select(F.col("id").alias("dk"), (F.col("id") * 10).alias("w"))
-    assert [r.k for r in heavy_keys(fact, "k", fraction=0.2, min_share=0.1).collect()] == [0]
-    got = (salted_join(fact, dim, "k", "dk", salts=8, fraction=0.2, min_share=0.1)
-           .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sv"),
-                             F.sum("w").alias("sw")))
-    exp = (fact.join(dim, fact.k == dim.dk).groupBy("k")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sv"), F.sum("w").alias("sw")))
-    assert sorted(got.collect()) == sorted(exp.collect())
-    assert got.where("k = 0").first().n == 2000

@@ -49,10 +49,11 @@ def test_global_comparisons_are_subqueries_not_cross_joins(spark, capsys):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_order_grain_salts_hot_keys(spark, capsys, no_auto_broadcast):
-    src = testbed.transport(spark, SF)
-    p = plan(src.frame("deliveries", "delivery_time"), capsys)
-    assert "SortMergeJoin" in p and "xxhash64" in p        # hot keys salted
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    # partial aggregation before the final shuffle of the per-order aggregate
+def test_order_grain_sums_lines_before_the_join(spark, capsys, no_auto_broadcast):
+    p = plan(testbed.transport(spark, SF).frame("deliveries", "delivery_time"), capsys)
+    assert p.count("lineitem.parquet") == 1                  # one scan, no sampling pass
+    tree = p[:p.index("(1)")]
+    join, scan = tree.index("SortMergeJoin"), tree.index("Scan parquet")
+    assert "HashAggregate" in tree[join:scan]                # lines are summed below the join
     assert "partial_count" in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
