@@ -78,7 +78,8 @@ SELECT strftime(order_date, '%Y-%m-%d') AS date, category,
        concat_ws(' - ', item, supplier) AS description,
        ROUND(total_cost, 2) AS amount, status
 FROM sc
-ORDER BY order_date DESC, category, description, amount, status
+WHERE order_date IS NOT NULL
+ORDER BY order_date DESC, order_key, line_number
 LIMIT 10"""
 
 # ---------------------------------------------------------------- IT support
@@ -151,7 +152,7 @@ SQL["pr5_recent_operations"] = f"""WITH {PR}
 SELECT strftime(date, '%Y-%m-%d') AS date, production_id, product, line, shift, units,
        ROUND(defects, 6) AS defects, ROUND(eff, 6) AS efficiency_rate,
        ROUND(eff, 6) AS quality_score
-FROM pr
+FROM pr WHERE date IS NOT NULL
 ORDER BY pr.date DESC, production_id, product, line, shift, units, ROUND(defects, 6)
 LIMIT 10"""
 
@@ -213,8 +214,8 @@ SELECT section, key, ROUND(rev, 2) AS revenue, rank FROM ranked WHERE rank <= 5"
 SQL["sa5_recent_sales"] = f"""WITH {SA}
 SELECT strftime(date, '%Y-%m-%d') AS date, product, region, salesperson,
        ROUND(revenue, 2) AS revenue, units
-FROM sa
-ORDER BY sa.date DESC, product, region, salesperson, ROUND(revenue, 2), units
+FROM sa WHERE date IS NOT NULL
+ORDER BY sa.date DESC, order_key, line_number
 LIMIT 10"""
 
 SQL["sa6_insights"] = f"""WITH {SA}, {SA_GROUPED},

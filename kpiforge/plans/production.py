@@ -10,24 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions import fmt_date, month_bucket
-from kpiforge.operators.aggregate import arg_max, group_agg_multi, group_mean, value_counts_multi
+from kpiforge.operators.aggregate import arg_max
 from kpiforge.operators.derive import efficiency_rate
-from kpiforge.operators.topk import recent
 from kpiforge.plans.common import MEAN_DIGITS, numbered, rmean
 
-# Fixed values of the reference.
-RECOMMENDATIONS = [
-    "Implement lean manufacturing principles across all production lines",
-    "Develop standardized operating procedures for common operations",
-    "Enhance quality control measures and training programs",
-    "Optimize shift scheduling based on performance metrics",
-]
-
 
 def _eff():
     return efficiency_rate("units", "defects")
 
 
+def _efficiency_sums() -> dict:
+    return {"eff": F.sum(_eff()), "n": F.count(_eff())}
+
+
 def metrics(src) -> DataFrame:
     """PR1: operations, mean efficiency, mean quality, mean machine utilisation.
 
@@ -42,9 +37,8 @@ def metrics(src) -> DataFrame:
 
 def distributions(src) -> DataFrame:
     """PR2: operation counts by product, line and shift."""
-    df = src.frame("product", "line", "shift")
-    return value_counts_multi(df, {"product_lines": "product", "production_lines": "line",
-                                   "shifts": "shift"})
+    return src.keyed_sums({"product_lines": "product", "production_lines": "line", "shifts": "shift"},
+                          {"n": F.count(F.lit(1))}, [])
 
 
 def monthly_trends(src) -> DataFrame:
@@ -57,29 +51,28 @@ def monthly_trends(src) -> DataFrame:
 
 def performance(src) -> DataFrame:
     """PR4: mean efficiency by product, line and shift."""
-    df = src.frame("product", "line", "shift", "units", "defects").withColumn("eff", _eff())
-    return group_agg_multi(df, {"by_product": "product", "by_line": "line", "by_shift": "shift"},
-                           {"avg_efficiency": rmean("eff")}, keep=["eff"])
+    sums = src.keyed_sums({"by_product": "product", "by_line": "line", "by_shift": "shift"}, _efficiency_sums(),
+                          ["units", "defects"])
+    return sums.select("section", "key", F.round(F.try_divide("eff", "n"), MEAN_DIGITS).alias("avg_efficiency"))
 
 
 def recent_operations(src, n: int = 10) -> DataFrame:
     """PR5: latest operations, date ``YYYY-MM-DD``; ties broken on every column."""
-    df = src.frame("production_id", "date", "product", "line", "shift", "units", "defects")
-    shaped = df.select("date", "production_id", "product", "line", "shift", "units",
+    top = src.latest("date", n, ["production_id", "date", "product", "line", "shift", "units", "defects"],
+                     ties=["production_id", "product", "line", "shift", "units", F.round("defects", MEAN_DIGITS)],
+                     keys=["production_id"])
+    shaped = top.select("date", "production_id", "product", "line", "shift", "units",
                        F.round("defects", MEAN_DIGITS).alias("defects"),
                        F.round(_eff(), MEAN_DIGITS).alias("efficiency_rate"),
                        F.round(_eff(), MEAN_DIGITS).alias("quality_score"))
-    top = recent(shaped, "date", n, tie=["production_id", "product", "line", "shift", "units",
-                                         "defects"])
-    return top.withColumn("date", fmt_date("date"))
+    return shaped.withColumn("date", fmt_date("date"))
 
 
 def insights(src) -> DataFrame:
     """PR6: four insight strings -> (idx, insight)."""
-    df = src.frame("product", "units", "defects", "utilization")
-    by_product = group_mean(df.withColumn("eff", _eff()), "product", "eff", "m")
-    best = arg_max(by_product, "product", "m").select("product")
-    base = df.agg(F.avg(_eff()).alias("e"), F.avg("utilization").alias("u"))
+    by_product = src.keyed_sums({"product": "product"}, _efficiency_sums(), ["units", "defects"])
+    best = arg_max(by_product.select("key", F.try_divide("eff", "n").alias("m")), "key", "m").select("key")
+    base = src.frame("units", "defects", "utilization").agg(F.avg(_eff()).alias("e"), F.avg("utilization").alias("u"))
     return numbered(base, [
         F.format_string("Average efficiency rate is %.1f%%", F.bround("e", 1)),
         F.format_string("Average quality score is %.1f%%", F.bround("e", 1)),

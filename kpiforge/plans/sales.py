@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions import fmt_date, month_bucket, safe_ratio
-from kpiforge.operators.aggregate import group_agg_multi, value_counts_multi
-from kpiforge.operators.topk import recent, top_per_section
+from kpiforge.operators.topk import top_per_section
 from kpiforge.plans.common import MEAN_DIGITS, SUM_DIGITS, numbered, rsum
 
 SECTIONS = {"top_products": "product", "top_regions": "region",
@@ -32,9 +31,8 @@ def metrics(src) -> DataFrame:
 
 def distributions(src) -> DataFrame:
     """SA2: row counts by product, region, salesperson."""
-    df = src.frame("product", "region", "salesperson")
-    return value_counts_multi(df, {"by_product": "product", "by_region": "region",
-                                   "by_salesperson": "salesperson"})
+    return src.keyed_sums({"by_product": "product", "by_region": "region", "by_salesperson": "salesperson"},
+                          {"n": F.count(F.lit(1))}, [])
 
 
 def monthly_trends(src) -> DataFrame:
@@ -46,8 +44,7 @@ def monthly_trends(src) -> DataFrame:
 
 
 def _grouped_revenue(src) -> DataFrame:
-    df = src.frame("product", "region", "salesperson", "revenue")
-    return group_agg_multi(df, SECTIONS, {"revenue": F.sum("revenue")}, keep=["revenue"]).where(
+    return src.keyed_sums(SECTIONS, {"revenue": F.sum("revenue")}, ["revenue"]).where(
         F.col("revenue").isNotNull())
 
 
@@ -59,11 +56,11 @@ def top_performers(src, n: int = 5) -> DataFrame:
 
 def recent_sales(src, n: int = 10) -> DataFrame:
     """SA5: latest sales by date; ties broken on every output column."""
-    df = src.frame("date", "product", "region", "salesperson", "revenue", "units")
-    shaped = df.select("date", "product", "region", "salesperson",
-                       F.round("revenue", SUM_DIGITS).alias("revenue"), "units")
-    top = recent(shaped.where(F.col("date").isNotNull()), "date", n, tie=["product", "region", "salesperson", "revenue", "units"])
-    return top.withColumn("date", fmt_date("date"))
+    columns = ["date", "product", "region", "salesperson", "revenue", "units"]
+    revenue = F.round("revenue", SUM_DIGITS)
+    top = src.latest("date", n, columns, ties=["product", "region", "salesperson", revenue, "units"],
+                     keys=["order_key", "line_number"])
+    return top.withColumns({"revenue": revenue, "date": fmt_date("date")}).select(*columns)
 
 
 def insights(src) -> DataFrame:

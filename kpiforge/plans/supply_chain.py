@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions import fmt_date, month_bucket, rate
-from kpiforge.operators.aggregate import group_agg_multi, mean_above_median
+from kpiforge.operators.aggregate import mean_above_median
 from kpiforge.operators.derive import delay_days, description
-from kpiforge.operators.topk import recent
-from kpiforge.plans.common import rmean, rsum
+from kpiforge.plans.common import MEAN_DIGITS, SUM_DIGITS, rmean, rsum
 
 # Fixed value of the reference: status that counts as completed (Q5).
 COMPLETED_STATUS = "Completed"
@@ -37,9 +36,9 @@ def metrics(src, digits: int = 2) -> DataFrame:
 
 def distributions(src) -> DataFrame:
     """SC2: cost sum by category and by supplier -> (section, key, total_cost)."""
-    df = src.frame("category", "supplier", "total_cost")
-    return group_agg_multi(df, {"category_costs": "category", "supplier_costs": "supplier"},
-                           {"total_cost": rsum("total_cost")}, keep=["total_cost"])
+    sums = src.keyed_sums({"category_costs": "category", "supplier_costs": "supplier"},
+                          {"total_cost": F.sum("total_cost")}, ["total_cost"])
+    return sums.withColumn("total_cost", F.round("total_cost", SUM_DIGITS))
 
 
 def monthly_trends(src) -> DataFrame:
@@ -53,13 +52,15 @@ def monthly_trends(src) -> DataFrame:
 
 def supplier_performance(src, completed: str = COMPLETED_STATUS) -> DataFrame:
     """SC4: per supplier mean delay, cost sum and completion rate (a fraction)."""
-    df = src.frame("supplier", "order_date", "delivery_date", "total_cost", "status")
-    done = F.coalesce(F.col("status") == F.lit(completed), F.lit(False)).cast("double")
-    return (df.where(F.col("supplier").isNotNull())
-              .groupBy("supplier")
-              .agg(rmean(_delay()).alias("avg_delay"),
-                   rsum("total_cost").alias("total_cost"),
-                   rmean(done).alias("completion_rate")))
+    done = F.coalesce(F.col("status") == F.lit(completed), F.lit(False))
+    sums = src.keyed_sums({"supplier": "supplier"},
+                          {"n": F.count(F.lit(1)), "days": F.sum(_delay()), "timed": F.count(_delay()),
+                           "cost": F.sum("total_cost"), "done": F.count_if(done)},
+                          ["order_date", "delivery_date", "total_cost", "status"])
+    return sums.select(F.col("key").alias("supplier"),
+                       F.round(F.try_divide("days", "timed"), MEAN_DIGITS).alias("avg_delay"),
+                       F.round("cost", SUM_DIGITS).alias("total_cost"),
+                       F.round(F.col("done") / F.col("n"), MEAN_DIGITS).alias("completion_rate"))
 
 
 def analysis(src) -> DataFrame:
@@ -71,16 +72,16 @@ def analysis(src) -> DataFrame:
     name among ties) and the global on-time rate; and the cost test over the
     fact table alone (no join needed for ``total_cost``).
     """
-    df = src.frame("category", "order_date", "delivery_date")
     d = _delay()
-    by_cat = (df.groupBy("category")
-                .agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("sd"),
-                     F.count(d).alias("nd"), F.count_if(d <= 0).alias("ok"))
-                .withColumn("d", F.col("sd") / F.col("nd")))
-    rank_key = F.when(F.col("category").isNotNull() & F.col("d").isNotNull(),
+    sums = src.keyed_sums({"category": "category", "all": "all_rows"},
+                          {"n": F.count(F.lit(1)), "sd": F.sum(d), "nd": F.count(d), "ok": F.count_if(d <= 0)},
+                          ["order_date", "delivery_date"])
+    by_cat = sums.withColumn("d", F.try_divide("sd", "nd")).withColumnRenamed("key", "category")
+    rank_key = F.when((F.col("section") == "category") & F.col("d").isNotNull(),
                       F.struct((-F.col("d")).alias("neg_d"), F.col("category")))
+    whole = F.col("section") == "all"   # lines without a category count in the rate
     rolled = by_cat.agg(F.min_by(F.struct("category", "d"), rank_key).alias("w"),
-                        (F.sum("ok") / F.sum("n") * F.lit(100.0)).alias("r"))
+                        (F.sum(F.when(whole, F.col("ok"))) / F.sum(F.when(whole, F.col("n"))) * F.lit(100.0)).alias("r"))
     cost = mean_above_median(src.frame("total_cost"), "total_cost").select(
         F.format_string("%s ($%,.2f)",
                         F.when(F.col("above_median"), "High").otherwise("Low"),
@@ -95,18 +96,10 @@ def analysis(src) -> DataFrame:
 
 def recent_orders(src, n: int = 10) -> DataFrame:
     """SC6: latest orders: date, category, description, amount (round 2), status."""
-    df = src.frame("order_date", "category", "item", "supplier", "total_cost", "status")
-    shaped = df.select("order_date",
-                       fmt_date("order_date").alias("date"),
-                       "category",
-                       description("item", "supplier").alias("description"),
-                       F.round("total_cost", 2).alias("amount"),
-                       "status")
-    top = recent(shaped, "order_date", n, tie=["category", "description", "amount", "status"])
-    return top.drop("order_date")
-
-
-def cluster_frame(src) -> DataFrame:
-    """Inputs of the supplier segmentation (ML11/ML14): quantity, unit cost."""
-    return src.frame("order_key", "line_number", "quantity", "unit_cost", "order_date",
-                     "delivery_date", "total_cost")
+    amount = F.round("total_cost", 2)
+    top = src.latest("order_date", n, ["order_date", "category", "item", "supplier", "total_cost", "status"],
+                     ties=["category", description("item", "supplier"), amount, "status"],
+                     keys=["order_key", "line_number"])
+    return top.select(fmt_date("order_date").alias("date"), "category",
+                      description("item", "supplier").alias("description"), amount.alias("amount"), "status")
+

@@ -37,9 +37,32 @@ class TableSource:
         if not roles:
             return self.df
         have = set(self.df.columns)
+        if "all_rows" in roles and "all_rows" not in have:   # the one group of a total
+            return TableSource(self.df.withColumn("all_rows", F.lit("all")), self.optional).frame(*roles)
         return self.df.select(*[F.lit(None).cast(self.optional[r]).alias(r)
                                 if r not in have and r in self.optional else F.col(r) for r in roles])
 
+    def keyed_sums(self, sections: Mapping[str, str], measures: Mapping[str, Column],
+                   reads: Sequence[str]) -> DataFrame:
+        """(section, key, *measures): additive ``measures`` over the roles ``reads``, by each section's role."""
+        df = self.frame(*dict.fromkeys([*sections.values(), *reads]))
+        return _sums(_sectioned(df, {s: F.col(r) for s, r in sections.items()}, reads), measures)
+
+    def latest(self, date: str, n: int, roles: Sequence[str], ties: Sequence[Column | str],
+               keys: Sequence[str] = ()) -> DataFrame:
+        """The ``n`` rows latest by ``date`` (nulls out); ties by ``ties``, columns over ``roles``."""
+        df = self.frame(*roles).where(F.col(date).isNotNull())
+        return df.orderBy(F.desc(date), *ties).limit(n)
+
+
+def _sectioned(df: DataFrame, keys: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
+    structs = [F.struct(F.lit(s).alias("section"), k.cast("string").alias("key")) for s, k in keys.items()]
+    return df.select(F.inline(F.array(*structs)), *keep).where(F.col("key").isNotNull())
+
+
+def _sums(df: DataFrame, measures: Mapping[str, Column]) -> DataFrame:
+    return df.groupBy("section", "key").agg(*[m.alias(name) for name, m in measures.items()])
+
 
 @dataclass
 class Dim:
@@ -88,8 +111,12 @@ class StarSource:
         unknown = [r for r in roles if r not in self._roles]
         if unknown:
             raise KeyError(f"unknown roles {unknown}")
-        df = self._fact()
-        for name in self._needed(roles):
+        return self._joined(self._needed(roles)).select(*[self._roles[r].expr.alias(r) for r in roles])
+
+    def _joined(self, dims: Sequence[str], df: DataFrame | None = None) -> DataFrame:
+        """The fact (or ``df``) with the named dimensions, in order."""
+        df = self._fact() if df is None else df
+        for name in dims:
             dim = self._dims[name]
             right = dim.load()
             if dim.broadcast:
@@ -99,4 +126,55 @@ class StarSource:
                 c = F.col(lcol) == right[rcol]
                 cond = c if cond is None else cond & c
             df = df.join(right, cond, "left")
-        return df.select(*[self._roles[r].expr.alias(r) for r in roles])
+        return df
+
+    def keyed_sums(self, sections: Mapping[str, str], measures: Mapping[str, Column],
+                   reads: Sequence[str]) -> DataFrame:
+        """(section, key, *measures): additive ``measures`` over the roles ``reads``, by each section's role.
+
+        The fact is summed by the foreign key that leads to the section's
+        dimension, in one scan and one aggregation for all sections; only the
+        sums meet the dimensions, one hop at a time, and are summed again by
+        the next key. So no raw row is shuffled on a dimension's key, and a hot
+        key is one row per task. Only what the measures read is joined first.
+        """
+        base = self._needed(reads)
+        hops = {s: [d for d in self._needed([r]) if d not in base] for s, r in sections.items()}
+
+        def key_of(section: str) -> Column:
+            """The key by which the section's sums go on: the next foreign key, or the role itself."""
+            left = hops[section]
+            return F.col(self._dims[left[0]].on[0][0]) if left else self._roles[sections[section]].expr
+
+        df = self._joined(base)
+        roles = [self._roles[r].expr.alias(r) for r in reads]
+        structs = [F.struct(F.lit(s).alias("section"), key_of(s).cast("string").alias("key")) for s in sections]
+        rows = df.select(F.inline(F.array(*structs)), *roles).where(F.col("key").isNotNull())
+        out = _sums(rows, measures)
+        while any(hops.values()):
+            key = F.col("key")
+            for s in [s for s, left in hops.items() if left]:
+                dim = self._dims[hops[s].pop(0)]
+                right = dim.load().select(F.col(dim.on[0][1]).cast("string").alias(f"_on_{s}"),
+                                          key_of(s).cast("string").alias(f"_to_{s}"))
+                if dim.broadcast:
+                    right = F.broadcast(right)
+                out = out.join(right, (F.col("section") == s) & (F.col("key") == F.col(f"_on_{s}")), "left")
+                key = F.when(F.col("section") == s, F.col(f"_to_{s}")).otherwise(key)
+            out = _sums(out.select("section", key.alias("key"), *measures).where(F.col("key").isNotNull()),
+                        {m: F.sum(m) for m in measures})
+        return out
+
+    def latest(self, date: str, n: int, roles: Sequence[str], ties: Sequence[Column | str] = (),
+               keys: Sequence[str] = ()) -> DataFrame:
+        """The ``n`` rows latest by ``date`` (nulls out), ties by the fact's ``keys``.
+
+        Only what the date needs is joined before the rows are picked; the other
+        dimensions meet ``n`` rows.
+        """
+        base = self._needed([date, *keys])
+        df = self._joined(base)
+        order = [self._roles[date].expr.desc(), *[self._roles[k].expr for k in keys]]
+        top = df.where(self._roles[date].expr.isNotNull()).orderBy(*order).limit(n)
+        rest = [d for d in self._needed(roles) if d not in base]
+        return self._joined(rest, top).select(*[self._roles[r].expr.alias(r) for r in roles])

@@ -44,6 +44,7 @@ def supply_chain(spark: SparkSession, sf_dir: str) -> StarSource:
             "supplier": Dim(lambda: t("supplier"), [("l_suppkey", "s_suppkey")]),
         },
         roles={
+            "all_rows": Role(F.lit("all")),
             "order_key": Role(F.col("l_orderkey")),
             "line_number": Role(F.col("l_linenumber")),
             "item": Role(F.col("p_name"), ("part",)),

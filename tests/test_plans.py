@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from kpiforge.plans import hr, sales, supply_chain
+from kpiforge.plans import hr, production, sales, supply_chain
 from kpiforge.sources import testbed
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,23 @@ def test_order_grain_sums_lines_before_the_join(spark, capsys, no_auto_broadcast
     assert "HashAggregate" in tree[join:scan]                # lines are summed below the join
     assert "partial_count" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+@pytest.mark.parametrize("make", [lambda s: supply_chain.distributions(testbed.supply_chain(s, SF)),
+                                  lambda s: sales.top_performers(testbed.sales(s, SF)),
+                                  lambda s: production.performance(testbed.production(s, SF))])
+def test_the_fact_is_summed_before_it_meets_dimensions(spark, capsys, no_auto_broadcast, make):
+    p = plan(make(spark), capsys)
+    assert p.count("lineitem.parquet") == 1
+    assert "hashpartitioning(l_partkey" not in p and "hashpartitioning(l_suppkey" not in p
+    assert "hashpartitioning(l_orderkey" not in p
+
+
+@pytest.mark.parametrize("make, dims", [(lambda s: supply_chain.recent_orders(testbed.supply_chain(s, SF)), ("part", "supplier")),
+                                        (lambda s: sales.recent_sales(testbed.sales(s, SF)), ("part", "customer")),
+                                        (lambda s: production.recent_operations(testbed.production(s, SF)), ("part",))])
+def test_recent_rows_are_picked_before_the_dimension_joins(spark, capsys, make, dims):
+    p = plan(make(spark), capsys)
+    tree = p[:p.index("(1)")]
+    pick = tree.index("TakeOrderedAndProject")
+    assert pick > tree.index("Join")          # the tree is printed from the top: joins above the pick
