@@ -22,11 +22,6 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def count_rows(df: DataFrame, alias: str = "n") -> DataFrame:
-    """``len(df)`` (AG1)."""
-    return df.agg(F.count(F.lit(1)).alias(alias))
-
-
 def value_counts(df: DataFrame, col: ColumnOrName, key: str = "key", alias: str = "n") -> DataFrame:
     """``Series.value_counts()`` (AG4): null keys dropped (Q12); unordered table."""
     return (df.where(_c(col).isNotNull())
@@ -90,11 +85,6 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct()
 
 
-def correlation(df: DataFrame, a: str, b: str, alias: str = "corr") -> DataFrame:
-    """Pearson correlation (AG10)."""
-    return df.agg(F.corr(a, b).alias(alias))
-
-
 def mean_above_median(df: DataFrame, value: str) -> DataFrame:
     """Exactly decide ``mean(x) > median(x)`` without materialising a median.
 

@@ -55,11 +55,6 @@ def delay_days(delivery: ColumnOrName, order: ColumnOrName) -> Column:
     return days_between(delivery, order)
 
 
-def delayed_flag(delay: ColumnOrName) -> Column:
-    """PRJ8."""
-    return _c(delay) > 0
-
-
 def description(item: ColumnOrName, supplier: ColumnOrName) -> Column:
     """PRJ9: ``item - supplier``."""
     return F.concat_ws(" - ", _c(item), _c(supplier))
@@ -93,11 +88,6 @@ def scope_to(df: DataFrame, department: str | None, is_admin: bool, col: str = "
     return df.where(F.col(col) == F.lit(department))
 
 
-def if_has(df: DataFrame, cols: Sequence[str], expr: Column, default) -> Column:
-    """PRJ14: ``expr`` when all ``cols`` exist in ``df`` (checked on the schema), else ``default``."""
-    return expr if all(c in df.columns for c in cols) else F.lit(default)
-
-
 def badge_class(status: ColumnOrName, mapping: Mapping[str, str], default: str) -> Column:
     """PRJ16: status text -> display class."""
     return ladder(status, mapping, default)

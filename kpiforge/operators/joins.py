@@ -1,4 +1,4 @@
-"""Join-like operators (JN1-JN4).
+"""Join operators (JN3; JN1 is in ``whatif``, JN4 a scalar subquery where it is used).
 
 Only tables whose size is bounded by construction are broadcast: code-
 defined dimensions (coefficients, defaults) and the TPC-H nation/region
@@ -8,25 +8,7 @@ plain ``join`` so Catalyst and AQE choose the strategy from actual sizes.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-
-def lookup_with_fallback(df: DataFrame, dim: DataFrame, keys: Sequence[str],
-                         fallback: Mapping[str, object]) -> DataFrame:
-    """JN1: keyed lookup into a small fixed dimension; misses take ``fallback``.
-
-    ``dim`` must be a code-defined table (bounded size); it is broadcast.
-    """
-    joined = df.join(F.broadcast(dim), list(keys), "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fallback.items()})
-
-
-def global_value(agg_df: DataFrame) -> Column:
-    """JN4: a one-row, one-column aggregate as a scalar subquery column."""
-    return agg_df.scalar()
+from pyspark.sql import DataFrame
 
 
 def logs_with_users(logs: DataFrame, users: DataFrame, log_key: str = "user_id",

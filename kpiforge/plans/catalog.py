@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
-from kpiforge.plans import models, summary, whatif
+from kpiforge.plans import models, records, summary, whatif
 from kpiforge.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,16 @@ QUERIES["ml9_supply_baseline_report"] = models.supply_baseline_report
 QUERIES["ml7_oversampled_counts"] = models.oversampled_counts
 QUERIES["ml20_test_sides"] = models.test_sides
 
+# operational records
+QUERIES["jn3_audit_log"] = records.audit_log
+QUERIES["fn11_part_files"] = records.part_files
+QUERIES["prj16_order_badges"] = records.order_badges
+QUERIES["prj13_scoped_customers"] = records.scoped_customers
+QUERIES["ag9_event_types"] = records.event_types
+QUERIES["so3_last_events"] = records.last_events
+QUERIES["src4_metrics_with_defaults"] = records.metrics_with_defaults
+QUERIES["snk7_hr_report"] = records.hr_report
+
 # summaries of all departments
 QUERIES["all3_summary_sections"] = summary.section_sizes
 QUERIES["snk3_metrics_report"] = summary.metric_rows

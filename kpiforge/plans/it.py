@@ -15,11 +15,6 @@ from kpiforge.plans.common import MEAN_DIGITS, numbered, rmean
 
 # Fixed values of the reference.
 SYSTEM_UPTIME = 99.9
-RECOMMENDATIONS = [
-    "Implement automated ticket routing based on system and issue type",
-    "Develop self-service portal for common issues",
-    "Enhance knowledge base with frequently asked questions",
-]
 
 
 def metrics(src) -> DataFrame:

@@ -633,3 +633,36 @@ SQL["ml20_test_sides"] = f"WITH {SC}, {SA}, {IT}, {HR}\n" + "\nUNION ALL ".join(
 SQL["ml7_oversampled_counts"] = f"""WITH {HR},
 t AS (SELECT resigned, COUNT(*) AS n FROM hr WHERE {SPLIT.format(id='employee_id')} AND resigned IS NOT NULL GROUP BY 1)
 SELECT resigned, (SELECT MAX(n) FROM t) AS n, (SELECT MAX(n) FROM t) - n AS synthetic FROM t"""
+
+# ---------------------------------------------------------------- operational records
+SQL["jn3_audit_log"] = """SELECT event_id, c_name AS user_name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at,
+       TRY_CAST(regexp_replace(props, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS amount
+FROM events LEFT JOIN customer ON user_id = c_custkey"""
+SQL["fn11_part_files"] = """WITH f AS (
+  SELECT p_partkey, p_name, regexp_replace(regexp_replace(lower(p_name || '/' || p_type), '[()]', '', 'g'), '[ /]', '_', 'g')
+         || '.' || p_brand AS file FROM part)
+SELECT p_partkey, file, lower(regexp_extract(file, '[^.]*$')) AS extension,
+       CASE WHEN contains(p_name, '.') THEN lower(regexp_extract(p_name, '[^.]*$')) END AS no_extension FROM f"""
+SQL["prj16_order_badges"] = """SELECT CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'warning' ELSE 'secondary' END AS badge,
+       COUNT(*) AS n, CAST(SUM(CASE WHEN o_orderpriority LIKE '1%' THEN 1 WHEN o_orderpriority LIKE '5%' THEN 0 END) AS BIGINT) AS urgent
+FROM orders GROUP BY 1"""
+SQL["prj13_scoped_customers"] = """SELECT 'user' AS view, COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS balance FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'admin', COUNT(*), ROUND(SUM(c_acctbal), 2) FROM customer
+UNION ALL SELECT 'nation 0', COUNT(*), ROUND(SUM(c_acctbal), 2) FROM customer WHERE c_nationkey = 0"""
+SQL["ag9_event_types"] = "SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL"
+SQL["so3_last_events"] = "SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 10"
+SQL["src4_metrics_with_defaults"] = f"""WITH {IT}
+SELECT 'all' AS frame, COUNT(*) AS total_tickets, ROUND(AVG(hours), 6) AS avg_resolution_time,
+       CAST(4.2 AS DOUBLE) AS satisfaction FROM it
+UNION ALL SELECT 'none', 0, 0.0, 4.2"""
+
+
+def _hr_report_sql() -> str:
+    from kpiforge.operators.insights import RECOMMENDATIONS
+
+    n = len(RECOMMENDATIONS["hr"])
+    return f"""SELECT GREATEST(COUNT(*), {n}) AS positions, COUNT(*) AS insights, CAST({n} AS BIGINT) AS recommendations
+FROM ({SQL['hr7_insight_records']})"""
+
+
+SQL["snk7_hr_report"] = _hr_report_sql()

@@ -13,7 +13,7 @@ from pyspark.sql.types import DataType, DateType, IntegerType
 
 from kpiforge.functions.dates import parse_dmy
 from kpiforge.operators.derive import yes_no_to_int
-from kpiforge.schemas import DEPARTMENTS, csv_schema, role_names
+from kpiforge.schemas import DEPARTMENTS, role_names
 from kpiforge.sources.binding import TableSource
 
 

@@ -2,6 +2,7 @@
 
 Edge cases: null group key, tied dates at the top-N cut, zero units,
 delivery before order, quoted comma, the text ``None``, one-class label.
+The header lines are fixed values.
 """
 
 SUPPLY = """Procurement ID,Item Name,Category,Supplier,Order Quantity,Unit Cost (USD),Total Cost (USD),Order Date,Delivery Date,Procurement Status
