@@ -48,10 +48,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_batch(df: DataFrame, run, schema: str) -> DataFrame:
+#: In a Python worker: caches that outlive a task, by name.
+KEPT: dict[str, dict] = {}
+
+
+def release(keep: str | None = None) -> None:
+    """Empty the worker's caches but ``keep``'s, so that one operator's don't weigh on the next."""
+    for name, cache in KEPT.items():
+        if name != keep:
+            cache.clear()
+
+
+def per_batch(df: DataFrame, run, schema: str, keep: str | None = None) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        release(keep)
+        yield from run(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

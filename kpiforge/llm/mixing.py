@@ -18,7 +18,6 @@ neighbours and cost nothing; an empty table gives an empty mix.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window

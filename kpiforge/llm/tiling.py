@@ -81,7 +81,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> hash; forgotten as a whole when it grows past ``MOST`` words."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.MOST:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import per_batch, shared_path, staged
+from kpiforge.llm.common import KEPT, per_batch, shared_path, staged
 
 MAGIC = b"KFS8B001"
 BLOCK = 1_024
@@ -247,14 +247,14 @@ class Tokens:
     """
 
     MOST_PIECES = 1_500_000  # bounds the memory; the pieces are encoded again when it is passed
-    _open: dict[str, Tokens] = {}
 
     @classmethod
     def of(cls, path: str) -> Tokens:
         """One tokenizer for each Python worker, kept between its tasks."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        kept = KEPT.setdefault("tokens", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -352,7 +352,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                          ["part", "piece", "path", "n_ids", "n_docs", "n_bytes"])
 
-    return staged(per_batch(rows, write, MANIFEST), "token-manifest").withColumn("folder", F.lit(folder))
+    return staged(per_batch(rows, write, MANIFEST, keep="tokens"), "token-manifest").withColumn("folder", F.lit(folder))
 
 
 def _slices(texts: pa.Array, chars: int = 4 << 20) -> Iterator[slice]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import per_batch, ship_package, staged, words
+from kpiforge.llm.common import per_batch, release, ship_package, staged, words
 
 CHAIN = ("severe", "mild", "toxic")
 MAX_TRAIN = 10_000
@@ -45,7 +45,7 @@ def features_of(word: str) -> list[str]:
 class Places(dict):
     """Word -> places of its selected features; forgotten as a whole past ``MOST`` words."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __init__(self, selected: dict[str, int]):
         self.selected = selected
@@ -184,6 +184,7 @@ def chain_scores(docs: DataFrame, model: ChainModel, text_col: str = "text") ->
 
     @F.pandas_udf("array<double>")
     def scores(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(list(shared.value.probabilities(texts, places)))
 
     return scores(F.col(f"`{text_col}`"))
