@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import broadcast_if_small, staged
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SPLITS = 1_024
 
 
