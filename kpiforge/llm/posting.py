@@ -10,8 +10,9 @@ times as far (``REPLICAS`` at most). Lists are kept in blocks, so a full list is
 Search: a best-first walk over the centroid graph, held in memory by each task, finds the lists
 whose centroid is at most ``ratio`` times as far as the nearest. The ratio is the smallest that
 finds ``RECALL`` of the sample's true neighbours in the sample, where they are sparser, so the
-full table does no worse. Lists and their queries meet block by block, each pair of blocks keeps
-the best per query, and the scores are inner products of the original vectors in double precision.
+full table does no worse. Lists and their queries meet block by block; a task keeps the best per
+query over the blocks of a list, so the candidates are at most ``k + 1`` for each query and list.
+Scores are inner products of the original vectors in double precision.
 
 Equal vectors are one entry with its smallest ``k + 1`` ids, all that a result can hold.
 
@@ -32,8 +33,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import per_batch, staged
 
-LIST_ROWS = 1_000
-MOST_LISTS = 2_048
+LEAST_LISTS, MOST_LISTS = 32, 2_048
 SAMPLE_ROWS = 32_768
 SAMPLE_BYTES = 64 << 20
 REPLICATE, REPLICAS = 1.01, 3
@@ -98,7 +98,7 @@ def fit_lists(sample: np.ndarray, n_rows: int, longest: float, k: int = 20) -> L
     """Balanced lists of a sample for a table of ``n_rows``."""
     index = Lists(np.empty((0, 0)), [], 0, longest)
     x = index.rows(sample)
-    want = max(1, min(MOST_LISTS, -(-n_rows // LIST_ROWS), len(x) // 8 or 1))
+    want = min(max(LEAST_LISTS, int(n_rows ** 0.5 / 6)), MOST_LISTS, max(1, len(x) // 8))
     size = max(1, -(-len(x) // want))
     rng = np.random.default_rng(11)
     todo, leaves = [np.arange(len(x))], []
@@ -196,7 +196,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     queries = per_batch(queries, _probe(index), "list int, key binary, vec array<double>")
     queries = staged(_blocks(queries, ["key", "vec"], BLOCK_QUERIES, "asks"), "ann-queries")
 
-    best = per_batch(queries.join(postings, "list").select("asks", "rows"), _best(k + 1),
+    best = per_batch(queries.withColumnRenamed("block", "ask").join(postings.drop("block"), "list")
+                     .select("list", "ask", "asks", "rows"), _best(k + 1),
                      "key binary, vec_key binary, score double, ids array<long>")
     best = best.dropDuplicates(["key", "vec_key"]).select("key", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
@@ -212,7 +213,7 @@ def _blocks(rows: DataFrame, columns: list[str], size: int, name: str) -> DataFr
     counts = rows.groupBy("list").agg(F.count("*").alias("n"))  # at most MOST_LISTS rows
     return (rows.join(F.broadcast(counts), "list")
             .withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / size)))
-            .groupBy("list", "block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block"))
+            .groupBy("list", "block").agg(F.collect_list(F.struct(*columns)).alias(name)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -241,29 +242,56 @@ def _probe(index):
     return run
 
 
-def _best(k: int):
-    """Per pair of blocks, each query's best ``k`` vectors, ties to the smaller first id."""
+def _top(owner: np.ndarray, score: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+    """Places of each owner's best ``k``, ties to the smaller ``low``."""
+    order = np.lexsort((low, -score, owner))
+    own, at = owner[order], np.arange(len(order))
+    first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.empty(0, bool)
+    return order[at - np.maximum.accumulate(np.where(first, at, 0)) < k] if len(own) else order
+
+
+def _best(k: int, held: int = 32):
+    """Each query's best ``k`` vectors of a list, over the blocks that the task meets in a row.
+
+    The best of at most ``held`` query blocks are kept open; what is given out early only
+    leaves more candidates.
+    """
+    names = ["key", "vec_key", "score", "ids"]
+
+    def pair(asks, rows):
+        q, x = _matrix(asks.field("vec")), _matrix(rows.field("vec"))
+        ids = rows.field("ids")
+        low = np.array([v[0].as_py() for v in ids], dtype=np.int64)
+        approximate = q @ x.T
+        keep = min(k + 8, len(x))
+        near = np.argpartition(-approximate, keep - 1, axis=1)[:, :keep]
+        score = np.stack([np.add.reduce(np.ascontiguousarray(x[at] * vec), axis=1) for vec, at in zip(q, near)])
+        owner, place, score = np.repeat(np.arange(len(q)), keep), near.ravel(), score.ravel()
+        best = _top(owner, score, low[place], k)
+        owner, place = owner[best], place[best]
+        return pa.table([pa.array(owner), pa.array(low[place]), asks.field("key").take(pa.array(owner)),
+                         rows.field("key").take(pa.array(place)), pa.array(score[best]), ids.take(pa.array(place))],
+                        ["owner", "low", *names])
 
     def run(batches):
+        open_: dict = {}
+
+        def given(key):
+            yield from open_.pop(key).select(names).combine_chunks().to_batches()
+
         for batch in batches:
             for i in range(batch.num_rows):
-                asks, rows = batch.column(0)[i].values, batch.column(1)[i].values
-                q, x = _matrix(asks.field("vec")), _matrix(rows.field("vec"))
-                ids = rows.field("ids")
-                low = np.array([v[0].as_py() for v in ids], dtype=np.int64)
-                approximate = q @ x.T
-                keep = min(k + 8, len(x))
-                near = np.argpartition(-approximate, keep - 1, axis=1)[:, :keep]
-                picks, scores = [], []
-                for vec, at in zip(q, near):
-                    s = np.add.reduce(np.ascontiguousarray(x[at] * vec), axis=1)
-                    order = np.lexsort((low[at], -s))[:k]
-                    picks.append(at[order])
-                    scores.append(s[order])
-                pick = pa.array(np.concatenate(picks), pa.int64())
-                owner = pa.array(np.repeat(np.arange(len(q)), [len(p) for p in picks]), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [asks.field("key").take(owner), rows.field("key").take(pick), pa.array(np.concatenate(scores)), ids.take(pick)],
-                    ["key", "vec_key", "score", "ids"])
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                new = pair(batch.column(2)[i].values, batch.column(3)[i].values)
+                if key in open_:
+                    both = pa.concat_tables([open_[key], new])
+                    best = _top(*(both.column(c).to_numpy() for c in ("owner", "score", "low")), k)
+                    open_[key] = both.take(pa.array(best))
+                else:
+                    open_[key] = new
+                    if len(open_) > held:
+                        yield from given(next(iter(open_)))
+        for key in list(open_):
+            yield from given(key)
 
     return run
