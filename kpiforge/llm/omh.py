@@ -7,9 +7,11 @@ smallest hashes and keeps them in text order: two texts agree on it if they shar
 sketches deals the texts into buckets.
 
 Candidates: a bucket's most central text (the one in the largest buckets) is compared with the
-others of the bucket; no bucket's pairs are spelled out, so a group of copies costs its size,
-not its square. Texts that fail against a centre go on in finer buckets (agreement on two, then
-three sketches), with a centre taken among those that failed.
+others of the bucket, so a group of copies costs its size, not its square. Buckets that still
+hold texts of several components go on with centres drawn anew, as long as that joins many
+texts. What stays mixed is finished exactly: all pairs of different components in a bucket, in
+blocks of ``BLOCK`` texts, counted over shared labelled k-mers and aligned where the count allows
+it. So the classes are those of comparing all pairs inside all buckets.
 
 Verification: the shared labelled k-mers within a band around the diagonal are aligned (longest
 chain that rises in both texts); similarity is the aligned k-mers over all k-mers of both, and
@@ -25,14 +27,13 @@ are rows of one class; empty tables give empty results.
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import broadcast_if_small, per_batch, staged, words
+from kpiforge.llm.common import broadcast_if_small, per_batch, release, ship_package, staged, words
 from kpiforge.llm.tiling import WordHashes, rolling
 
 K = 5
@@ -40,10 +41,9 @@ PICK = 3
 SKETCHES = 16
 SIMILARITY = 0.8
 SEED = 20240229
-#: Sketch combinations of the finer buckets.
-PAIRS = list(combinations(range(SKETCHES), 2))
-TRIPLES = [(i, (i + s) % SKETCHES, (i + t) % SKETCHES) for i in range(SKETCHES)
-           for s, t in ((1, 3), (1, 7), (2, 7), (3, 8), (4, 10), (5, 11), (6, 13))]
+#: Texts of a block in the exact finish, and the share of mixed texts that a round of centres must join for another.
+BLOCK = 128
+WORTHWHILE = 0.1
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -134,26 +134,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return per_batch(rows, run, "id long, node binary, n int, sketch array<long>")
 
 
-def _dealt(nodes: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
-    """``nodes`` once for each bucket: the hash of the sketches of each combination."""
-    hashes = F.array(*(F.xxhash64(F.lit(k), *(F.col("sketch")[i] for i in c)) for k, c in enumerate(combos)))
-    return nodes.select("node", "n", "pop", "label", F.explode(hashes).alias("bucket"))
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """``nodes`` once for each sketch ``k``, with its bucket."""
+    hashes = F.array(*(F.xxhash64(F.lit(k), F.col("sketch")[k]) for k in range(SKETCHES)))
+    return nodes.select("node", "n", F.posexplode(hashes).alias("k", "bucket"))
 
 
-def _candidates(nodes: DataFrame, combos: list[tuple[int, ...]], first: bool) -> DataFrame:
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one label."""
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1")
+    return members.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _candidates(members: DataFrame, turn: int) -> DataFrame:
     """Distinct pairs (a, b): each bucket's centre with its members of another label.
 
-    ``first``: the centre is the most central text; else the most central of those whose label isn't its.
+    The centre is the most central text in turn 0, else one drawn anew for each turn and bucket.
     """
-    rows = _dealt(nodes, combos)
-    top = F.max(F.struct("pop", "node", "n", "label"))
-    mixed = (rows.groupBy("bucket").agg(top.alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-             .where("l0 != l1").select("bucket", "top"))
-    if not first:
-        mixed = (rows.join(mixed, "bucket").where("label != top.label")
-                 .groupBy("bucket").agg(top.alias("top")))
+    by = F.xxhash64(F.lit(turn), "bucket", "node") if turn else F.col("pop")
+    top = members.groupBy("bucket").agg(F.max(F.struct(by.alias("by"), "node", "n", "label")).alias("top"))
     near = F.least("n", "top.n") >= F.lit(SIMILARITY) * F.greatest("n", "top.n")
-    return (rows.join(mixed, "bucket").where((F.col("label") != F.col("top.label")) & near)
+    return (members.join(top, "bucket").where((F.col("label") != F.col("top.label")) & near)
             .select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct())
 
 
@@ -177,47 +178,116 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return per_batch(both, run, "a binary, b binary")
 
 
-def _relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Each node labelled with the most central of itself and the texts it is linked to."""
-    sides = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b"), F.col("a")))
-    pop = nodes.select(F.col("node").alias("other"), F.col("pop").alias("other_pop"))
-    best = (sides.join(pop, "other").groupBy("node").agg(F.max(F.struct("other_pop", "other")).alias("best"))
-            .withColumnRenamed("node", "linked"))
-    own = F.struct(F.col("pop").alias("other_pop"), F.col("node").alias("other"))
-    return (nodes.drop("label").join(best, F.col("node") == F.col("linked"), "left")
-            .withColumn("label", F.greatest(own, F.col("best"))["other"]).drop("linked", "best"))
+def linked_pairs(kmers: list[np.ndarray], labels: list, sketch: np.ndarray, side: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """Similar pairs that join the labels of a block as comparing all its pairs would.
+
+    Pairs of one side (other than 0) or with an earlier common sketch than ``k`` belong to another
+    block. The count of shared labelled k-mers, which no alignment exceeds, rules out the others.
+    """
+    m, n = len(kmers), np.array([len(x) for x in kmers])
+    ids = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+    least = SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - 1e-6
+    open_ = np.triu((ids[:, None] != ids[None, :]) & (np.minimum(n[:, None], n[None, :]) >= least), 1)
+    open_ &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
+    for j in range(k):
+        open_ &= sketch[:, None, j] != sketch[None, :, j]
+    if not open_.any():
+        return []
+    owner, flat = np.repeat(np.arange(m), n), np.concatenate(kmers)
+    order = np.lexsort((owner, flat))
+    owner, flat = owner[order], flat[order]
+    shared = np.zeros(m * m, dtype=np.int64)
+    at, step = np.arange(len(flat)), 1
+    while len(at):  # pairs of owners at a distance of ``step`` in a k-mer's run
+        at = at[at < len(flat) - step]
+        at = at[flat[at] == flat[at + step]]
+        shared += np.bincount(owner[at] * m + owner[at + step], minlength=m * m)
+        step += 1
+    root, out = list(range(int(ids.max()) + 1)), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    shared = shared.reshape(m, m)
+    ii, jj = np.nonzero(open_ & (shared >= least))
+    for t in np.argsort(-shared[ii, jj], kind="stable").tolist():
+        i, j = int(ii[t]), int(jj[t])
+        a, b = find(ids[i]), find(ids[j])
+        if a != b and similarity(kmers[i], kmers[j]) >= SIMILARITY:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(grp, side, node, label, k): every two blocks of a mixed bucket as a group.
+
+    A label with ``BLOCK`` members or more in a bucket has blocks of its own, which aren't paired with one another.
+    """
+    sizes = staged(members.groupBy("bucket", "label").agg(F.count("*").alias("size")), "omh-sizes")
+    large = F.col("size") >= BLOCK
+    few = sizes.groupBy("bucket").agg(F.sum(F.when(large, 0).otherwise(F.col("size"))).alias("few"))
+    parts = F.greatest(F.lit(1), F.ceil(F.when(large, F.col("size")).otherwise(F.col("few")) / BLOCK))
+    dealt = staged(members.join(sizes, ["bucket", "label"]).join(few, "bucket").select(
+        "bucket", "k", "node", "label", F.when(large, F.col("label")).otherwise(F.lit(b"")).alias("own"),
+        F.pmod(F.xxhash64(F.when(large, F.col("node")).otherwise(F.col("label"))), parts).alias("part")), "omh-dealt")
+    blocks = staged(dealt.select("bucket", "own", "part").distinct(), "omh-blocks")
+    x, y = (blocks.select("bucket", F.struct("own", "part").alias(s)) for s in "xy")
+    two = (x.join(y, "bucket").where("x <= y AND (x.own != y.own OR x.own = X'')")
+           .withColumn("grp", F.xxhash64("bucket", "x.own", "x.part", "y.own", "y.part")))
+    sides = (two.select("bucket", "x.own", "x.part", "grp", F.when(F.expr("x = y"), 0).otherwise(1).alias("side"))
+             .union(two.where("x != y").select("bucket", "y.own", "y.part", "grp", F.lit(2))))
+    return dealt.join(sides, ["bucket", "own", "part"]).select("grp", "side", "node", "label", "k")
+
+
+def _finished(members: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the labels of the mixed buckets as comparing all their pairs would."""
+    ship_package(members.sparkSession)
+    rows = _blocks(members).join(texts.join(sketched.select("node", "sketch"), "node"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        cache, nodes = WordHashes(), table.column("node").to_pylist()
+        kmers = [labelled_kmers(words(t.as_py()), cache) for t in table.column("text")]
+        pairs = linked_pairs(kmers, table.column("label").to_pylist(), np.array(table.column("sketch").to_pylist()),
+                             table.column("side").to_numpy(), table.column("k")[0].as_py())
+        return pa.table([pa.array([min(nodes[i], nodes[j]) for i, j in pairs], pa.binary()),
+                         pa.array([max(nodes[i], nodes[j]) for i, j in pairs], pa.binary())], ["a", "b"])
+
+    return rows.groupBy("grp").applyInArrow(run, "a binary, b binary")
 
 
 def links(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All verified links (a, b) between different texts. ``signed``: ``signatures(docs)``, staged."""
-    sketched = (signed.where("sketch IS NOT NULL").groupBy("node")
-                .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("rep")))
-    nodes = staged(sketched.withColumn("pop", F.lit(1)).withColumn("label", F.col("node")), "omh-nodes")
-    single = [(i,) for i in range(SKETCHES)]
-    dealt = _dealt(nodes, single).select("node", "bucket")
+    """Verified links (a, b) with the components of all similar pairs in a bucket. ``signed``: ``signatures(docs)``, staged."""
+    sketched = staged(signed.where("sketch IS NOT NULL").groupBy("node")
+                      .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("id").alias("rep")), "omh-nodes")
+    dealt = _dealt(sketched)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    pop = dealt.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("pop"))
-    nodes = staged(nodes.drop("pop").join(pop, "node"), "omh-central")  # texts that share a bucket
+    dealt = staged(dealt.join(sizes, "bucket"), "omh-dealt")  # texts that share a bucket
+    pop = staged(dealt.groupBy("node").agg(F.sum("size").alias("pop")), "omh-central")
+    members = dealt.drop("size").join(pop, "node").withColumn("label", F.col("node"))
 
-    wanted = broadcast_if_small(nodes.select(F.col("node").alias("w_node"), F.col("rep")), 200_000)
+    wanted = broadcast_if_small(staged(sketched.join(pop, "node", "left_semi").select(F.col("node").alias("w_node"), "rep"),
+                                       "omh-wanted"), 200_000)
     texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).alias("text"))
     texts = staged(texts.join(wanted, (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("rep")))
                    .select("node", "text").dropDuplicates(["node"]), "omh-texts")
 
-    found = staged(verified(_candidates(nodes, single, True), texts), "omh-links")
-    for combos in (PAIRS, TRIPLES):
-        labelled = staged(_relabelled(nodes, found), "omh-labels")
-        found = staged(found.union(verified(_candidates(_unsettled(labelled, single), combos, False), texts)).distinct(),
-                       "omh-links")
-    return found
-
-
-def _unsettled(nodes: DataFrame, combos: list[tuple[int, ...]]) -> DataFrame:
-    """Nodes that share a bucket with a node of another label."""
-    rows = _dealt(nodes, combos).select("node", "bucket", "label")
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1")
-    return nodes.join(rows.join(mixed, "bucket").select("node").distinct(), "node", "left_semi")
+    found, turn = staged(verified(_candidates(members, 0), texts), "omh-links"), 0
+    while True:
+        roots = components(found).withColumnRenamed("node", "linked")
+        members = staged(_mixed(members.join(roots, F.col("node") == F.col("linked"), "left")
+                                .withColumn("label", F.coalesce("root", "node")).drop("linked", "root")), "omh-mixed")
+        mixed = members.agg(F.count_distinct("label")).first()[0]
+        if turn and new.count() < WORTHWHILE * mixed or not mixed:
+            break
+        turn += 1
+        new = staged(verified(_candidates(members, turn), texts), "omh-links")
+        found = staged(found.union(new), "omh-links")
+    return found.union(staged(_finished(members, sketched, texts), "omh-links")) if mixed else found
 
 
 # ---------------------------------------------------------------- classes

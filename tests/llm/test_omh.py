@@ -104,3 +104,21 @@ def test_one_row_of_each_class_stays(spark):
     assert sum(g[0] == "20" for g in got) == 1 and sum(g == ("4", "same row") for g in got) == 1
     assert sum(g[0] in ("1", "2") for g in got) == 1   # null and empty texts are equal
     assert omh.one_per_class(docs_frame(spark, [])).count() == 0
+
+
+def test_dense_family_near_the_threshold_equals_all_pairs(spark):
+    """Independent edits around one template: few texts are similar to any one hub, most to some other."""
+    w = base(11)
+    rows = [(k, " ".join(edited(w, 2 + k % 3, k))) for k in range(300)]
+    want = brute_classes(rows)
+    got = {r.id: r.class_id for r in omh.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_blocks_of_a_mixed_bucket_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(omh, "BLOCK", 7)
+    monkeypatch.setattr(omh, "WORTHWHILE", 2)   # the exact finish has most of the work
+    w = base(11)
+    rows = [(k, " ".join(edited(w, 2 + k % 3, k))) for k in range(120)]
+    got = {r.id: r.class_id for r in omh.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
