@@ -62,7 +62,8 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back through the verified record chains."""
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path")
+    return warc.complete(manifest, staged(records, "warc-records")).drop("path")
 
 
 SQL["op5_warc_records"] = """

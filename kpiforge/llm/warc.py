@@ -8,7 +8,9 @@ Reading: an archive is cut into byte ranges, one task each. A task can't know wh
 candidate's offset with its successor's (from the candidate's own header), shortened to the
 first successor outside the range. Pointer jumping over these few range-to-range links,
 from each file's start, keeps the offsets that a chain of records reaches; each range then
-reads on from its verified entry only. Magic inside payloads is on no such chain.
+reads on from its verified entry only. Magic inside payloads is on no such chain. A header may
+have any length: where a buffer holds no blank line, more is read, to the file's end if need be.
+``complete`` holds the records read against the manifest's counts.
 
 Defined cases: a null html is an empty payload (also written as a record); a null url writes
 no target; a null id sorts below all others; rows with equal ids and payloads are all
@@ -34,6 +36,8 @@ from kpiforge.llm.common import broadcast_if_small, per_batch, shared_path, stag
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", re.I)
+BLANK = b"\r\n\r\n"
+#: First read beyond a byte range for the header of its last candidate.
 HEAD_BYTES = 1 << 16
 CHUNK_BYTES = 16 << 20
 ARCHIVE_BYTES = 1 << 30
@@ -123,25 +127,41 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
 def parse_head(data, at: int) -> tuple[int, int] | None:
     """(block's start, successor's offset) relative to ``data``, or None where no header starts."""
-    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = data.find(BLANK, at)
     found = LENGTH.search(data, at, end + 2) if end >= 0 else None
     if not found:
         return None
     return end + 4, end + 4 + int(found[1]) + 4
 
 
+def candidate_heads(data, at: list[int]) -> list[tuple[int, int]]:
+    """(offset, successor's offset) relative to ``data`` of the candidates ``at`` with a header.
+
+    As ``parse_head`` on each, but in one pass: candidates before the same blank line don't each search up to it.
+    """
+    lengths = list(LENGTH.finditer(data))
+    t, end, following, out = len(lengths), -1, len(data), []
+    for x in reversed(at):
+        own = data.find(BLANK, x, min(following + 3, len(data)))
+        end, following = own if own >= 0 else end, x
+        while t and lengths[t - 1].start() >= x:
+            t -= 1
+        if end >= 0 and t < len(lengths) and lengths[t].end() <= end + 2:
+            out.append((x, end + 4 + int(lengths[t][1]) + 4))
+    return out[::-1]
+
+
 def chunk_links(file, start: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(offset, exit) of the candidates in a byte range; exit: the chain's first offset not before ``end``.
 
     A candidate whose chain breaks inside the range has no exit and is left out.
     """
     data = file.read_at(min(end + HEAD_BYTES, size) - start, start)
-    offsets, following = [], []
-    for m in MAGIC.finditer(data, 0, min(len(data), end - start + 9)):
-        if m.start() < end - start and (head := parse_head(data, m.start())) and start + head[1] <= size:
-            offsets.append(start + m.start())
-            following.append(start + head[1])
-    at, to = np.array(offsets, dtype=np.int64), np.array(following, dtype=np.int64)
+    found = [m.start() for m in MAGIC.finditer(data, 0, min(len(data), end - start + 9)) if m.start() < end - start]
+    while found and data.find(BLANK, found[-1]) < 0 and start + len(data) < size:
+        data += file.read_at(min(max(len(data), HEAD_BYTES), size - start - len(data)), start + len(data))
+    heads = [(start + x, start + y) for x, y in candidate_heads(data, found) if start + y <= size]
+    at, to = np.array(heads, dtype=np.int64).reshape(-1, 2).T.copy()
     if not len(at):
         return at, to
     place = np.minimum(np.searchsorted(at, to), len(at) - 1)
@@ -216,6 +236,16 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payloads:
     return per_batch(_spread(work), read, schema)
 
 
+def complete(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """``records`` (staged), or an error where an archive gave another number of records than the manifest says."""
+    read = records.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = (manifest.join(read, "path", "left").select("path", "records", F.coalesce("found", F.lit(0)).alias("found"))
+             .where("records != found").limit(5).collect())
+    if wrong:
+        raise ValueError("records missing or extra: " + "; ".join(f"{r.path}: {r.found} of {r.records}" for r in wrong))
+    return records
+
+
 def _batch(rows: list, payloads: bool) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(),
              pa.binary()]
@@ -229,8 +259,9 @@ def records_from(file, path: str, entry: int, end: int, size: int, payloads: boo
     """Records that start in [entry, end), read one after the other from a verified entry."""
     base, data, offset = entry, b"", entry
     while offset < end:
-        if offset - base + HEAD_BYTES > len(data) and base + len(data) < size:
-            base, data = offset, file.read_at(min(4 << 20, size - offset), offset)
+        while base + len(data) < size and data.find(BLANK, offset - base) < 0 and (
+                base + len(data) < offset + 10 or MAGIC.match(data, offset - base)):
+            base, data = offset, file.read_at(min(max(4 << 20, 2 * (base + len(data) - offset)), size - offset), offset)
         head = parse_head(data, offset - base) if MAGIC.match(data, offset - base) else None
         if head is None or base + head[1] > size:
             return

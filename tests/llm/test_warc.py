@@ -71,3 +71,21 @@ def test_odd_rows(spark):
     assert got == [(-1, "revisit", 1), (1, "response", None), (2, "response", None), (2, "response", None)]
     empty = warc.read_archives(warc.write_archives(pages_frame(spark, [])))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("chunk", [5000, 90_000, 1 << 20])
+def test_long_url_in_the_middle_of_an_archive(spark, chunk):
+    rows = [(i, "data:," + "u " * 100_000 if i == 20 else f"http://h/{i}", "x\r\n" + FAKE * (i % 3) + f"page {i}") for i in range(40)]
+    manifest = warc.write_archives(pages_frame(spark, rows, 1))
+    out = warc.read_archives(manifest, chunk_bytes=chunk)
+    assert digest_rows(out) == expected(rows)
+    assert len(out.where("page_id = 20").first().url) == 6 + 400_000
+    assert warc.complete(manifest, out).count() == 40
+    with pytest.raises(ValueError, match="39 of 40"):
+        warc.complete(manifest, out.where("page_id != 7"))
+
+
+def test_candidates_in_one_pass_equal_one_by_one():
+    data = b"WARC/1.1\r\n" * 3 + FAKE.encode() * 2 + b"xWARC/1.0\r\nContent-Length: 3\r\n" + b"WARC/1.1\r\nno length\r\n\r\n\r\n\r\n" + b"WARC/1.1\r\nend"
+    at = [m.start() for m in warc.MAGIC.finditer(data)]
+    assert warc.candidate_heads(data, at) == [(x, head[1]) for x in at if (head := warc.parse_head(data, x))]
