@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import mixing, omh, perspectives, posting, secret_scan, tiling, token_files, toxicity, urls, warc
+from kpiforge.llm import merkle, mixing, omh, perspectives, posting, secret_scan, tiling, token_files, toxicity, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,73 @@ def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict for every page's URL."""
     return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document against the manifest; every third id's text is lower-cased before the check."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    tampered = {"text": F.when(third, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))}
+    manifest = merkle.build(table(spark, sf_dir, "documents"), tampered=tampered)
+    return merkle.proofs(manifest).drop("path", "lang").withColumnRenamed("id", "doc_id")
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """DuckDB's manifest: one pair of steps per level (8 ** 12 leaves a language), then a fold along the siblings."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda a, c: CASE WHEN c >= 0 THEN xor(a, c) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"""  # a digit, then its 8 bits
+
+    def tree(name: str, leaves: str) -> str:
+        """CTEs name0, name1, ...: grp, i, h of each level; a group stays when it has one node."""
+        out = [f"{name}0 AS ({leaves})"]
+        for k in range(1, levels + 1):
+            out.append(f"{name}{k} AS (SELECT grp, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k - 1} "
+                       f"WHERE grp IN (SELECT grp FROM {name}{k - 1} WHERE i > 0) GROUP BY grp, i // 8)")
+        return ",\n".join(out)
+
+    def sides(name: str) -> str:
+        """Siblings before and after each node that has a parent."""
+        return " UNION ALL ".join(
+            f"""SELECT grp, {k} AS level, i, coalesce(string_agg(h, '') OVER (PARTITION BY grp, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+            coalesce(string_agg(h, '') OVER (PARTITION BY grp, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM {name}{k} WHERE grp IN (SELECT grp FROM {name}{k} WHERE i > 0)""" for k in range(levels))
+
+    def top(name: str) -> str:
+        return " UNION ALL ".join(f"SELECT grp, h FROM {name}{k} WHERE grp NOT IN (SELECT grp FROM {name}{k} WHERE i > 0)" for k in range(levels + 1))
+
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, {leaf('text')} AS leaf,
+         CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS claimed FROM documents),
+langs AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS grp FROM (SELECT DISTINCT lang FROM documents)),
+leaves AS (
+  SELECT doc_id, l.grp, row_number() OVER (PARTITION BY l.grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, claimed
+  FROM docs d JOIN langs l ON d.lang IS NOT DISTINCT FROM l.lang),
+{tree('t', 'SELECT grp, i, leaf AS h FROM leaves')},
+subroots AS ({top('t')}),
+{tree('u', 'SELECT 0 AS grp, grp AS i, h FROM subroots')},
+the_root AS ({top('u')}),
+t_sides AS MATERIALIZED ({sides('t')}),
+u_sides AS MATERIALIZED ({sides('u')}),
+up AS (
+  SELECT l.doc_id, l.grp, l.i, s.level, s.before, s.after FROM leaves l JOIN t_sides s ON s.grp = l.grp AND s.i = l.i // (8 ** s.level)::BIGINT
+  UNION ALL
+  SELECT l.doc_id, l.grp, l.i, {levels} + s.level, s.before, s.after FROM leaves l JOIN u_sides s ON s.i = l.grp // (8 ** s.level)::BIGINT),
+path AS (SELECT grp, i, list(before ORDER BY level) AS b, list(after ORDER BY level) AS a,
+                sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM up GROUP BY grp, i),
+folded AS (
+  SELECT l.doc_id, l.grp, l.i, l.leaf, l.claimed AS h, coalesce(p.b, []) AS b, coalesce(p.a, []) AS a, coalesce(p.proof, sha256('')) AS proof, 0 AS step
+  FROM leaves l LEFT JOIN path p USING (grp, i)
+  UNION ALL
+  SELECT doc_id, grp, i, leaf, sha256(b[step + 1] || h || a[step + 1]), b, a, proof, step + 1 FROM folded WHERE step < len(b))
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, proof AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM folded f JOIN subroots s USING (grp), the_root r WHERE f.step = len(f.b)
+"""
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
