@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import hard_negatives, merkle, mixing, omh, perspectives, posting, secret_scan, tiling, token_files, toxicity, urls, warc
+from kpiforge.llm import hard_negatives, merkle, mixing, omh, perspectives, phrases, posting, secret_scan, tiling, token_files, toxicity, urls, warc
 from kpiforge.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,10 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 100 * score BETWEEN
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
 QUALIFY rank <= 10
 """
+
+
+@_query
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when windows of 50 words that an earlier document holds go."""
+    return phrases.without_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
