@@ -35,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import KEPT, broadcast_if_small, per_batch, ship_package, staged
+from kpiforge.llm.common import broadcast_if_small, per_batch, ship_package, staged
 
 WINDOW, SEED = 50, 8
-PHRASE = WINDOW // 2
+PHRASE = 10
 STRIDE = WINDOW - PHRASE + 1
 GRAMS = WINDOW - SEED + 1            # seeds to choose from in a window
+DIGITS = 3
 SLICE_WORDS = 200_000                # words worked on at a time (or one document)
 SHARD_WORDS, SPLIT_WINDOWS = 400_000, 100_000
 TASK_BYTES = 8 << 20
@@ -50,22 +51,14 @@ UNBASE = pow(BASE, -1, 1 << 64)
 
 # ---------------------------------------------------------------- hashes of words and windows
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgotten as a whole past ``MOST`` words."""
-
-    MOST = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.MOST:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 def split(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []   # bytes: ASCII white space only
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -131,63 +124,87 @@ class Shard:
     """Passages with the ids of the documents that hold them first, and the automaton of their phrases."""
 
     def __init__(self, passages: list[tuple[int, list[bytes]]]):
-        self.codes: dict[bytes, str] = {}
+        self.codes: dict[bytes, int] = {}
         for _, words in passages:
             for w in words:
                 if w not in self.codes:
-                    n = len(self.codes) + 1
-                    self.codes[w] = chr(n if n < 0xD800 else n + 0x800)   # past the surrogates
+                    self.codes[w] = len(self.codes) + 1
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        texts = [self.encoded(words) for _, words in passages]
-        for text in texts:
-            for at in range(0, len(text) - PHRASE + 1, STRIDE):
-                self.automaton.add_word(text[at:at + PHRASE])
+        numbers = [self.numbers(words) for _, words in passages]
+        for own in numbers:
+            text = spelled(own)
+            for at in range(0, len(own) - PHRASE + 1, STRIDE):
+                self.automaton.add_word(text[DIGITS * at:DIGITS * (at + PHRASE)])
         self.automaton.make_automaton()
-        self.words = self.numbers("".join(texts))
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.words = np.concatenate(numbers)
+        sizes = np.array([len(n) for n in numbers], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
-        places = np.concatenate([np.arange(b, b + n - WINDOW + 1) for b, n in zip(begins, sizes)] or [np.empty(0, np.int64)])
-        first = np.repeat(np.array([i for i, _ in passages], dtype=np.int64), np.maximum(sizes - WINDOW + 1, 0))
+        places = np.concatenate([np.arange(b, b + n - WINDOW + 1) for b, n in zip(begins, sizes)])
+        first = np.repeat(np.array([i for i, _ in passages], dtype=np.int64), sizes - WINDOW + 1)
         hashes = self.window_hashes(self.words, places)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.places, self.first = hashes[order], places[order], first[order]
 
-    def encoded(self, words: list[bytes]) -> str:
-        return "".join([self.codes.get(w, "\0") for w in words])   # one character a word; unknown words are alike
-
-    @staticmethod
-    def numbers(text: str) -> np.ndarray:
-        return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """One number a word; 0 for words that no passage has."""
+        known = self.codes.get
+        return np.array([known(w, 0) for w in words], dtype=np.int64)
 
     @staticmethod
     def window_hashes(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return Rolling(mixed(numbers.astype(np.uint64) + np.uint64(1))).of(starts, starts + WINDOW)
 
-    def repeated(self, doc_id: int, words: list[bytes]) -> np.ndarray:
-        """Starts of the document's windows that a passage of a smaller id holds."""
-        text = self.encoded(words)
-        found = np.fromiter((end for end, _ in self.automaton.iter(text)), dtype=np.int64) - (PHRASE - 1)
-        if not len(found) or len(words) < WINDOW:
-            return np.empty(0, np.int64)
-        near = np.zeros(len(words) + WINDOW, dtype=np.int64)   # windows that hold a found phrase whole
+    def same(self, numbers: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether windows of ``numbers`` and of the passages have the same words."""
+        span = np.arange(WINDOW)
+
+        def compared(which: np.ndarray) -> np.ndarray:
+            return np.concatenate([(numbers[starts[w, None] + span] == self.words[places[w, None] + span]).all(axis=1)
+                                   for w in np.array_split(which, 1 + len(which) // 20_000)])
+
+        on = np.zeros(len(starts), dtype=bool)   # one word further than the window before, on both sides
+        on[1:] = (np.diff(starts) == 1) & (np.diff(places) == 1)
+        out = numbers[starts + WINDOW - 1] == self.words[places + WINDOW - 1]
+        out[~on] = compared(np.flatnonzero(~on))
+        chain = np.cumsum(~on) - 1
+        broken = np.flatnonzero((np.bincount(chain, weights=~out) > 0)[chain])
+        if len(broken):
+            out[broken] = compared(broken)
+        return out
+
+    def repeated(self, docs: list[tuple[int, list[bytes]]]) -> list[np.ndarray]:
+        """Starts of each document's windows that a passage of a smaller id holds."""
+        sizes = np.array([len(words) + 1 for _, words in docs])   # an unknown word ends each, so no window spans two
+        ends = np.cumsum(sizes)
+        numbers = np.concatenate([np.r_[self.numbers(words), 0] for _, words in docs])
+        found = np.fromiter((end for end, _ in self.automaton.iter(spelled(numbers))), dtype=np.int64) // DIGITS - (PHRASE - 1)
+        near = np.zeros(len(numbers) + WINDOW, dtype=np.int64)   # windows that hold a found phrase whole
         np.add.at(near, np.maximum(found - (WINDOW - PHRASE), 0), 1)
         np.add.at(near, found + 1, -1)
-        starts = np.flatnonzero(np.cumsum(near)[:len(words) - WINDOW + 1] > 0)
-        numbers = self.numbers(text)
-        hashes = self.window_hashes(numbers, starts)
-        at, out, span = np.searchsorted(self.hashes, hashes), np.zeros(len(starts), dtype=bool), np.arange(WINDOW)
+        starts = np.flatnonzero(np.cumsum(near)[:max(len(numbers) - WINDOW + 1, 0)] > 0)
+        hashes, own = self.window_hashes(numbers, starts), np.searchsorted(ends, starts, side="right")
+        ids = np.array([i for i, _ in docs], dtype=np.int64)[own]
+        at, out = np.searchsorted(self.hashes, hashes), np.zeros(len(starts), dtype=bool)
         todo = np.arange(len(starts))
         while len(todo):   # once, but for windows of equal hash
             todo = todo[at[todo] < len(self.hashes)]
             todo = todo[self.hashes[at[todo]] == hashes[todo]]
-            same = np.zeros(len(todo), dtype=bool)
-            for k in range(0, len(todo), 20_000):
-                part = todo[k:k + 20_000]
-                same[k:k + 20_000] = (numbers[starts[part, None] + span] == self.words[self.places[at[part], None] + span]).all(axis=1)
-            out[todo[same]] = self.first[at[todo[same]]] < doc_id
-            todo = todo[~same]
-            at[todo] += 1
-        return starts[out]
+            if len(todo):
+                same = self.same(numbers, starts[todo], self.places[at[todo]])
+                out[todo[same]] = (self.first[at[todo]] < ids[todo])[same]
+                todo = todo[~same]
+                at[todo] += 1
+        cuts = np.searchsorted(own[out], np.arange(1, len(docs)))
+        return [s - b for s, b in zip(np.split(starts[out], cuts), ends - sizes)]
+
+
+def spelled(numbers: np.ndarray) -> str:
+    """Each number as ``DIGITS`` characters, each from a range of its own, so that words only match as wholes.
+
+    (The automaton searches a node's children one by one; few characters keep that short.)
+    """
+    digits = np.stack([(numbers >> 14) + 384, (numbers >> 7 & 127) + 128, (numbers & 127) + 256], axis=1)
+    return digits.astype("<u2").tobytes().decode("utf-16-le")
 
 
 # ---------------------------------------------------------------- steps over all documents
@@ -201,7 +218,6 @@ def survey(base: DataFrame) -> DataFrame:
     """Every row: id, th, n_words, sha256 of all its words, segments."""
 
     def run(batches):
-        cache = KEPT.setdefault("phrases", WordHashes())
         for batch in batches:
             texts, sizes, hashes, shas, segs, done = batch.column("text"), [], [], [], [[] for _ in range(len(batch))], 0
 
@@ -216,7 +232,7 @@ def survey(base: DataFrame) -> DataFrame:
                 words = split(texts[k].as_py())
                 sizes.append(len(words))
                 shas.append(sha256(b" ".join(words)).hexdigest())
-                hashes.append(np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words)))
+                hashes.append(word_hashes(words))
                 held += len(words)
                 if held >= SLICE_WORDS or k == len(batch) - 1:
                     flush(k + 1)
@@ -228,8 +244,8 @@ def survey(base: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(shas), nested],
                                              ["id", "th", "n_words", "sha", "segs"])
 
-    return staged(per_batch(base, run, "id long, th long, n_words long, sha string, segs array<struct<a:int,b:int,seed:long,whole:long>>",
-                            keep="phrases"), "phrases-survey")
+    return staged(per_batch(base, run, "id long, th long, n_words long, sha string, segs array<struct<a:int,b:int,seed:long,whole:long>>"),
+                  "phrases-survey")
 
 
 def recurring_segments(uses: DataFrame) -> DataFrame:
@@ -250,11 +266,10 @@ def recurring_windows(segs: DataFrame, texts: DataFrame) -> tuple[DataFrame, Dat
     """Windows of seeds with several segments: (seg, seed, h) of all, and (seed, h, id, th, start) of those that recur."""
 
     def run(batches):
-        cache = KEPT.setdefault("phrases", WordHashes())
         for batch in batches:
             for row in batch.to_pylist():
                 words = split(row["text"])
-                hashes = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+                hashes = word_hashes(words)
                 starts = [np.arange(s["a"], s["b"] + 1) for s in row["own"]]
                 sizes = [len(s) for s in starts]
                 starts = np.concatenate(starts)
@@ -266,7 +281,7 @@ def recurring_windows(segs: DataFrame, texts: DataFrame) -> tuple[DataFrame, Dat
 
     own = segs.where("n > 1").groupBy("id", "th").agg(F.collect_list(F.struct("seg", "seed", "a", "b", "last")).alias("own"))
     windows = staged(per_batch(own.join(texts, ["id", "th"]).select("id", "th", "own", "text"), run,
-                               "id long, th long, seg long, seed long, last long, start int, h long", keep="phrases"), "phrases-windows")
+                               "id long, th long, seg long, seed long, last long, start int, h long"), "phrases-windows")
     held = windows.groupBy("seed", "h").agg(F.min(F.struct("id", "th", "start")).alias("held"), F.max("last").alias("last"))
     return windows, staged(held.where("held.id < last").select("seed", "h", "held.*"), "phrases-recurring")
 
@@ -294,13 +309,23 @@ def located(targets: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame
 
     def search(passages: pa.Table, docs: pa.Table) -> pa.Table:
         shard = Shard([(i, w.encode().split()) for i, w in zip(passages.column("id").to_pylist(), passages.column("words").to_pylist())])
-        out = []
+        out, batch, held = [], [], 0
+
+        def flush():
+            for (i, th, _), starts in zip(batch, shard.repeated([(i, words) for i, _, words in batch])):
+                if len(starts):
+                    cut = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + WINDOW])
+                    last = starts[np.r_[cut[1:], len(starts)] - 1] + WINDOW - 1
+                    out.append((i, th, [{"a": a, "b": b} for a, b in zip(starts[cut].tolist(), last.tolist())]))
+
         for i, th, text in zip(*(docs.column(c) for c in ("id", "th", "text"))):
-            starts = shard.repeated(i.as_py(), split(text.as_py()))
-            if len(starts):
-                cut = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + WINDOW])
-                ends = starts[np.r_[cut[1:], len(starts)] - 1] + WINDOW - 1
-                out.append((i.as_py(), th.as_py(), [{"a": a, "b": b} for a, b in zip(starts[cut].tolist(), ends.tolist())]))
+            batch.append((i.as_py(), th.as_py(), split(text.as_py())))
+            held += len(batch[-1][2])
+            if held >= SLICE_WORDS:
+                flush()
+                batch, held = [], 0
+        if batch:
+            flush()
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                          pa.array(columns[2], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["id", "th", "spans"])
