@@ -10,9 +10,14 @@ Fit: ``max_train`` labelled documents (smallest id hashes) bound the sample. Fea
 in Spark; the ``n_features`` with the highest chi-squared against the label, and which of them
 each sampled document has, are all that comes to the driver.
 
-Defined cases: a null or empty text has no features and gets the intercepts' probabilities;
-repeated labels of an id count as toxic if one says so; without labels of both kinds nothing is
-toxic; repeated documents are all judged.
+The verdict's threshold comes from the out-of-fold predictions of the last link: the one with the
+highest F1, in the middle of the gap between the scores around it. It always lies above the score of
+a text without any selected feature: where there is no evidence, a text is clean.
+
+Defined cases: null and empty texts, and texts of unknown words only, have no features and are clean;
+texts of any length count whole; repeated labels of an id count as toxic if one says so; without
+labels of both kinds nothing is toxic; repeated documents are all judged. Only the id and text columns
+are read, under names of this module's own, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +39,6 @@ LEAST_DOCUMENTS = 3
 BEGINNINGS = tuple(range(3, 9))
 MARKER_SHARE = 0.9
 FOLDS = 3
-THRESHOLD = 0.4
 
 
 def features_of(word: str) -> list[str]:
@@ -96,10 +100,11 @@ def logistic_apply(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, dense: np.
 
 @dataclass
 class ChainModel:
-    """Selected features and one weight vector per link."""
+    """Selected features, one weight vector per link, and the least p_toxic of a toxic text."""
 
     selected: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
+    threshold: float = float("inf")
 
     def probabilities(self, texts, places: Places) -> np.ndarray:
         """One row per text, one column per link of the chain."""
@@ -122,11 +127,14 @@ def categories(toxic: np.ndarray, density: np.ndarray) -> np.ndarray:
 
 def fit_links(rows, cols, y: np.ndarray, fold: np.ndarray, n_features: int) -> list[np.ndarray]:
     """Weights of every link; each link's inputs from earlier links are out-of-fold predictions."""
+    return links_and_held(rows, cols, y, fold, n_features)[0]
+
+
+def links_and_held(rows, cols, y: np.ndarray, fold: np.ndarray, n_features: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Weights of every link, and every link's out-of-fold predictions."""
     n, earlier, weights = len(y), np.zeros((len(y), 0)), []
     for k in range(y.shape[1]):
         weights.append(logistic_fit(rows, cols, earlier, y[:, k], n_features))
-        if k == y.shape[1] - 1:
-            break
         held = np.zeros(n)
         for f in np.unique(fold):
             out = fold == f
@@ -135,13 +143,25 @@ def fit_links(rows, cols, y: np.ndarray, fold: np.ndarray, n_features: int) -> l
             w = logistic_fit(renumber[rows[keep]], cols[keep], earlier[~out], y[~out, k], n_features)
             held[out] = logistic_apply(w, rows, cols, earlier, n, n_features)[out]
         earlier = np.c_[earlier, held]
-    return weights
+    return weights, earlier
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut of highest F1, in the middle (of log-odds) of the gap around it; of equal cuts that with the widest gap."""
+    odds = np.log(np.clip(p, 1e-12, 1 - 1e-12) / np.clip(1 - p, 1e-12, 1))
+    order = np.argsort(-odds, kind="stable")
+    odds, found = odds[order], np.cumsum(y[order])
+    f1 = 2 * found / (np.arange(1, len(y) + 1) + y.sum())
+    below = np.r_[odds[1:], odds[-1] - 2]
+    cuts = np.flatnonzero(odds > below)   # a cut lies between unequal scores
+    best = max(cuts, key=lambda c: (round(f1[c], 12), odds[c] - below[c]))
+    return float(1 / (1 + np.exp(-(odds[best] + below[best]) / 2)))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_features: int = N_FEATURES,
               id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ChainModel:
     """Train on at most ``max_train`` labelled documents."""
-    known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic")).where(
+    known = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(
         "l_id IS NOT NULL AND toxic IS NOT NULL").groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     known = staged(known.orderBy(F.xxhash64("l_id"), "l_id").limit(max_train), "tox-labels")
 
@@ -151,8 +171,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.list_(pa.string()))],
                                              ["id", "toxic", "feats"])
 
-    sample = docs.join(F.broadcast(known), docs[id_col] == F.col("l_id")).select(  # at most max_train rows
-        F.col("l_id").alias("id"), "toxic", F.col(text_col).alias("text")).dropDuplicates(["id"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{text_col}`").alias("text"))
+    sample = texts.join(F.broadcast(known), "l_id").select(  # at most max_train rows
+        F.col("l_id").alias("id"), "toxic", "text").dropDuplicates(["id"])
     sample = staged(per_batch(sample, run, "id long, toxic int, feats array<string>"), "tox-sample")
     total = sample.agg(F.count("*"), F.sum("toxic")).first()
     n, pos = total[0] or 0, total[1] or 0
@@ -175,7 +196,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_
     toxic = data["toxic"].to_numpy(dtype=np.int64)
     density = np.bincount(rows, weights=marker[cols], minlength=len(data)) / np.maximum(data["size"].to_numpy(), 1)
     fold = pd.util.hash_array(data["id"].to_numpy()) % FOLDS
-    return ChainModel(selected, fit_links(rows, cols, categories(toxic, density), fold, len(selected)))
+    weights, held = links_and_held(rows, cols, categories(toxic, density), fold, len(selected))
+    model = ChainModel(selected, weights)
+    nothing = model.probabilities([""], Places(selected))[0, -1]
+    model.threshold = max(best_threshold(held[:, -1], toxic), float(np.nextafter(nothing, 1)))
+    return model
 
 
 def chain_scores(docs: DataFrame, model: ChainModel, text_col: str = "text") -> Column:
@@ -192,14 +217,16 @@ def chain_scores(docs: DataFrame, model: ChainModel, text_col: str = "text") ->
     return scores(F.col(f"`{text_col}`"))
 
 
-def toxic_documents(docs: DataFrame, model: ChainModel, threshold: float = THRESHOLD, id_col: str = "doc_id",
+def toxic_documents(docs: DataFrame, model: ChainModel, threshold: float | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id and probabilities (p_severe, p_mild, p_toxic) of the documents judged toxic."""
-    scored = docs.select(F.col(id_col).alias("doc_id"), chain_scores(docs, model, text_col).alias("p"))
+    """doc_id and probabilities (p_severe, p_mild, p_toxic) of the documents judged toxic (at the model's threshold, if none is given)."""
+    threshold = model.threshold if threshold is None else threshold
+    scored = docs.select(F.col(f"`{id_col}`").alias("doc_id"), chain_scores(docs, model, text_col).alias("p"))
     return scored.where(F.col("p")[len(CHAIN) - 1] >= threshold).select(
         "doc_id", *(F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(CHAIN)))
 
 
-def clean_documents(docs: DataFrame, model: ChainModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, model: ChainModel, threshold: float | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` without those judged toxic, all columns kept."""
+    threshold = model.threshold if threshold is None else threshold
     return docs.where(chain_scores(docs, model, text_col)[len(CHAIN) - 1] < threshold)

@@ -61,3 +61,55 @@ def test_odd_rows_and_missing_labels(spark):
     assert toxicity.toxic_documents(docs_frame(spark, rows), none).count() == 0
     empty = toxicity.fit_chain(docs_frame(spark, []), lab)
     assert toxicity.toxic_documents(docs_frame(spark, []), empty).count() == 0
+
+
+def test_chain_equals_brute_force(spark):
+    rows, labels = corpus(300, 4)
+    model = toxicity.fit_chain(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def brute(text):   # one link after the other, feature by feature
+        have = {f for w in set(text.lower().split()) for f in [w, *(w[:n] + "~" for n in range(3, 9) if len(w) > n)]}
+        p = []
+        for w in model.weights:
+            z = w[-1] + sum(w[k] for f, k in model.selected.items() if f in have) + sum(w[len(model.selected) + j] * q for j, q in enumerate(p))
+            p.append(1 / (1 + np.exp(-z)))
+        return p
+
+    other, _ = corpus(200, 5)
+    want = {i: brute(t) for i, t in other}
+    got = {r.doc_id: (r.p_severe, r.p_mild, r.p_toxic) for r in toxicity.toxic_documents(docs_frame(spark, other), model).collect()}
+    assert got.keys() == {i for i, p in want.items() if p[-1] >= model.threshold}
+    assert all(np.allclose(got[i], want[i]) for i in got)
+
+
+def test_links_reach_the_optimum_of_a_plain_solver():
+    rng = np.random.default_rng(1)
+    x = (rng.random((80, 6)) < 0.4).astype(float)
+    y = (x[:, 0] + rng.random(80) > 0.9).astype(float)
+    rows, cols = np.nonzero(x)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    full, w = np.c_[x, np.ones(80)], np.zeros(7)
+    for _ in range(50):   # Newton's method on the same objective
+        p = 1 / (1 + np.exp(-full @ w))
+        ridge = np.r_[np.full(6, 1e-4), 0]
+        w = w - np.linalg.solve(full.T * (weight * p * (1 - p)) @ full + np.diag(ridge), full.T @ (weight * (p - y)) + ridge * w)
+    got = toxicity.logistic_fit(rows, cols, np.zeros((80, 0)), y, 6, steps=20_000)
+    assert np.allclose(got, w, atol=1e-3)
+
+
+def test_threshold():
+    p, y = np.array([0.9, 0.8, 0.3, 0.2, 0.1]), np.array([1, 1, 0, 0, 0])
+    assert 0.3 < toxicity.best_threshold(p, y) < 0.8
+    assert toxicity.best_threshold(np.array([0.9, 0.5, 0.4, 0.1]), np.array([1, 0, 1, 0])) < 0.4
+    assert 0 < toxicity.best_threshold(np.full(4, 0.5), np.array([1, 1, 0, 1])) < 0.5
+
+
+def test_text_without_evidence_is_clean_and_names_may_clash(spark):
+    rows, labels = corpus(150, 6)
+    docs = docs_frame(spark, rows + [(9_000 + k, t) for k, t in enumerate([None, "", "qq rr ss", "unknown words only"])])
+    for extra in ("toxic", "l_id", "id", "feats", "p", "hits"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    model = toxicity.fit_chain(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, model).collect()}
+    assert found == {i for i, t in labels if t}
+    assert toxicity.clean_documents(docs, model).columns == docs.columns
