@@ -25,7 +25,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -243,7 +242,8 @@ class Tokens:
     A byte-level BPE never merges across a single space between two other characters, so
     such a text is the list of its space-separated pieces; the library encodes each distinct
     piece once, in bulk. Texts with other white space around a space, with an added token's
-    string, or for another kind of tokenizer, go through the library whole.
+    string, or for another kind of tokenizer, go through the library whole. Splitting, telling
+    pieces apart and putting their ids together are done a batch at a time, in Arrow and numpy.
     """
 
     MOST_PIECES = 1_500_000  # bounds the memory; the pieces are encoded again when it is passed
@@ -267,48 +267,91 @@ class Tokens:
         self.by_piece = (spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
                          and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
         added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s | \s", *map(re.escape, added)]))
+        white = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+        self.whole = "|".join([f"{white} | {white}", *map(re.escape, added)])
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.spaced = np.zeros(max(self.tok.get_vocab(with_added_tokens=True).values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.space = self._plain([" "])[0]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 50_000):
-            some = new[a:a + 50_000]
-            lines = [" " + " ".join(some[i:i + 500]) for i in range(0, len(some), 500)]
-            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in
-                                  self.tok.encode_batch_fast(lines, add_special_tokens=False)])
-            cut = np.flatnonzero(self.spaced[ids])
-            if len(cut) != len(some):
-                raise ValueError("this tokenizer doesn't keep pieces apart")
-            data, cut = ids.tobytes(), (cut * 4).tolist()
-            self.pieces.update(zip(some, (data[i:j] for i, j in zip(cut, [*cut[1:], len(data)]))))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the table of pieces: their ids end to end, and each piece's place in it, by kind (first of a text, later)."""
+        self.places: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.ids, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each with a space before it, end to end; ids of each."""
+        lines = [" " + " ".join(new[i:i + 500]) for i in range(0, len(new), 500)]
+        ids = np.concatenate(self._plain(lines))
+        cut = np.flatnonzero(self.spaced[ids])
+        if len(cut) != len(new):
+            raise ValueError("this tokenizer doesn't keep pieces apart")
+        return ids, np.diff(cut, append=len(ids))
+
+    def _add(self, known: dict[str, int], new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.size, self.ids = np.r_[self.size, sizes], np.r_[self.ids, ids]
+
+    def _places(self, pieces: list[str], later: bool) -> np.ndarray:
+        """Each distinct piece's place in the table; pieces that aren't there are encoded and added."""
+        known = self.places[later]
+        if later and "" not in known:   # between two spaces, or after the last
+            self._add(known, [""], space := self._plain([" "])[0], np.array([len(space)]))
+        get = known.get
+        out = np.array([get(p, -1) for p in pieces], dtype=np.int64)
+        new = [pieces[i] for i in np.flatnonzero(out < 0).tolist()]
+        if new:
+            start = len(self.size)
+            if later:
+                self._add(known, new, *self._spaced(new))
+            else:
+                coded = self._plain(new)
+                self._add(known, new, np.concatenate(coded), np.array([len(c) for c in coded], dtype=np.int64))
+            out[out < 0] = np.arange(start, len(self.size))
+        return out
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        offsets, values = lists.offsets.to_numpy(), lists.flatten()
+        offsets = offsets - offsets[0]
+        if len(self.size) > self.MOST_PIECES:
+            self._forget()
+        first = np.zeros(len(values), dtype=bool)
+        first[offsets[:-1]] = True
+        place = np.empty(len(values), dtype=np.int64)
+        for later in (False, True):
+            coded = values.filter(pa.array(first != later)).dictionary_encode()
+            place[first != later] = self._places(coded.dictionary.to_pylist(), later)[coded.indices.to_numpy()]
+        sizes = self.size[place]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[place] - (ends - sizes), sizes)]
+        return flat, np.add.reduceat(sizes, offsets[:-1])
+
+    def encode_flat(self, texts: pa.Array, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, ``tail`` after each, and each text's number of ids, tail included."""
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(n, dtype=bool)
+        whole = self._plain(texts.filter(pa.array(odd)).to_pylist())
+        sizes = np.zeros(n, dtype=np.int64)
+        sizes[odd] = [len(x) for x in whole]
+        flat = np.empty(0, "<u4")
+        if not odd.all():
+            flat, sizes[~odd] = self._by_pieces(texts.filter(pa.array(~odd)))
+        out = np.empty(int(sizes.sum()) + n * len(tail), dtype="<u4")
+        kind = np.repeat(np.c_[odd, np.full((n, len(tail)), 2)].ravel(), np.c_[sizes, np.ones((n, len(tail)), np.int64)].ravel())
+        out[kind == 0], out[kind == 1], out[kind == 2] = flat, np.concatenate([*whole, np.empty(0, "<u4")]), tail * n
+        return out, sizes + len(tail)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
-            return self._plain(texts)
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.whole.search(t)]
-        for i, b in zip(odd, self._plain([texts[i] for i in odd])):
-            out[i] = b
-        odd = set(odd)
-        split = [(i, t.split(" ")) for i, t in enumerate(texts) if i not in odd]
-        heads = self._plain([p[0] for _, p in split])
-        if len(self.pieces) > self.MOST_PIECES:
-            self.pieces.clear()
-        self.pieces.setdefault("", self.space)
-        known = self.pieces
-        self._learn([p for p in set(chain.from_iterable(p for _, p in split)) if p not in known])
-        get = known.__getitem__
-        for (i, p), head in zip(split, heads):
-            out[i] = head + b"".join(map(get, p[1:]))
-        return out
+        if not texts:
+            return []
+        flat, sizes = self.encode_flat(pa.array(texts, pa.string()), [])
+        return [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0,
@@ -327,7 +370,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         store.create_dir(base, recursive=True)
         part, piece, out, done = TaskContext.get().partitionId(), 0, None, []
         tok = Tokens.of(tokenizer)
-        tail = np.array([end_id], dtype="<u4").tobytes()
 
         def closed():
             path, n_ids, n_docs, size = out.close()
@@ -339,9 +381,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 b = a.stop
                 if out is None:
                     out = FileWriter(store, f"{base}/part-{part:06d}-{piece:04d}.s8b")
-                coded = [x + tail for x in tok.encode(texts[a].to_pylist())]
-                flat = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.uint64)
-                out.add(ids[a.start:b], np.array([len(x) // 4 for x in coded], dtype=np.int64), flat)
+                flat, sizes = tok.encode_flat(texts[a], [end_id])
+                out.add(ids[a.start:b], sizes, flat.astype(np.uint64))
                 if out.n_ids >= file_ids:
                     closed()
                     out, piece = None, piece + 1
