@@ -50,43 +50,49 @@ MANIFEST = "part int, piece int, path string, n_ids long, n_docs long, n_bytes l
 
 # ---------------------------------------------------------------- Simple-8b
 
+def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint64)
+    bits -= (bits > 0) & (ids >> (np.maximum(bits, 1) - np.uint64(1)) == 0)  # rounded up to a power of two
+    return bits.astype(np.uint8)
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, words of each block) of ``ids``, packed greedily, all blocks in step."""
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    nb = -(-n // BLOCK)
-    m = np.zeros((nb, BLOCK + 240), dtype=np.uint64)  # the margin pads a block's last word
+    nb, wide = -(-n // BLOCK), BLOCK + 240  # the margin pads a block's last word
+    m = np.zeros((nb, wide), dtype=np.uint64)
     flat = np.zeros(nb * BLOCK, dtype=np.uint64)
     flat[:n] = ids
     m[:, :BLOCK] = flat.reshape(nb, BLOCK)
     size = np.full(nb, BLOCK, dtype=np.int64)
     size[-1] = n - (nb - 1) * BLOCK
 
-    at = np.arange(BLOCK, dtype=np.int32)
-    choice = np.full((nb, BLOCK), len(SLOTS) - 1, dtype=np.int8)
-    ids2d, top = m[:, :BLOCK], int(ids.max())
+    m = m.ravel()
+    bits_of = bit_lengths(m)
+    choice = np.full(nb * wide, len(SLOTS) - 1, dtype=np.int8)
+    most, reach = bits_of, 1   # most bits of the next ``reach`` ids
     for s in [*range(len(SLOTS) - 2, 1, -1), 0]:  # from one id a word to many
         count, bits = SLOTS[s]
-        if top >> bits:
-            stop = np.where(ids2d >> np.uint64(bits) != 0, at, np.int32(1 << 30))
-            stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-            choice[stop - at >= count] = s
-        else:
-            choice[:] = s
-    if top >> 60:
-        choice[ids2d >> np.uint64(60) != 0] = ESCAPE
-
-    rows, starts, slots, steps = [], [], [], []
-    live, pos, step = np.arange(nb), np.zeros(nb, dtype=np.int64), 0
+        while reach < count:
+            by = min(reach, count - reach)
+            most, reach = np.maximum(most, np.r_[most[by:], np.zeros(by, np.uint8)]), reach + by
+        choice[most <= bits] = s
+    choice[bits_of > 60] = ESCAPE
+
+    rows, starts, slots = [], [], []
+    live, pos = np.arange(nb), np.arange(nb) * wide
+    end = pos + size
     while len(live):
-        s = choice[live, pos]
-        rows.append(live), starts.append(pos), slots.append(s), steps.append(np.full(len(live), step))
-        pos, step = pos + COUNT[s], step + 1
-        keep = pos < size[live]
-        live, pos = live[keep], pos[keep]
+        s = choice[pos]
+        rows.append(live), starts.append(pos), slots.append(s)
+        pos = pos + COUNT[s]
+        keep = pos < end[live]
+        if not keep.all():
+            live, pos = live[keep], pos[keep]
     row, start, slot = map(np.concatenate, (rows, starts, slots))
-    order = np.lexsort((np.concatenate(steps), row))
+    order = np.argsort(row.astype(np.uint16) if nb < 1 << 16 else row, kind="stable")  # block by block, in the order of the steps
     row, start, slot = row[order], start[order], slot[order]
     width = np.where(slot == ESCAPE, 2, 1)
     where = np.cumsum(width) - width
@@ -97,12 +103,12 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         head = np.uint64(int(s) << 60)
         if s == ESCAPE:
             words[where[own]] = head
-            words[where[own] + 1] = m[row[own], start[own]]
+            words[where[own] + 1] = m[start[own]]
         else:
             w = np.full(len(own), head, dtype=np.uint64)
             if bits:
                 for j in range(count):
-                    w |= m[row[own], start[own] + j] << np.uint64(j * bits)
+                    w |= m[start[own] + j] << np.uint64(j * bits)
             words[where[own]] = w
     return words, np.bincount(row, weights=width, minlength=nb).astype(np.int64)
 
@@ -328,7 +334,7 @@ class Tokens:
             place[first != later] = self._places(coded.dictionary.to_pylist(), later)[coded.indices.to_numpy()]
         sizes = self.size[place]
         ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[place] - (ends - sizes), sizes)]
+        flat = self.ids[np.arange(ends[-1], dtype=np.int32) + np.repeat((self.begin[place] - (ends - sizes)).astype(np.int32), sizes)]
         return flat, np.add.reduceat(sizes, offsets[:-1])
 
     def encode_flat(self, texts: pa.Array, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
