@@ -8,18 +8,30 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiforge.operators.rank import global_rank
+from kpiforge.staging import broadcast_if_small, staged
 
-def label_indexer(cols: Sequence[str], suffix: str = "_code") -> StringIndexer:
-    """ML1: codes in sorted label order (``LabelEncoder``); unseen labels kept."""
-    return StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols],
-                         stringOrderType="alphabetAsc", handleInvalid="keep")
+
+def sorted_dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(label, code) of a column's distinct labels in sorted order, codes from 0.
+
+    The labels are ranged over the tasks and numbered there (``global_rank``), so a column with
+    as many labels as rows never meets on the driver.
+    """
+    labels = df.select(F.col(f"`{col}`").cast("string").alias("label")).where("label IS NOT NULL").distinct()
+    return global_rank(labels, ["label"], into="code", name="dictionary")
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
-    """ML1 as a transform: adds integer ``<col>_code`` columns."""
-    model = label_indexer(cols, suffix).fit(df)
-    out = model.transform(df)
-    return out.withColumns({c + suffix: F.col(c + suffix).cast("int") for c in cols})
+    """ML1: adds integer ``<col>_code`` columns, codes in sorted label order (``LabelEncoder``).
+
+    A null label gets the code after the last one.
+    """
+    for c in cols:
+        codes = staged(sorted_dictionary(df, c), "codes").withColumnsRenamed({"label": "_label", "code": "_code"})
+        met = df.join(broadcast_if_small(codes), F.col(f"`{c}`").cast("string") == F.col("_label"), "left")
+        df = met.withColumn(c + suffix, F.coalesce("_code", F.lit(codes.count())).cast("int")).drop("_label", "_code")
+    return df
 
 
 def one_hot_stages(cols: Sequence[str]) -> list:

@@ -33,6 +33,7 @@ _reg("sc4_supplier_performance", "supply_chain", supply_chain.supplier_performan
      completed=testbed.SUPPLY_COMPLETED)
 _reg("sc5_analysis", "supply_chain", supply_chain.analysis)
 _reg("sc6_recent_orders", "supply_chain", supply_chain.recent_orders)
+_reg("ag2_medians", "supply_chain", supply_chain.cost_quantiles)
 
 # IT support
 _reg("it1_metrics", "it", it.metrics)
@@ -88,6 +89,7 @@ QUERIES["wi3_kpi_impacts"] = whatif.impact_table
 
 # models: deterministic parts (with SQL oracles)
 QUERIES["ml1_label_codes"] = models.label_codes
+QUERIES["ml1_part_name_codes"] = models.part_name_codes
 QUERIES["ml3_hr_zscores"] = models.hr_zscores
 QUERIES["ml4_split_counts"] = models.split_counts
 QUERIES["ml10_it_baseline_metrics"] = models.it_baseline_metrics

@@ -40,6 +40,11 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_encode(df, ["position", "department"])
 
 
+def part_name_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML1 on a column with as many labels as rows: codes of every part's name."""
+    return label_encode(Tables(spark, sf_dir)("part").select("p_partkey", "p_name"), ["p_name"])
+
+
 def hr_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML3: population z-scores of the HR numeric columns (rounded to 6)."""
     z = zscore(_hr(spark, sf_dir), HR_NUMERIC)

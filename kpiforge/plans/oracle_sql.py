@@ -666,3 +666,16 @@ FROM ({SQL['hr7_insight_records']})"""
 
 
 SQL["snk7_hr_report"] = _hr_report_sql()
+
+
+# ---------------------------------------------------------------- exact quantiles, dictionary codes
+SQL["ag2_medians"] = """WITH c AS (
+  SELECT l_extendedprice AS cost, p_type AS category, s_name AS supplier
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey),
+s AS (SELECT 'all' AS section, 'all' AS key, cost FROM c UNION ALL SELECT 'category', category, cost FROM c
+      UNION ALL SELECT 'supplier', supplier, cost FROM c)
+SELECT section, key, COUNT(cost) AS n, ROUND(quantile_cont(cost, 0.25), 6) AS lower_quartile, ROUND(median(cost), 6) AS median,
+       ROUND(quantile_cont(cost, 0.75), 6) AS upper_quartile
+FROM s WHERE key IS NOT NULL GROUP BY 1, 2 HAVING COUNT(cost) > 0"""
+SQL["ml1_part_name_codes"] = """SELECT p_partkey, p_name, CAST(DENSE_RANK() OVER (ORDER BY p_name) - 1 AS INTEGER) AS p_name_code
+FROM part"""

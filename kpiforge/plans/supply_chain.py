@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions import fmt_date, month_bucket, rate
-from kpiforge.operators.aggregate import mean_above_median
+from kpiforge.operators.aggregate import explode_sections, mean_above_median
 from kpiforge.operators.derive import delay_days, description
+from kpiforge.operators.quantiles import exact_quantiles
 from kpiforge.plans.common import MEAN_DIGITS, SUM_DIGITS, rmean, rsum
 
 # Fixed value of the reference: status that counts as completed (Q5).
@@ -103,3 +104,13 @@ def recent_orders(src, n: int = 10) -> DataFrame:
     return top.select(fmt_date("order_date").alias("date"), "category",
                       description("item", "supplier").alias("description"), amount.alias("amount"), "status")
 
+
+
+def cost_quantiles(src) -> DataFrame:
+    """AG2: median and quartiles of order cost, over all orders, by category and by supplier."""
+    df = explode_sections(src.frame("all_rows", "category", "supplier", "total_cost"),
+                          {"all": "all_rows", "category": "category", "supplier": "supplier"}, ["total_cost"])
+    q = exact_quantiles(df, ["section", "key"], "total_cost", (0.25, 0.5, 0.75))
+    at = lambda x: F.round(F.max(F.when(F.col("q") == x, F.col("quantile"))), 6)
+    return q.groupBy("section", "key").agg(F.first("n").alias("n"), at(0.25).alias("lower_quartile"), at(0.5).alias("median"),
+                                           at(0.75).alias("upper_quartile"))
