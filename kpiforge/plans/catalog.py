@@ -114,6 +114,8 @@ QUERIES["snk3_metrics_report"] = summary.metric_rows
 
 # model results that SQL can check
 QUERIES["ml11_supply_cluster_totals"] = models.supply_cluster_totals
+QUERIES["ml11_supply_lloyd_steps"] = models.supply_lloyd_steps
+QUERIES["ml12_group_silhouettes"] = models.hr_group_silhouettes
 QUERIES["ml14_supply_scatter_check"] = models.supply_scatter_check
 QUERIES["ml15_supply_cost_scores"] = models.supply_cost_scores
 

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.functions import month_bucket, weekday_mon0
-from kpiforge.ml import cluster, forest, search
+from kpiforge.ml import cluster, coreset, forest, search
 from kpiforge.ml.metrics import classification_report, regression_metrics
 from kpiforge.ml.oversample import oversample
 from kpiforge.ml.prepare import label_encode, zscore
+from kpiforge.ml.silhouette import silhouettes
 from kpiforge.ml.split import is_train
 from kpiforge.operators.derive import delay_days, efficiency_rate, total_active_time
 from kpiforge.sources import testbed
@@ -204,12 +205,14 @@ def transport_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+SUPPLY_COLS = ["quantity", "unit_cost"]
+LINE = ["order_key", "line_number", "quantity", "unit_cost"]
+
+
 def supply_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML11 + ML14: k=3 on quantity and unit cost -> (cluster, n)."""
-    df = testbed.supply_chain(spark, sf_dir).frame("quantity", "unit_cost")
-    data = cluster.assemble(df, ["quantity", "unit_cost"])
-    model = cluster.kmeans(data, 3)
-    return cluster.cluster_counts(model, data, df, ["quantity", "unit_cost"])
+    """ML11 + ML14: k=3 on quantity and unit cost -> (cluster, n, centres, mean squared distance); rows without a feature are cluster -1."""
+    df = testbed.supply_chain(spark, sf_dir).frame(*LINE)
+    return coreset.sizes(df, SUPPLY_COLS, coreset.fit(df, SUPPLY_COLS, LINE, [3])[3])
 
 
 def supply_cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,12 +221,22 @@ def supply_cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.sum("n").cast("long").alias("clustered"), F.count_if(F.col("n") <= 0).alias("empty"))
 
 
+def supply_lloyd_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML11 checked: three k-means steps over all lines from a start without random numbers; sizes, centres and cost."""
+    df = testbed.supply_chain(spark, sf_dir).frame(*SUPPLY_COLS)
+    centres = coreset.spread_start(df, SUPPLY_COLS, 3)
+    for _ in range(2):
+        centres = coreset.lloyd_step(df, SUPPLY_COLS, centres)
+    return coreset.sizes(df, SUPPLY_COLS, centres).where(F.col("cluster") != coreset.INVALID).select(
+        "cluster", "n", *[F.round(c, 4).alias(c) for c in ("centre_quantity", "centre_unit_cost", "mean_square")])
+
+
 def supply_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML14: quantity, unit cost and cluster of every line that has both."""
-    df = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "quantity", "unit_cost")
-    data = cluster.assemble(df, ["quantity", "unit_cost"])
-    return cluster.kmeans(data, 3).transform(data).select("order_key", "line_number", "quantity",
-                                                          F.round("unit_cost", 6).alias("unit_cost"), "cluster")
+    df = testbed.supply_chain(spark, sf_dir).frame(*LINE)
+    out = coreset.assign(df, SUPPLY_COLS, coreset.fit(df, SUPPLY_COLS, LINE, [3])[3])
+    return out.where(F.col("cluster") != coreset.INVALID).select(
+        "order_key", "line_number", "quantity", F.round("unit_cost", 6).alias("unit_cost"), "cluster")
 
 
 def supply_scatter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,32 +288,46 @@ def oversampled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.count_if(F.col("employee_id").startswith("synthetic-")).alias("synthetic"))
 
 
+HR_Z = [f"z_{c}" for c in HR_NUMERIC]
+
+
+def _hr_sweep(z: DataFrame) -> tuple[DataFrame, dict]:
+    """(k, n, silhouette, error_bound) for k = 2..5, and each k's centres."""
+    centres = coreset.fit(z, HR_Z, ["employee_id"], (2, 3, 4, 5))
+    for k, points in centres.items():
+        z = coreset.assign(z, HR_Z, points, f"k{k}")
+    found = silhouettes(z, HR_Z, [f"k{k}" for k in centres], ["employee_id"])
+    return found.select(F.substring("labelling", 2, 9).cast("int").alias("k"), "n", "silhouette", "error_bound"), centres
+
+
 def hr_cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML12: silhouette for k = 2..5 on the z-scored HR columns."""
+    """ML12: silhouette in Euclidean distance for k = 2..5 on the z-scored HR columns."""
+    return _hr_sweep(zscore(_hr(spark, sf_dir), HR_NUMERIC))[0]
+
+
+def hr_group_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML12 checked: how well departments and leavers are separated on the z-scored HR columns."""
     z = zscore(_hr(spark, sf_dir), HR_NUMERIC)
-    data = cluster.assemble(z, [f"z_{c}" for c in HR_NUMERIC])
-    return cluster.silhouette_sweep(data)
+    return silhouettes(z, HR_Z, ["department", "resigned"], ["employee_id"]).select(
+        "labelling", "groups", "n", F.round("silhouette", 6).alias("silhouette"), "error_bound")
 
 
 def hr_cluster_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML11 + ML13: best-k groups with 2-D PCA coordinates (plot-ready)."""
     z = zscore(_hr(spark, sf_dir), HR_NUMERIC)
-    data = cluster.assemble(z, [f"z_{c}" for c in HR_NUMERIC])
-    k = cluster.best_k(cluster.silhouette_sweep(data))
-    model = cluster.kmeans(data, k)
-    out = cluster.pca_2d(model.transform(data), ["employee_id", "cluster"])
-    return out
+    sweep, centres = _hr_sweep(z)
+    data = cluster.assemble(coreset.assign(z, HR_Z, centres[cluster.best_k(sweep)]), HR_Z)
+    return cluster.pca_2d(data, ["employee_id", "cluster"])
 
 
 def hr_tenure_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML18: k=4 groups on the z-scored HR columns plus days since hired (PRJ15)."""
     from kpiforge.functions import days_since
     from kpiforge.plans.hr import AS_OF
-    df = _hr(spark, sf_dir).withColumn("tenure_days", days_since("hired", AS_OF))
     cols = HR_NUMERIC + ["tenure_days"]
-    z = zscore(df, cols)
-    data = cluster.assemble(z, [f"z_{c}" for c in cols])
-    return cluster.cluster_counts(cluster.kmeans(data, 4), data, z, [f"z_{c}" for c in cols])
+    z = zscore(_hr(spark, sf_dir).withColumn("tenure_days", days_since("hired", AS_OF)), cols)
+    zs = [f"z_{c}" for c in cols]
+    return coreset.sizes(z, zs, coreset.fit(z, zs, ["employee_id"], [4])[4])
 
 
 def hr_salary_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

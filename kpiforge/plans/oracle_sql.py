@@ -679,3 +679,35 @@ SELECT section, key, COUNT(cost) AS n, ROUND(quantile_cont(cost, 0.25), 6) AS lo
 FROM s WHERE key IS NOT NULL GROUP BY 1, 2 HAVING COUNT(cost) > 0"""
 SQL["ml1_part_name_codes"] = """SELECT p_partkey, p_name, CAST(DENSE_RANK() OVER (ORDER BY p_name) - 1 AS INTEGER) AS p_name_code
 FROM part"""
+
+
+# ---------------------------------------------------------------- k-means steps, silhouettes
+def _lloyd_sql(steps: int = 3, k: int = 3) -> str:
+    """``steps - 1`` moves of the centres, then sizes and centres of the last assignment."""
+    out = [f"""x AS (SELECT l_quantity AS a, l_extendedprice / nullif(l_quantity, 0) AS b FROM lineitem),
+v AS (SELECT row_number() OVER () AS id, a::DOUBLE AS a, b::DOUBLE AS b FROM x WHERE a IS NOT NULL AND b IS NOT NULL),
+c0 AS (SELECT j AS i, avg(a) + (j - {(k - 1) / 2}) * stddev_pop(a) AS a, avg(b) + (j - {(k - 1) / 2}) * stddev_pop(b) AS b FROM v, range({k}) r(j) GROUP BY j)"""]
+    for t in range(1, steps + 1):
+        out.append(f"""g{t} AS (SELECT v.id, v.a, v.b, min({{'d': (v.a - c.a) ** 2 + (v.b - c.b) ** 2, 'i': c.i}}) AS g FROM v, c{t - 1} c GROUP BY v.id, v.a, v.b),
+c{t} AS (SELECT c.i, coalesce(avg(p.a), any_value(c.a)) AS a, coalesce(avg(p.b), any_value(c.b)) AS b, count(p.id) AS n, avg(p.g.d) AS d
+       FROM c{t - 1} c LEFT JOIN g{t} p ON p.g.i = c.i GROUP BY c.i)""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT i::INTEGER AS cluster, n, ROUND(a, 4) AS centre_quantity, ROUND(b, 4) AS centre_unit_cost, ROUND(d, 4) AS mean_square FROM c{steps} WHERE n > 0"""
+
+
+SQL["ml11_supply_lloyd_steps"] = _lloyd_sql()
+SQL["ml12_group_silhouettes"] = f"""WITH {HR},
+h AS (SELECT *, training_hours + overtime_hours - leave_days AS active_time FROM hr),
+z AS (SELECT employee_id, department, resigned::VARCHAR AS resigned, """ + ", ".join(
+    f"(CAST({c} AS DOUBLE) - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER () AS z{i}" for i, c in enumerate(_Z)) + """ FROM h),
+l AS (SELECT 'department' AS labelling, department AS label, * FROM z UNION ALL SELECT 'resigned', resigned, * FROM z),
+d AS (
+  SELECT x.labelling, x.employee_id, x.label, y.label AS other, COUNT(*) FILTER (x.employee_id <> y.employee_id) AS n,
+         SUM(sqrt(""" + " + ".join(f"(x.z{i} - y.z{i}) ** 2" for i in range(len(_Z))) + """)) AS s
+  FROM l x JOIN l y ON x.labelling = y.labelling WHERE x.label IS NOT NULL AND y.label IS NOT NULL GROUP BY 1, 2, 3, 4),
+p AS (
+  SELECT labelling, employee_id, MAX(s / nullif(n, 0)) FILTER (label = other) AS a, MIN(s / n) FILTER (label <> other) AS b
+  FROM d GROUP BY 1, 2)
+SELECT p.labelling, (SELECT COUNT(DISTINCT label) FROM l WHERE l.labelling = p.labelling)::INTEGER AS groups, COUNT(*) AS n,
+       ROUND(AVG(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, 0.0::DOUBLE AS error_bound
+FROM p GROUP BY 1"""
