@@ -1,64 +1,46 @@
-"""Synthetic minority oversampling (ML7) on a bounded training sample."""
+"""Synthetic minority oversampling (ML7) over the whole minority."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiforge.ml.neighbours import nearest_rows
+from kpiforge.operators.rank import global_rank
 from kpiforge.operators.topk import append_rows
 
-MAX_MINORITY = 20_000
 NEIGHBOURS = 5
 
 
-def oversample(train: DataFrame, id_col: str, label: str, numeric: Sequence[str], k: int = NEIGHBOURS,
-               max_minority: int = MAX_MINORITY, seed: int = 42) -> DataFrame:
+def oversample(train: DataFrame, id_col: str, label: str, numeric: Sequence[str], k: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
     """``train`` (id, label 0/1, numeric columns) with synthetic rows until both labels are equal.
 
-    Each synthetic row lies between a minority row and one of its ``k`` nearest
-    minority rows; which one, and where, follows from hashes of the row's number,
-    so any partitioning gives the same rows. ``max_minority`` bounds the minority
-    rows that serve as bases and neighbours (the smallest id hashes); they are sent
-    to the tasks, which search them exactly, block by block. Synthetic ids are
-    ``synthetic-<n>``; ids are text in the result.
+    Each synthetic row lies between a minority row and one of its ``k`` nearest minority rows
+    (``neighbours.nearest_rows``). Every minority row with all values is a base, and they take
+    turns: bases are numbered by id, synthetic row ``n`` belongs to base ``n`` modulo their number.
+    Which neighbour, and where between, follows from hashes of ``n``, so any partitioning gives the
+    same rows. Synthetic ids are ``synthetic-<n>``; ids are text in the result.
     """
     cols = [F.col(c).cast("double").alias(c) for c in numeric]
     rows = train.select(F.col(id_col).cast("string").alias(id_col), F.col(label).cast("int").alias(label), *cols)
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}   # two labels
+    counts = {r[label]: r["n"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}   # two labels
     if len(counts) < 2 or counts[0] == counts[1]:
         return rows
     minority = min(counts, key=counts.get)
     missing = counts[1 - minority] - counts[minority]
-    base = (rows.where(F.col(label) == minority).dropna(subset=list(numeric))
-            .orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(max_minority).toPandas())   # bounded
-    if base.empty:
+    bases = global_rank(nearest_rows(rows.where(F.col(label) == minority), id_col, numeric, k, seed=seed), ["id"], name="oversample-bases")
+    m = bases.count()
+    if not m:
         return rows
-    spark = train.sparkSession
-    points = spark.sparkContext.broadcast(base[list(numeric)].to_numpy(dtype=np.float64))
-    names = list(numeric)
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = points.value
-        for pdf in batches:
-            out = np.empty((len(pdf), x.shape[1]))
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a:a + 256]
-                at = part["n"].to_numpy() % len(x)
-                d = ((x[at][:, None, :] - x[None]) ** 2).sum(axis=2)
-                d[np.arange(len(at)), at] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :min(k, max(len(x) - 1, 1))]
-                other = x[near[np.arange(len(at)), part["pick"].to_numpy() % near.shape[1]]]
-                out[a:a + len(at)] = x[at] + part["weight"].to_numpy()[:, None] * (other - x[at])
-            yield pd.DataFrame(out, columns=names).assign(n=pdf["n"].to_numpy())
-
-    wanted = spark.range(missing).select(
-        F.col("id").alias("n"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)).alias("pick"),
-        (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("weight"))
-    made = wanted.mapInPandas(make, ", ".join(f"`{c}` double" for c in names) + ", n long")
-    made = made.select(F.concat(F.lit("synthetic-"), F.col("n").cast("string")).alias(id_col),
-                       F.lit(minority).alias(label), *names)
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(missing - 1) - F.col("place")) / m))
+    made = bases.where(F.col("place") < missing).select("v", "near", "place", F.explode(turns).alias("turn"))
+    made = made.withColumn("n", F.col("turn") * m + F.col("place"))
+    pick = F.pmod(F.xxhash64("n", F.lit(seed)), F.size("near")).cast("int")
+    weight = F.pmod(F.xxhash64("n", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    other = F.when(F.size("near") > 0, F.col("near")[pick]["v"]).otherwise(F.col("v"))   # a lone row is repeated
+    made = made.select("n", "v", other.alias("o"), weight.alias("w"))
+    made = made.select(F.concat(F.lit("synthetic-"), F.col("n").cast("string")).alias(id_col), F.lit(minority).alias(label),
+                       *[(F.col("v")[i] + F.col("w") * (F.col("o")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(numeric)])
     return append_rows(rows, made)

@@ -96,6 +96,7 @@ QUERIES["ml10_it_baseline_metrics"] = models.it_baseline_metrics
 QUERIES["ml9_supply_baseline_report"] = models.supply_baseline_report
 
 QUERIES["ml7_oversampled_counts"] = models.oversampled_counts
+QUERIES["ml7_minority_neighbours"] = models.minority_neighbours
 QUERIES["ml20_test_sides"] = models.test_sides
 
 # operational records
@@ -127,6 +128,7 @@ QUERIES["ml6_supply_cost_forest"] = models.supply_cost_forest
 QUERIES["ml6_sales_revenue_forest"] = models.sales_revenue_forest
 QUERIES["ml6_hr_performance_forest"] = models.hr_performance_forest
 QUERIES["ml8_hr_attrition_search"] = models.hr_attrition_search
+QUERIES["ml8_hr_attrition_oversampled"] = models.hr_attrition_oversampled
 QUERIES["ml17_transport_models"] = models.transport_models
 QUERIES["ml11_supply_clusters"] = models.supply_clusters
 QUERIES["ml12_hr_cluster_sweep"] = models.hr_cluster_sweep

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kpiforge.functions import month_bucket, weekday_mon0
 from kpiforge.ml import cluster, coreset, forest, search
 from kpiforge.ml.metrics import classification_report, regression_metrics
+from kpiforge.ml.neighbours import nearest_rows
 from kpiforge.ml.oversample import oversample
 from kpiforge.ml.prepare import label_encode, zscore
 from kpiforge.ml.silhouette import silhouettes
@@ -300,6 +301,36 @@ def _hr_sweep(z: DataFrame) -> tuple[DataFrame, dict]:
     return found.select(F.substring("labelling", 2, 9).cast("int").alias("k"), "n", "silhouette", "error_bound"), centres
 
 
+def minority_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML7 checked: the five nearest leavers of every leaver on the training side, which oversampling interpolates between."""
+    hr = _hr(spark, sf_dir).where(is_train("employee_id", SEED) & (F.col("resigned") == 1))
+    near = nearest_rows(hr, "employee_id", [c for c in HR_NUMERIC if c != "salary"])
+    return near.select(F.col("id").alias("employee_id"), F.posexplode("near").alias("rank", "near")).select(
+        "employee_id", (F.col("rank") + 1).alias("rank"), F.col("near.id").alias("neighbour_id"), F.round("near.d", 6).alias("distance"))
+
+
+def hr_attrition_oversampled(spark: SparkSession, sf_dir: str, resample_before_split: bool = False) -> DataFrame:
+    """ML5 + ML7: attrition forest on oversampled rows, codes and numbers alike, reported on the test side.
+
+    Only the training side is oversampled, unless ``resample_before_split`` (Q18) asks for the
+    reference's order, in which synthetic rows reach the test side.
+    """
+    feats = [c for c in HR_NUMERIC if c != "salary"]
+    hr = label_encode(_hr(spark, sf_dir), ["department", "position"])
+    hr = zscore(hr, feats, fit_on=hr.where(is_train("employee_id", SEED)))
+    cols = [f"z_{c}" for c in feats] + ["department_code", "position_code"]
+    rows = hr.select(F.col("employee_id").cast("string").alias("employee_id"), F.col("resigned").cast("int").alias("resigned"), *[F.col(c).cast("double").alias(c) for c in cols])
+    if resample_before_split:
+        rows = oversample(rows, "employee_id", "resigned", cols, seed=SEED)
+        train, test = (rows.where(side) for side in (is_train("employee_id", SEED), ~is_train("employee_id", SEED)))
+    else:
+        train, test = rows.where(is_train("employee_id", SEED)), rows.where(~is_train("employee_id", SEED))
+        train = oversample(train, "employee_id", "resigned", cols, seed=SEED)
+    rf = forest.classifier("resigned", num_trees=100, max_depth=5, seed=SEED)
+    model = forest.pipeline(cols, [], rf).fit(train)
+    return classification_report(model.transform(test), "resigned", "prediction")
+
+
 def hr_cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML12: silhouette in Euclidean distance for k = 2..5 on the z-scored HR columns."""
     return _hr_sweep(zscore(_hr(spark, sf_dir), HR_NUMERIC))[0]

@@ -711,3 +711,15 @@ p AS (
 SELECT p.labelling, (SELECT COUNT(DISTINCT label) FROM l WHERE l.labelling = p.labelling)::INTEGER AS groups, COUNT(*) AS n,
        ROUND(AVG(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, 0.0::DOUBLE AS error_bound
 FROM p GROUP BY 1"""
+
+
+# ---------------------------------------------------------------- neighbours that oversampling uses
+_N = [c for c in _Z if c != "salary"]
+SQL["ml7_minority_neighbours"] = f"""WITH {HR},
+h AS (SELECT *, training_hours + overtime_hours - leave_days AS active_time FROM hr),
+m AS (SELECT employee_id::VARCHAR AS id, """ + ", ".join(f"{c}::DOUBLE AS x{i}" for i, c in enumerate(_N)) + f"""
+      FROM h WHERE resigned = 1 AND {SPLIT.format(id='employee_id')}),
+d AS (SELECT a.id AS employee_id, b.id AS neighbour_id, sqrt(""" + " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(len(_N))) + """) AS distance
+      FROM m a JOIN m b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM d)
+SELECT employee_id, rank, neighbour_id, ROUND(distance, 6) AS distance FROM r WHERE rank <= 5"""
