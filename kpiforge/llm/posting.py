@@ -263,10 +263,14 @@ def _best(k: int, held: int = 32):
         ids = rows.field("ids")
         low = np.array([v[0].as_py() for v in ids], dtype=np.int64)
         approximate = q @ x.T
-        keep = min(k + 8, len(x))
-        near = np.argpartition(-approximate, keep - 1, axis=1)[:, :keep]
-        score = np.stack([np.add.reduce(np.ascontiguousarray(x[at] * vec), axis=1) for vec, at in zip(q, near)])
-        owner, place, score = np.repeat(np.arange(len(q)), keep), near.ravel(), score.ravel()
+        if len(x) > k:   # all that reach the k-th best, ties included; the margin covers rounding
+            margin = 1e-10 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+            least = np.partition(approximate, len(x) - k, axis=1)[:, len(x) - k] - margin
+            near = [np.flatnonzero(row >= at_least) for row, at_least in zip(approximate, least)]
+        else:
+            near = [np.arange(len(x))] * len(q)
+        owner, place = np.repeat(np.arange(len(q)), [len(at) for at in near]), np.concatenate(near)
+        score = np.concatenate([np.add.reduce(np.ascontiguousarray(x[at] * vec), axis=1) for vec, at in zip(q, near)])
         best = _top(owner, score, low[place], k)
         owner, place = owner[best], place[best]
         return pa.table([pa.array(owner), pa.array(low[place]), asks.field("key").take(pa.array(owner)),

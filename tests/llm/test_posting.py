@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,19 @@ def test_lists_are_balanced_and_the_walk_reaches_them_all():
     sizes = np.bincount(np.concatenate(index.places(x)), minlength=len(index.centroids))
     assert len(index.centroids) >= 32 and sizes.max() < 12 * sizes.mean()
     assert sorted(index.probe(x[0], 1e9)) == list(range(len(index.centroids)))
+
+
+def test_many_equal_products_give_the_smallest_ids():
+    rng = np.random.default_rng(2)
+    x = np.c_[np.ones(2_000), rng.normal(size=(2_000, 5))]   # distinct vectors, all with product 1
+    ids = rng.permutation(2_000)
+    entry = lambda vec, key, own: {"key": key, "vec": vec, "ids": own}
+    blocks = np.array_split(np.arange(2_000), 3)
+    vec_t, key_t, ids_t = pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64())
+    rows = [[entry(x[i].tolist(), str(i).encode(), [int(ids[i])]) for i in b] for b in blocks]
+    ask = [{"key": b"q", "vec": [1.0, 0, 0, 0, 0, 0]}]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int64()), pa.array([ask] * 3, pa.list_(pa.struct([("key", key_t), ("vec", vec_t)]))),
+         pa.array(rows, pa.list_(pa.struct([("key", key_t), ("vec", vec_t), ("ids", ids_t)])))], ["list", "ask", "asks", "rows"])
+    got = [i for out in posting._best(20)([batch]) for i in out.column(3).to_pylist()]
+    assert sorted(i for own in got for i in own) == list(range(20))
