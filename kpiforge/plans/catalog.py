@@ -107,6 +107,7 @@ QUERIES["prj13_scoped_customers"] = records.scoped_customers
 QUERIES["ag9_event_types"] = records.event_types
 QUERIES["so3_last_events"] = records.last_events
 QUERIES["src4_metrics_with_defaults"] = records.metrics_with_defaults
+QUERIES["src5_intake_manifest"] = records.intake_manifest
 QUERIES["snk7_hr_report"] = records.hr_report
 
 # summaries of all departments

@@ -723,3 +723,10 @@ d AS (SELECT a.id AS employee_id, b.id AS neighbour_id, sqrt(""" + " + ".join(f"
       FROM m a JOIN m b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM d)
 SELECT employee_id, rank, neighbour_id, ROUND(distance, 6) AS distance FROM r WHERE rank <= 5"""
+
+
+# ---------------------------------------------------------------- intake
+SQL["src5_intake_manifest"] = """SELECT event_type || '.csv' AS filename, event_type AS department,
+       COUNT(*) FILTER (coalesce(user_id % 50, 1) <> 0) AS accepted, COUNT(*) FILTER (user_id % 50 = 0) AS rejected,
+       COUNT(*) FILTER (coalesce(user_id % 50, 1) <> 0) AS stored, ROUND(SUM(value) FILTER (coalesce(user_id % 50, 1) <> 0), 2) AS hours
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""

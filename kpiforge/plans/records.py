@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from kpiforge.operators.derive import badge_class, scope_to, where_equals, yes_n
 from kpiforge.operators.joins import logs_with_users
 from kpiforge.operators.topk import last_n
 from kpiforge.plans.summary import build_summary
+from kpiforge.session import ensure_checkpoint_dir
 from kpiforge.sinks.summary import hr_report_tables
 from kpiforge.sources import testbed
+from kpiforge.sources.intake import ingest_dataset, read_manifest, read_uploads
 from kpiforge.sources.summary import with_default_metrics
 from kpiforge.sources.tables import Tables
 
@@ -87,3 +91,22 @@ def hr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, analysis = hr_report_tables(build_summary("hr", testbed.hr(spark, sf_dir)))
     return analysis.agg(F.count("*").alias("positions"), F.count("insight").alias("insights"),
                         F.count("recommendation").alias("recommendations"))
+
+
+def intake_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: ticket files of every event type are uploaded, one of them twice; per upload: rows accepted, rejected, readable, and their hours.
+
+    The files are the events as CSV; hours of users whose id 50 divides are text, so their rows are rejected.
+    """
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/intake-{uuid.uuid4().hex}"
+    events = Tables(spark, sf_dir)("events")
+    hours = F.when(F.col("user_id") % 50 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    tickets = events.select(F.col("event_id").alias("Employee ID"), F.col("event_type").alias("System Name"), hours.alias("Resolution Time (hrs)"))
+    types = [r.event_type for r in events.select("event_type").where("event_type IS NOT NULL").distinct().orderBy("event_type").collect()]   # a file for each
+    for kind in [*types, types[0]]:
+        path = f"{root}/inbox/{kind}.csv"
+        tickets.where(F.col("System Name") == kind).write.mode("overwrite").option("header", True).csv(path)
+        ingest_dataset(spark, path, "it", kind, f"{root}/store")
+    stored = read_uploads(spark, f"{root}/store", "it").groupBy("upload").agg(
+        F.count("*").alias("stored"), F.round(F.sum("Resolution Time (hrs)"), 2).alias("hours"))
+    return read_manifest(spark, f"{root}/store").join(stored, "upload").select("filename", "department", "accepted", "rejected", "stored", "hours")

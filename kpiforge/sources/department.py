@@ -15,6 +15,7 @@ from kpiforge.functions.dates import parse_dmy
 from kpiforge.operators.derive import yes_no_to_int
 from kpiforge.schemas import DEPARTMENTS, role_names
 from kpiforge.sources.binding import TableSource
+from kpiforge.sources.intake import read_uploads
 
 
 def read_department_csv(spark: SparkSession, department: str, path: str,
@@ -51,11 +52,13 @@ def to_roles(df: DataFrame, department: str) -> DataFrame:
 
 def read_department(spark: SparkSession, department: str, path: str,
                     fmt: str = "csv", **options) -> TableSource:
-    """SRC1: a department source for the packs, from CSV or Parquet."""
+    """SRC1: a department source for the packs, from CSV, Parquet, or the committed uploads under an intake root."""
     if fmt == "csv":
         df = read_department_csv(spark, department, path, **options)
     elif fmt == "parquet":
         df = to_roles(spark.read.parquet(path), department)
+    elif fmt == "uploads":
+        df = to_roles(read_uploads(spark, path, department), department)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     return TableSource(df, optional_roles(department))
