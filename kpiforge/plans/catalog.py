@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
-from kpiforge.plans import models, records, summary, whatif
+from kpiforge.plans import models, one_scan, records, summary, whatif
 from kpiforge.sources import testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,8 @@ QUERIES["snk7_hr_report"] = records.hr_report
 
 # summaries of all departments
 QUERIES["all3_summary_sections"] = summary.section_sizes
+QUERIES["all3_summary_values"] = one_scan.summary_values
+QUERIES["src3_refreshed_summary"] = one_scan.refreshed_summary
 QUERIES["snk3_metrics_report"] = summary.metric_rows
 
 # model results that SQL can check

@@ -730,3 +730,33 @@ SQL["src5_intake_manifest"] = """SELECT event_type || '.csv' AS filename, event_
        COUNT(*) FILTER (coalesce(user_id % 50, 1) <> 0) AS accepted, COUNT(*) FILTER (user_id % 50 = 0) AS rejected,
        COUNT(*) FILTER (coalesce(user_id % 50, 1) <> 0) AS stored, ROUND(SUM(value) FILTER (coalesce(user_id % 50, 1) <> 0), 2) AS hours
 FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
+
+
+# ---------------------------------------------------------------- summary rows with values
+def _metric_values(name: str) -> str:
+    return (f"SELECT 'metrics' AS section, metric AS name, NULL::VARCHAR AS key, value FROM "
+            f"(UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({SQL[name]})) ON COLUMNS(*) INTO NAME metric VALUE value)")
+
+
+def _values(section: str, name: str, query: str, key: str, value: str, where: str = "true") -> str:
+    return f"SELECT '{section}' AS section, {name} AS name, {key}::VARCHAR AS key, {value}::DOUBLE AS value FROM ({SQL[query]}) WHERE {where}"
+
+
+VALUES = {
+    "supply_chain": [
+        _metric_values("sc1_metrics"), _values("distributions", "section", "sc2_cost_distributions", "key", "total_cost"),
+        *[_values("performance", f"'{c}'", "sc4_supplier_performance", "supplier", c) for c in ("avg_delay", "total_cost", "completion_rate")],
+        *[_values("trends", f"'{c}'", "sc3_monthly_trends", "month", c) for c in ("monthly_cost", "monthly_delay")]],
+    "production": [
+        _metric_values("pr1_metrics"), _values("distributions", "section", "pr2_distributions", "key", "n"),
+        _values("performance", "section", "pr4_performance", "key", "avg_efficiency"), _values("trends", "'avg_efficiency'", "pr3_monthly_trends", "month", "avg_efficiency")],
+    "it": [
+        _metric_values("it1_metrics"), _values("distributions", "section", "it2_distributions", "key", "n"),
+        _values("performance", "section", "it4_performance", "key", "avg_resolution_time"),
+        _values("trends", "'avg_resolution_time'", "it3_monthly_trends", "month", "avg_resolution_time")],
+}
+SQL["all3_summary_values"] = "\nUNION ALL ".join(
+    f"SELECT '{d}' AS department, * FROM ({q})" for d, queries in VALUES.items() for q in queries)
+SQL["src3_refreshed_summary"] = "\nUNION ALL ".join(f"SELECT *, 1 AS refreshed FROM ({q})" for q in [
+    *VALUES["supply_chain"],
+    f"WITH {SC} SELECT 'performance' AS section, 'cost_deviation' AS name, supplier AS key, ROUND(STDDEV_POP(total_cost), 2) AS value FROM sc WHERE supplier IS NOT NULL GROUP BY supplier"])
