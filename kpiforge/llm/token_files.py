@@ -252,7 +252,7 @@ class Tokens:
     pieces apart and putting their ids together are done a batch at a time, in Arrow and numpy.
     """
 
-    MOST_PIECES = 1_500_000  # bounds the memory; the pieces are encoded again when it is passed
+    MOST_PIECES = 1_000_000  # bounds the memory; the pieces are encoded again when it is passed
 
     @classmethod
     def of(cls, path: str) -> Tokens:
