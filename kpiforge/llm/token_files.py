@@ -252,7 +252,7 @@ class Tokens:
     pieces apart and putting their ids together are done a batch at a time, in Arrow and numpy.
     """
 
-    MOST_PIECES = 1_000_000  # bounds the memory; the pieces are encoded again when it is passed
+    MOST_PIECES = 1_000_000  # bounds the memory; past it, pieces that came in one batch only are given up
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -284,6 +284,20 @@ class Tokens:
         """Empty the table of pieces: their ids end to end, and each piece's place in it, by kind (first of a text, later)."""
         self.places: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.ids, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.batches = np.empty(0, np.int32)   # in how many each piece came
+
+    def _trim(self) -> None:
+        """Keep the pieces that came again; none if they are too many, too."""
+        keep = self.batches > 1
+        if 2 * keep.sum() > self.MOST_PIECES:
+            return self._forget()
+        place = (np.cumsum(keep) - 1).tolist()
+        kept = keep.tolist()
+        self.places = tuple({p: place[i] for p, i in known.items() if kept[i]} for known in self.places)
+        sizes = self.size[keep]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.begin[keep] - (ends - sizes), sizes)]
+        self.begin, self.size, self.batches = ends - sizes, sizes, np.zeros(len(sizes), np.int32)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -301,6 +315,7 @@ class Tokens:
         known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
         self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(sizes) - sizes]
         self.size, self.ids = np.r_[self.size, sizes], np.r_[self.ids, ids]
+        self.batches = np.r_[self.batches, np.zeros(len(new), np.int32)]
 
     def _places(self, pieces: list[str], later: bool) -> np.ndarray:
         """Each distinct piece's place in the table; pieces that aren't there are encoded and added."""
@@ -318,6 +333,7 @@ class Tokens:
                 coded = self._plain(new)
                 self._add(known, new, np.concatenate(coded), np.array([len(c) for c in coded], dtype=np.int64))
             out[out < 0] = np.arange(start, len(self.size))
+        self.batches[out] += 1
         return out
 
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +341,7 @@ class Tokens:
         offsets, values = lists.offsets.to_numpy(), lists.flatten()
         offsets = offsets - offsets[0]
         if len(self.size) > self.MOST_PIECES:
-            self._forget()
+            self._trim()
         first = np.zeros(len(values), dtype=bool)
         first[offsets[:-1]] = True
         place = np.empty(len(values), dtype=np.int64)

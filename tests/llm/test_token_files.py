@@ -79,3 +79,15 @@ def test_pieces_equal_whole_texts(tokenizer):
 
 def test_empty_table(spark):
     assert token_files.encode_documents(docs_frame(spark, []), tokenizer_path()).count() == 0
+
+
+def test_pieces_that_are_given_up_are_encoded_again():
+    from tokenizers import Tokenizer
+
+    tok, tokenizer = token_files.Tokens(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    tok.MOST_PIECES = 60
+    for batch in range(12):
+        texts = [" ".join(f"common{k % 7} single{batch}x{k}" for k in range(batch % 5, 25)), f"Head{batch} of it ", " lead"]
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert tok.encode(texts) == want
+    assert len(tok.size) <= 120
