@@ -50,7 +50,12 @@ MANIFEST = "part int, piece int, path string, n_ids long, n_docs long, n_bytes l
 
 # ---------------------------------------------------------------- Simple-8b
 
+SHORT = np.array([i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    if ids.max(initial=0) < len(SHORT):
+        return SHORT[ids]
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint64)
     bits -= (bits > 0) & (ids >> (np.maximum(bits, 1) - np.uint64(1)) == 0)  # rounded up to a power of two
     return bits.astype(np.uint8)
@@ -364,6 +369,11 @@ class Tokens:
         if not odd.all():
             flat, sizes[~odd] = self._by_pieces(texts.filter(pa.array(~odd)))
         out = np.empty(int(sizes.sum()) + n * len(tail), dtype="<u4")
+        if not odd.any() and len(tail) == 1:
+            ids, ends = np.ones(len(out), dtype=bool), np.cumsum(sizes + 1) - 1
+            ids[ends] = False
+            out[ids], out[ends] = flat, tail[0]
+            return out, sizes + 1
         kind = np.repeat(np.c_[odd, np.full((n, len(tail)), 2)].ravel(), np.c_[sizes, np.ones((n, len(tail)), np.int64)].ravel())
         out[kind == 0], out[kind == 1], out[kind == 2] = flat, np.concatenate([*whole, np.empty(0, "<u4")]), tail * n
         return out, sizes + len(tail)
