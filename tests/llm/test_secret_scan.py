@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 import string
+from pydoc_data.topics import topics
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kpiforge.llm import secret_scan
@@ -49,6 +51,68 @@ def test_random_strings_are_found_and_structured_ones_are_not(spark):
     assert sum("random" in got[100 + k] for k in range(60)) == 0
 
 
+PROSE = [t[at:at + 4000] for _, t in sorted(topics.items()) for at in range(0, len(t), 4000)]   # English text
+
+
+def test_ordinary_model_by_hand():
+    text = "ab/ab é\nQ"
+    counts = secret_scan.pair_counts(text.encode()).reshape(secret_scan.STATES, -1)
+    at = lambda c: secret_scan.SYMBOLS.find(c) if c in secret_scan.SYMBOLS else secret_scan.STATES - 1
+    assert counts[at("a"), at("b")] == 2 and counts[at("b"), at("/")] == 1 and counts[at("/"), at("a")] == 1
+    assert counts[at("b"), at(" ")] == 1 and counts[at(" "), at("Q")] == 1 and counts.sum() == len(text.encode()) - 1
+    model = secret_scan.ordinary_model(counts)
+    assert np.allclose(np.exp(model).sum(axis=1), 1)
+    long = ("xyz /" * 900_000).encode()   # more than a chunk
+    assert secret_scan.pair_counts(long).sum() == len(long) - 1
+
+
+def test_e_values_of_ordinary_draws_average_at_most_one():
+    rng = np.random.default_rng(3)
+    model = secret_scan.ordinary_model(secret_scan.pair_counts("\n".join(PROSE).encode()))
+    letters, p = [secret_scan.SYMBOLS.index(c) for c in string.ascii_lowercase], np.exp(model)
+    small = 0
+    for _ in range(400):   # lower-case strings drawn from the model
+        x = [secret_scan.STATES - 1]
+        while len(x) < 25:
+            w = p[x[-1], letters]
+            x.append(letters[rng.choice(26, p=w / w.sum())])
+        small += secret_scan.oddness("".join(secret_scan.SYMBOLS[c] for c in x[1:]), "lower", model) >= secret_scan.grid_p(0.05)
+    assert small <= 0.05 * 400
+    keys = ["".join(rng.choice(list(string.ascii_letters), 24)) for _ in range(50)]
+    assert min(secret_scan.oddness(k, "letters", model) for k in keys) > secret_scan.grid_p(1e-6)
+
+
+def test_letters_alone_and_what_known_spans_leave_of_a_run_are_tested(spark):
+    rng = random.Random(5)
+    draw = lambda alpha, n: "".join(rng.choice(alpha) for _ in range(n))
+    rows, at = [], {}
+    for i in range(200):
+        digest, key = draw("0123456789abcdef", 40), draw(string.ascii_letters, 32)
+        if i % 2:
+            rows.append((i, f"see {key} there"))
+            at[i] = (4, 36)
+        else:   # an upper-case letter first, so that the digest ends at the slash
+            rows.append((i, f"see {digest}/Z{key} there"))
+            at[i] = (45, 78)
+    prose = ["internationalization", "getElementsByTagNameAndClassNameInDocument", "the/quick/brown/fox/jumps/over/the/lazy/dogs",
+             "counterrevolutionaries", "electroencephalographically"]
+    rows += [(300 + k, f"see {prose[k % 5]} there") for k in range(200)]
+    rows += [(1000 + k, t) for k, t in enumerate(PROSE)]
+    got = {r.doc_id: r for r in secret_scan.find_secrets(docs_frame(spark, rows)).collect()}
+    hit = [f"random:{a}:{b}" in got[i].spans.split(",") for i, (a, b) in at.items()]
+    assert sum(hit[1::2]) >= 90 and sum(hit[::2]) >= 90
+    assert all(got[i].n_hex == 1 for i in range(0, 200, 2)) and sum(got[i].confirmed for i in range(0, 200, 2)) >= 90
+    assert sum("random" in got[300 + k].spans for k in range(200)) <= 10
+
+
+def test_parts_outside_known_spans():
+    text = "x" * 25 + "/" + "y" * 30 + "-" + "z" * 19
+    assert secret_scan.uncovered(text, [(0, 76)], []) == [(0, 76)]
+    assert secret_scan.uncovered(text, [(0, 76)], [(26, 2, 56)]) == [(0, 25)]
+    assert secret_scan.uncovered(text, [(0, 76)], [(0, 0, 25), (10, 2, 20)]) == [(26, 76)]
+    assert secret_scan.uncovered(text, [(0, 25), (26, 56)], [(0, 0, 60)]) == []
+
+
 def test_benjamini_hochberg_by_band(spark):
     rng = random.Random(2)
     ps = [rng.random() ** 4 for _ in range(300)]
