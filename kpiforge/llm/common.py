@@ -88,6 +88,14 @@ def packed(df: DataFrame, **columns) -> DataFrame:
                      *(c.alias(k) for k, c in columns.items()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words (letters, digits, underscore) of a whole text; null has none."""
     return WORD.findall(text.lower()) if text else []

@@ -21,7 +21,8 @@ Equal texts are one node with many rows. Only nodes are sketched, compared and l
 
 Defined cases: a null text is an empty one; texts of fewer than five words are in a class with
 equal texts only; a class's id is its smallest document id, null if it has none; repeated rows
-are rows of one class; empty tables give empty results.
+are rows of one class; empty tables give empty results. Texts of any length are taken whole, and
+columns beside the id and text may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import broadcast_if_small, per_batch, release, ship_package, staged, words
+from kpiforge.llm.common import broadcast_if_small, free_name, per_batch, release, ship_package, staged, words
 from kpiforge.llm.tiling import WordHashes, rolling
 
 K = 5
@@ -337,15 +338,16 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     .where("NOT stays OR rows > 1"), "omh-judged")
     row = (F.col(f"`{id_col}`").cast("long"), node_of(F.col(f"`{text_col}`")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    j_id, j_node = free_name(docs, "_j_id"), free_name(docs, "_j_node")
 
     def match(side: DataFrame, how: str) -> DataFrame:
-        side = broadcast_if_small(side.select(F.col("id").alias("_j_id"), F.col("node").alias("_j_node")), 200_000)
-        return docs.join(side, row[0].eqNullSafe(F.col("_j_id")) & (row[1] == F.col("_j_node")), how)
+        side = broadcast_if_small(side.select(F.col("id").alias(j_id), F.col("node").alias(j_node)), 200_000)
+        return docs.join(side, row[0].eqNullSafe(F.col(j_id)) & (row[1] == F.col(j_node)), how)
 
     again = judged.where("stays")  # the row that stays occurs more than once: all but one of its equals go
     kept = match(judged, "left_anti").select(*columns)
     if again.limit(1).count():
         same = match(again, "left_semi")
-        kept = kept.union(same.withColumn("_j_node", row[1]).withColumn("_j_id", row[0])
-                          .dropDuplicates(["_j_id", "_j_node"]).select(*columns))
+        kept = kept.union(same.withColumn(j_node, row[1]).withColumn(j_id, row[0])
+                          .dropDuplicates([j_id, j_node]).select(*columns))
     return kept

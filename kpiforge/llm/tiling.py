@@ -14,7 +14,8 @@ passages cost their length, not its square.
 
 Defined cases: null and empty texts, and items of fewer than ``SEED_WORDS`` words, match
 nothing; repeated documents (equal ids included) are each judged; repeated items with one id
-count as alternatives of that item; with an empty benchmark every document is clean.
+count as alternatives of that item; with an empty benchmark every document is clean. Texts of any
+length are tiled whole; columns beside the id and text may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import broadcast_if_small, per_batch, staged, words
+from kpiforge.llm.common import broadcast_if_small, free_name, per_batch, staged, words
 
 SEED_WORDS = 5
 TABLE_BITS = 1 << 23
@@ -274,7 +275,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
     Rows are matched by a hash of id and text, so equal or null ids don't drag others along.
     """
-    bad = contaminated(docs, items, threshold, id_col=id_col, text_col=text_col, **options).select(F.col("key").alias("_bad"))
+    key = free_name(docs, "_bad")
+    bad = contaminated(docs, items, threshold, id_col=id_col, text_col=text_col, **options).select(F.col("key").alias(key))
     bad = broadcast_if_small(staged(bad, "tile-bad"))
-    return (docs.join(bad, row_key(id_col, text_col) == F.col("_bad"), "left_anti")
+    return (docs.join(bad, row_key(id_col, text_col) == F.col(key), "left_anti")
             .select(*(F.col(f"`{c}`") for c in docs.columns)))

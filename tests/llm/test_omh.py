@@ -122,3 +122,10 @@ def test_blocks_of_a_mixed_bucket_meet_each_other(spark, monkeypatch):
     rows = [(k, " ".join(edited(w, 2 + k % 3, k))) for k in range(120)]
     got = {r.id: r.class_id for r in omh.near_duplicates(docs_frame(spark, rows)).collect()}
     assert got == brute_classes(rows)
+
+
+def test_columns_of_any_name_stay(spark):
+    d = docs_frame(spark, [(1, sentence(40)), (1, sentence(40)), (2, sentence(40)), (3, sentence(40, 100))])
+    d = d.withColumns({"_j_id": F.lit(1), "_J_node": F.lit("k"), "node": F.lit(3)})
+    kept = omh.one_per_class(d)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -84,3 +84,9 @@ def test_odd_rows(spark):
     none = items_frame(spark, [])
     assert tiling.clean_documents(d, none).count() == len(rows)
     assert tiling.clean_documents(docs_frame(spark, []), items).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    d = docs_frame(spark, [(1, sentence(40)), (2, sentence(40, 100))]).withColumns({"_bad": F.lit(1), "key": F.lit("k"), "id": F.lit(3)})
+    kept = tiling.clean_documents(d, items_frame(spark, [(9, sentence(40))]))
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
