@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORE_ROWS = 20_000
@@ -98,6 +98,19 @@ def fit(df: DataFrame, cols: Sequence[str], ids: Sequence[str], ks: Sequence[int
     return {r.k: np.array(r.best.centres).reshape(-1, len(names)) for r in best}
 
 
+def save_centres(centres: dict[int, np.ndarray], path: str) -> None:
+    """Centres as a table (k, cluster, centre)."""
+    rows = [(int(k), i, [float(v) for v in c]) for k, points in centres.items() for i, c in enumerate(points)]
+    SparkSession.active().createDataFrame(rows, "k int, cluster int, centre array<double>").coalesce(1).write.parquet(path)
+
+
+def load_centres(path: str) -> dict[int, np.ndarray]:
+    out: dict[int, list] = {}
+    for r in SparkSession.active().read.parquet(path).orderBy("k", "cluster").collect():   # one row for each centre
+        out.setdefault(r.k, []).append(r.centre)
+    return {k: np.array(points) for k, points in out.items()}
+
+
 # ---------------------------------------------------------------- all rows
 
 def _gaps(cols: Sequence[str], centres: np.ndarray) -> Column:

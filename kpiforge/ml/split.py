@@ -12,10 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def split_bucket(id_col: Column | str, seed: int = 42) -> Column:
+def hash_part(id_col: Column | str, seed: int, parts: int) -> Column:
+    """A number from 0 to ``parts`` - 1 that depends on the id and the seed only."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     h = F.md5(F.concat_ws("|", c.cast("string"), F.lit(str(seed))))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(100))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(parts))
+
+
+def split_bucket(id_col: Column | str, seed: int = 42) -> Column:
+    return hash_part(id_col, seed, 100)
 
 
 def is_train(id_col: Column | str, seed: int = 42, train_pct: int = 80) -> Column:

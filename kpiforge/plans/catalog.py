@@ -97,6 +97,8 @@ QUERIES["ml9_supply_baseline_report"] = models.supply_baseline_report
 
 QUERIES["ml7_oversampled_counts"] = models.oversampled_counts
 QUERIES["ml7_minority_neighbours"] = models.minority_neighbours
+QUERIES["ml8_search_folds"] = models.search_folds
+QUERIES["ml8_search_choice"] = models.search_choice
 QUERIES["ml20_test_sides"] = models.test_sides
 
 # operational records
@@ -122,6 +124,7 @@ QUERIES["ml11_supply_lloyd_steps"] = models.supply_lloyd_steps
 QUERIES["ml12_group_silhouettes"] = models.hr_group_silhouettes
 QUERIES["ml14_supply_scatter_check"] = models.supply_scatter_check
 QUERIES["ml15_supply_cost_scores"] = models.supply_cost_scores
+QUERIES["snk8_model_reuse"] = models.model_reuse
 
 # models: fits (shape-checked only)
 QUERIES["ml5_supply_delay_forest"] = models.supply_delay_forest
@@ -131,6 +134,7 @@ QUERIES["ml6_supply_cost_forest"] = models.supply_cost_forest
 QUERIES["ml6_sales_revenue_forest"] = models.sales_revenue_forest
 QUERIES["ml6_hr_performance_forest"] = models.hr_performance_forest
 QUERIES["ml8_hr_attrition_search"] = models.hr_attrition_search
+QUERIES["ml8_hr_performance_search"] = models.hr_performance_search
 QUERIES["ml8_hr_attrition_oversampled"] = models.hr_attrition_oversampled
 QUERIES["ml17_transport_models"] = models.transport_models
 QUERIES["ml11_supply_clusters"] = models.supply_clusters

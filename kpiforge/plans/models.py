@@ -7,20 +7,28 @@ depend on Spark ML's random initialisation and are checked by shape.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.functions import month_bucket, weekday_mon0
-from kpiforge.ml import cluster, coreset, forest, search
+from kpiforge.ml import cluster, coreset, forest, halving, search
 from kpiforge.ml.metrics import classification_report, regression_metrics
 from kpiforge.ml.neighbours import nearest_rows
 from kpiforge.ml.oversample import oversample
 from kpiforge.ml.prepare import label_encode, zscore
 from kpiforge.ml.silhouette import silhouettes
 from kpiforge.ml.split import is_train
+from kpiforge.ml.store import ModelStore
 from kpiforge.operators.derive import delay_days, efficiency_rate, total_active_time
+from kpiforge.session import ensure_checkpoint_dir
 from kpiforge.sources import testbed
 from kpiforge.sources.tables import Tables
+from kpiforge.staging import staged
 
 HR_NUMERIC = ["salary", "performance", "training_hours", "leave_days", "overtime_hours",
               "active_time"]
@@ -125,16 +133,26 @@ def supply_delay_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep
 
 
+COST_FEATURES = ["quantity", "unit_cost", "delay"]
+
+
+def _supply_cost(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PipelineModel]:
+    """Lines with the cost model's features, and the model: fitted once for a table, then taken from the store."""
+    df = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "quantity", "unit_cost", "total_cost",
+                                                   "order_date", "delivery_date")
+    df = df.select(F.concat_ws("-", "order_key", "line_number").alias("rid"), "quantity", "unit_cost",
+                   delay_days("delivery_date", "order_date").alias("delay"), F.col("total_cost").cast("double").alias("total_cost"))
+    train = df.where(is_train("rid", SEED))
+    rf = {"num_trees": 100, "max_depth": 8, "seed": SEED}
+    pipe = forest.pipeline(COST_FEATURES, [], forest.regressor("total_cost", **rf))
+    model, _ = ModelStore(spark).fit_once("supply_cost", train, rf, lambda: pipe.fit(train))
+    return df, model
+
+
 def supply_cost_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML6: total cost from quantity, unit cost and delay."""
-    df = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "quantity",
-                                                   "unit_cost", "total_cost", "order_date",
-                                                   "delivery_date")
-    df = df.withColumns({"delay": delay_days("delivery_date", "order_date"),
-                         "rid": F.concat_ws("-", "order_key", "line_number")})
-    _, m = forest.fit_evaluate_regression(df, "rid", "total_cost",
-                                          ["quantity", "unit_cost", "delay"], max_depth=8)
-    return m
+    df, model = _supply_cost(spark, sf_dir)
+    return regression_metrics(model.transform(df.where(~is_train("rid", SEED))), "total_cost", "prediction")
 
 
 def sales_revenue_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +202,47 @@ def hr_attrition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classification_report(best.transform(test), "label", "prediction")
 
 
+SEARCH_GRID = [{"num_trees": t, "max_depth": d, "min_instances": m} for t, d, m in ((100, 3, 1), (100, 5, 2), (150, 5, 1), (150, 3, 2))]
+
+
+def hr_performance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML6 + ML8: performance forest by successive halving (r2, three folds); every rung's scores, then rung 9: r2 on the test side."""
+    feats = [c for c in HR_NUMERIC if c != "performance"]
+    hr = _hr(spark, sf_dir)
+    df = zscore(hr, feats, fit_on=hr.where(is_train("employee_id", SEED))).select(
+        "employee_id", "performance", "department", "position", "resigned", *[f"z_{c}" for c in feats])
+    model, table = halving.forest_search(df.where(is_train("employee_id", SEED)), "employee_id", "performance",
+                                         [f"z_{c}" for c in feats] + ["resigned"], ["department", "position"], SEARCH_GRID, seed=SEED)
+    test = regression_metrics(model.transform(df.where(~is_train("employee_id", SEED))), "performance", "prediction")
+    return table.unionByName(test.select(F.lit(9).alias("rung"), F.lit(None).cast("int").alias("candidate"), F.lit("test side").alias("params"),
+                                         F.lit(1.0).alias("share"), F.col("r2").alias("score"), F.lit(True).alias("kept")))
+
+
+def search_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8 checked: employees that every rung of the search scores in each fold."""
+    rows = halving.dealt(_hr(spark, sf_dir).where(is_train("employee_id", SEED)), "employee_id", SEED)
+    out = [halving.at_rung(rows, s).groupBy("fold").agg(F.lit(s).alias("share"), F.count("*").alias("n")) for s in halving.RUNGS]
+    return reduce(DataFrame.unionByName, out)
+
+
+MEAN_BY = ["resigned", "department", "position", "leave_days", "training_hours"]
+
+
+def search_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML8 checked: the search chooses among predictions without random numbers (mean performance by one column)."""
+    hr = _hr(spark, sf_dir).where(is_train("employee_id", SEED))
+    rows = staged(halving.dealt(hr, "employee_id", SEED).select(F.col("performance").cast("double").alias("label"), "fold", "part", *MEAN_BY), "search-rows")
+
+    def means(candidate, share, fitted, scored):
+        by = candidate["by"]
+        found = fitted.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.avg("label").alias("_mean"))
+        overall = fitted.agg(F.avg("label")).scalar()
+        return scored.join(found, F.col(by) == F.col("_by"), "left").withColumn("prediction", F.coalesce("_mean", overall))
+
+    _, table = halving.search(rows, [{"by": c} for c in MEAN_BY], means, "regression")
+    return table.select("rung", "candidate", "params", "share", F.round("score", 6).alias("score"), "kept")
+
+
 def transport_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML17: delivery time, fuel and maintenance models; metrics in original units (Q9)."""
     df = testbed.transport(spark, sf_dir).frame("employee_id", "deliveries", "condition",
@@ -213,13 +272,37 @@ LINE = ["order_key", "line_number", "quantity", "unit_cost"]
 def supply_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML11 + ML14: k=3 on quantity and unit cost -> (cluster, n, centres, mean squared distance); rows without a feature are cluster -1."""
     df = testbed.supply_chain(spark, sf_dir).frame(*LINE)
-    return coreset.sizes(df, SUPPLY_COLS, coreset.fit(df, SUPPLY_COLS, LINE, [3])[3])
+    return coreset.sizes(df, SUPPLY_COLS, _supply_centres(df))
+
+
+def _supply_centres(df: DataFrame) -> np.ndarray:
+    """The three centres of the lines: fitted once for a table, then taken from the store."""
+    found, _ = ModelStore(df.sparkSession).fit_once(
+        "supply_clusters", df, {"ks": [3], "seeds": list(coreset.SEEDS), "size": coreset.CORE_ROWS},
+        lambda: coreset.fit(df, SUPPLY_COLS, LINE, [3]), coreset.save_centres, coreset.load_centres)
+    return found[3]
+
+
+def _cost(sizes: DataFrame) -> float:
+    return sizes.agg(F.sum(F.col("n") * F.col("mean_square"))).first()[0] or 0.0
 
 
 def supply_cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML11 checked: rows in all clusters (the invalid group included), and the table's rows."""
-    counts = supply_clusters(spark, sf_dir)
-    return counts.agg(F.sum("n").cast("long").alias("clustered"), F.count_if(F.col("n") <= 0).alias("empty"))
+    """ML11 checked: rows in all clusters and empty ones; whether the fit costs at most 2 % more than k-means
+    steps over all lines, from a start of their own and from the fit's centres; and whether every centre is the
+    mean of its rows (within 5 % of a column's deviation)."""
+    df = testbed.supply_chain(spark, sf_dir).frame(*LINE)
+    centres = _supply_centres(df)
+    own = coreset.sizes(df, SUPPLY_COLS, centres).persist()
+    steps = coreset.spread_start(df, SUPPLY_COLS, 3)
+    for _ in range(3):
+        steps = coreset.lloyd_step(df, SUPPLY_COLS, steps)
+    onward = coreset.lloyd_step(df, SUPPLY_COLS, centres)
+    least = min(_cost(coreset.sizes(df, SUPPLY_COLS, c)) for c in (steps, onward))
+    spread = df.agg(*[F.stddev_pop(c) for c in SUPPLY_COLS]).first()
+    moved = max((abs(a - b) / (s or 1.0) for old, new in zip(centres, onward) for a, b, s in zip(old, new, spread)), default=0.0)
+    return own.agg(F.sum("n").cast("long").alias("clustered"), F.count_if(F.col("n") <= 0).alias("empty"),
+                   F.lit(_cost(own) <= 1.02 * least).alias("cheap"), F.lit(moved <= 0.05).alias("centred"))
 
 
 def supply_lloyd_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,27 +318,52 @@ def supply_lloyd_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supply_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML14: quantity, unit cost and cluster of every line that has both."""
     df = testbed.supply_chain(spark, sf_dir).frame(*LINE)
-    out = coreset.assign(df, SUPPLY_COLS, coreset.fit(df, SUPPLY_COLS, LINE, [3])[3])
+    out = coreset.assign(df, SUPPLY_COLS, _supply_centres(df))
     return out.where(F.col("cluster") != coreset.INVALID).select(
         "order_key", "line_number", "quantity", F.round("unit_cost", 6).alias("unit_cost"), "cluster")
 
 
 def supply_scatter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML14 checked: rows, quantity sum and rows without a cluster."""
-    return supply_scatter(spark, sf_dir).agg(
-        F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"),
-        F.count_if(F.col("cluster").isNull() | ~F.col("cluster").between(0, 2)).alias("unclustered"))
+    """ML14 checked: rows, quantity sum, rows without a cluster, and whether the groups explain over half of the spread."""
+    rows = supply_scatter(spark, sf_dir)
+    ss = reduce(lambda a, b: a + b, [F.var_pop(c) * F.count(c) for c in SUPPLY_COLS])
+    groups = rows.groupBy("cluster").agg(ss.alias("inner")).agg(F.sum("inner")).scalar()
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"),
+                    F.count_if(F.col("cluster").isNull() | ~F.col("cluster").between(0, 2)).alias("unclustered"),
+                    (groups < 0.5 * ss).alias("separated"))
 
 
 def supply_cost_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML15/ML16 checked: the cost model scores every line; rows, and rows without a prediction."""
-    df = testbed.supply_chain(spark, sf_dir).frame("order_key", "line_number", "quantity", "unit_cost",
-                                                   "total_cost", "order_date", "delivery_date")
-    df = df.withColumns({"delay": delay_days("delivery_date", "order_date"),
-                         "rid": F.concat_ws("-", "order_key", "line_number")})
-    model, _ = forest.fit_evaluate_regression(df, "rid", "total_cost", ["quantity", "unit_cost", "delay"], max_depth=8)
-    return forest.score(model, df, ["rid"]).agg(F.count("*").alias("n"),
-                                                F.count_if(F.col("prediction").isNull()).alias("missing"))
+    """ML15/ML16 checked: the stored cost model scores every line. Rows, rows without a prediction; whether predictions
+    stay in the range of the costs it was fitted on, explain 90 % of the test side's variance, and have its mean within 1 %."""
+    df, model = _supply_cost(spark, sf_dir)
+    side, cost = is_train("rid", SEED), F.col("total_cost")
+    rows = forest.score(model, df, ["rid", "total_cost"]).select("total_cost", "prediction", side.alias("train"))
+    test, err = ~F.col("train"), cost - F.col("prediction")
+    on = lambda cond, x: F.when(cond, x)
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("prediction").isNull()).alias("missing"),
+        ((F.min("prediction") >= F.min(on(F.col("train"), cost)) - 0.01) & (F.max("prediction") <= F.max(on(F.col("train"), cost)) + 0.01)).alias("in_range"),
+        (F.sum(on(test, err * err)) < 0.1 * F.var_pop(on(test, cost)) * F.count(on(test, cost))).alias("accurate"),
+        (F.abs(F.avg(on(test, F.col("prediction"))) / F.avg(on(test, cost)) - 1) < 0.01).alias("unbiased"))
+
+
+def model_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK8: what a fresh store fits and what it reuses: the lines' centres asked for again, in other partitions,
+    with another k, with one line's quantity changed, and the first ones once more."""
+    df = testbed.supply_chain(spark, sf_dir).frame(*LINE)
+    first = df.agg(F.min(F.struct("order_key", "line_number")).alias("m")).first().m
+    other = df.withColumn("quantity", F.when((F.col("order_key") == first.order_key) & (F.col("line_number") == first.line_number),
+                                             F.col("quantity") + 1).otherwise(F.col("quantity")))
+    store = ModelStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}")
+    rows = []
+    for i, (step, data, k) in enumerate([("first", df, 3), ("again", df, 3), ("other partitions", df.repartition(7), 3),
+                                         ("other k", df, 4), ("a line changed", other, 3), ("first again", df, 3)]):
+        centres, reused = store.fit_once("lines", data, {"k": k}, lambda: coreset.fit(data, SUPPLY_COLS, LINE, [k]),
+                                         coreset.save_centres, coreset.load_centres)
+        rows.append((i, step, reused, len(centres[k]), store.log().count()))
+    return spark.createDataFrame(rows, "step int, what string, reused boolean, centres int, fits long").withColumn(
+        "lines", df.agg(F.count("*")).scalar())
 
 
 def test_sides(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -607,10 +607,51 @@ SQL["snk3_metrics_report"] = "\nUNION ALL ".join(
     for d, s in SECTIONS.items())
 
 # ---------------------------------------------------------------- model results that SQL can check
-SQL["ml11_supply_cluster_totals"] = "SELECT COUNT(*) AS clustered, CAST(0 AS BIGINT) AS empty FROM lineitem"
-SQL["ml14_supply_scatter_check"] = """SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS quantity,
-       CAST(0 AS BIGINT) AS unclustered FROM lineitem WHERE l_quantity <> 0 AND l_extendedprice IS NOT NULL"""
-SQL["ml15_supply_cost_scores"] = "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS missing FROM lineitem"
+SQL["ml11_supply_cluster_totals"] = "SELECT COUNT(*) AS clustered, CAST(0 AS BIGINT) AS empty, TRUE AS cheap, TRUE AS centred FROM lineitem"
+SQL["ml14_supply_scatter_check"] = """SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS quantity, CAST(0 AS BIGINT) AS unclustered, TRUE AS separated
+FROM lineitem WHERE l_quantity <> 0 AND l_extendedprice IS NOT NULL"""
+SQL["ml15_supply_cost_scores"] = """SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS missing, TRUE AS in_range, TRUE AS accurate, TRUE AS unbiased
+FROM lineitem"""
+SQL["snk8_model_reuse"] = """SELECT step, what, reused, centres, CAST(fits AS BIGINT) AS fits, (SELECT COUNT(*) FROM lineitem) AS lines
+FROM (VALUES (0, 'first', FALSE, 3, 1), (1, 'again', TRUE, 3, 1), (2, 'other partitions', TRUE, 3, 1), (3, 'other k', FALSE, 4, 2),
+             (4, 'a line changed', FALSE, 3, 3), (5, 'first again', TRUE, 3, 3)) v(step, what, reused, centres, fits)"""
+
+
+def _hash_sql(seed: int, parts: int) -> str:
+    return f"CAST(('0x' || substr(md5(CAST(employee_id AS VARCHAR) || '|{seed}'), 1, 8)) AS BIGINT) % {parts}"
+
+
+def _search_rows_sql() -> str:
+    from kpiforge.ml.halving import FOLDS, PARTS, RUNGS
+
+    rungs = ", ".join(f"({i}, CAST({s} AS DOUBLE))" for i, s in enumerate(RUNGS))
+    return f"""{HR},
+d AS (SELECT *, CAST({_hash_sql(43, FOLDS)} AS INTEGER) AS fold, {_hash_sql(44, PARTS)} AS part FROM hr WHERE {SPLIT.format(id='employee_id')}),
+e AS (SELECT * FROM d JOIN (VALUES {rungs}) r(rung, share) ON part < ROUND(share * {PARTS}))"""
+
+
+def _search_choice_sql() -> str:
+    """Mean by one column over the other folds; r2 a fold; three, two, one candidates go on."""
+    from kpiforge.plans.models import MEAN_BY
+
+    by = ", ".join(f"CAST({c} AS VARCHAR)" for c in MEAN_BY)
+    names = ", ".join(f"({i}, 'by={c}')" for i, c in enumerate(MEAN_BY))
+    kept = "ROW_NUMBER() OVER (ORDER BY ROUND(score, 9) DESC NULLS LAST, c)"
+    return f"""WITH {_search_rows_sql()},
+g AS (SELECT rung, share, fold, CAST(performance AS DOUBLE) AS label, unnest(range({len(MEAN_BY)})) AS c, unnest([{by}]) AS v FROM e WHERE performance IS NOT NULL),
+t AS (SELECT rung, c, v, fold, SUM(label) AS s, COUNT(*) AS n FROM g GROUP BY ALL),
+o AS (SELECT rung, c, v, fold,
+             CASE WHEN v IS NOT NULL THEN (SUM(s) OVER w - s) / NULLIF(SUM(n) OVER w - n, 0) END AS own,
+             (SUM(s) OVER a - SUM(s) OVER f) / NULLIF(SUM(n) OVER a - SUM(n) OVER f, 0) AS overall
+      FROM t WINDOW w AS (PARTITION BY rung, c, v), a AS (PARTITION BY rung, c), f AS (PARTITION BY rung, c, fold)),
+p AS (SELECT g.*, COALESCE(own, overall) AS p FROM g JOIN o ON g.rung = o.rung AND g.c = o.c AND g.fold = o.fold AND g.v IS NOT DISTINCT FROM o.v),
+x AS (SELECT rung, share, c, AVG(s) AS score FROM (
+        SELECT rung, share, c, fold, 1.0 - SUM((label - p) * (label - p)) / (VAR_POP(label) * COUNT(*)) AS s FROM p GROUP BY ALL) GROUP BY ALL),
+k0 AS (SELECT *, {kept} <= 3 AS kept FROM x WHERE rung = 0),
+k1 AS (SELECT *, {kept} <= 2 AS kept FROM x WHERE rung = 1 AND c IN (SELECT c FROM k0 WHERE kept)),
+k2 AS (SELECT *, {kept} <= 1 AS kept FROM x WHERE rung = 2 AND c IN (SELECT c FROM k1 WHERE kept))
+SELECT rung, CAST(k.c AS INTEGER) AS candidate, params, share, ROUND(score, 6) AS score, kept
+FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2) k JOIN (VALUES {names}) y(c, params) ON k.c = y.c"""
 
 
 def _side_sql(job: str, table: str, rid: str, label: str) -> str:
@@ -634,6 +675,9 @@ SQL["ml7_oversampled_counts"] = f"""WITH {HR},
 t AS (SELECT resigned, COUNT(*) AS n FROM hr WHERE {SPLIT.format(id='employee_id')} AND resigned IS NOT NULL GROUP BY 1)
 SELECT resigned, (SELECT MAX(n) FROM t) AS n, (SELECT MAX(n) FROM t) - n AS synthetic FROM t"""
 
+SQL["ml8_search_folds"] = f"WITH {_search_rows_sql()} SELECT fold, share, COUNT(*) AS n FROM e GROUP BY ALL"
+SQL["ml8_search_choice"] = _search_choice_sql()
+
 # ---------------------------------------------------------------- operational records
 SQL["jn3_audit_log"] = """SELECT event_id, c_name AS user_name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at,
        TRY_CAST(regexp_replace(props, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS amount
