@@ -116,6 +116,7 @@ QUERIES["snk7_hr_report"] = records.hr_report
 QUERIES["all3_summary_sections"] = summary.section_sizes
 QUERIES["all3_summary_values"] = one_scan.summary_values
 QUERIES["src3_refreshed_summary"] = one_scan.refreshed_summary
+QUERIES["snk1_summary_documents"] = summary.documents
 QUERIES["snk3_metrics_report"] = summary.metric_rows
 
 # model results that SQL can check

@@ -704,9 +704,12 @@ UNION ALL SELECT 'none', 0, 0.0, 4.2"""
 def _hr_report_sql() -> str:
     from kpiforge.operators.insights import RECOMMENDATIONS
 
-    n = len(RECOMMENDATIONS["hr"])
-    return f"""SELECT GREATEST(COUNT(*), {n}) AS positions, COUNT(*) AS insights, CAST({n} AS BIGINT) AS recommendations
-FROM ({SQL['hr7_insight_records']})"""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    said = ", ".join(f"({i}, {quoted(r[0] + ': ' + r[1])})" for i, r in enumerate(RECOMMENDATIONS["hr"], 1))
+    return f"""SELECT 'metrics' AS sheet, 0 AS position, metric AS name, ROUND(value, 4) AS value, NULL::VARCHAR AS insight, NULL::VARCHAR AS recommendation
+FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({SQL['hr1_metrics']})) ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL SELECT 'analysis', COALESCE(i.idx, r.idx), NULL, NULL, i.title || ': ' || i.description, r.said
+FROM ({SQL['hr7_insight_records']}) i FULL JOIN (VALUES {said}) r(idx, said) ON i.idx = r.idx"""
 
 
 SQL["snk7_hr_report"] = _hr_report_sql()
@@ -801,6 +804,7 @@ VALUES = {
 }
 SQL["all3_summary_values"] = "\nUNION ALL ".join(
     f"SELECT '{d}' AS department, * FROM ({q})" for d, queries in VALUES.items() for q in queries)
+SQL["snk1_summary_documents"] = SQL["all3_summary_values"]
 SQL["src3_refreshed_summary"] = "\nUNION ALL ".join(f"SELECT *, 1 AS refreshed FROM ({q})" for q in [
     *VALUES["supply_chain"],
     f"WITH {SC} SELECT 'performance' AS section, 'cost_deviation' AS name, supplier AS key, ROUND(STDDEV_POP(total_cost), 2) AS value FROM sc WHERE supplier IS NOT NULL GROUP BY supplier"])

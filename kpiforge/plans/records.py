@@ -16,7 +16,7 @@ from kpiforge.operators.joins import logs_with_users
 from kpiforge.operators.topk import last_n
 from kpiforge.plans.summary import build_summary
 from kpiforge.session import ensure_checkpoint_dir
-from kpiforge.sinks.summary import hr_report_tables
+from kpiforge.sinks.summary import hr_report_tables, metric_values
 from kpiforge.sources import testbed
 from kpiforge.sources.intake import ingest_dataset, read_manifest, read_uploads
 from kpiforge.sources.summary import with_default_metrics
@@ -87,10 +87,17 @@ def metrics_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK7: the HR report's second sheet: positions with an insight, and with a recommendation."""
-    _, analysis = hr_report_tables(build_summary("hr", testbed.hr(spark, sf_dir)))
-    return analysis.agg(F.count("*").alias("positions"), F.count("insight").alias("insights"),
-                        F.count("recommendation").alias("recommendations"))
+    """SNK7: the HR report's rows: sheet 1 the metrics, sheet 2 insights and recommendations side by side."""
+    summary = build_summary("hr", testbed.hr(spark, sf_dir))
+    none = lambda t: F.lit(None).cast(t)
+    said = lambda c: F.concat_ws(": ", F.get_json_object(c, "$.title"), F.get_json_object(c, "$.description"))
+    sheet1 = metric_values(summary, "hr").select(
+        F.lit("metrics").alias("sheet"), F.lit(0).alias("position"), F.col("metric").alias("name"),
+        F.round(F.col("v").cast("double"), 4).alias("value"), none("string").alias("insight"), none("string").alias("recommendation"))
+    sheet2 = hr_report_tables(summary)[1].select(
+        F.lit("analysis").alias("sheet"), "position", none("string").alias("name"), none("double").alias("value"),
+        *[F.when(F.col(c).isNotNull(), said(c)).alias(c) for c in ("insight", "recommendation")])
+    return sheet1.unionByName(sheet2)
 
 
 def intake_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

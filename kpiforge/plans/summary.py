@@ -6,19 +6,23 @@ A summary is a long table
 
 built as a ``unionByName`` of every section of a department pack. Each
 section stays its own small aggregation job; the union is written once.
-Nothing is collected to the driver: the nested JSON document of the
-reference is one ``to_json`` per row of this table.
+Nothing is collected to the driver; ``sinks.summary`` writes the table, or
+one nested JSON document per department.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiforge.operators.insights import recommendations
 from kpiforge.plans import hr, it, marketing, production, sales, supply_chain, transport
+from kpiforge.session import ensure_checkpoint_dir
+from kpiforge.sinks.summary import metric_values, read_summary_documents, write_summary_documents
 from kpiforge.sources import testbed
 
 SUMMARY_SCHEMA = "department string, section string, name string, key string, value string"
@@ -53,14 +57,14 @@ def _recs(src, department: str) -> DataFrame:
                      "recommendations", key="idx")
 
 
-def _sections(department: str) -> list[Callable]:
-    d = department
+def _sections(department: str, completed: str | None = None) -> list[Callable]:
+    d, done = department, {"completed": completed} if completed else {}
     if d == "supply_chain":
         m = supply_chain
         return [lambda s: long_form(m.metrics(s), d, "metrics"),
                 lambda s: long_form(m.distributions(s), d, "distributions", "section", "key"),
                 lambda s: long_form(m.monthly_trends(s), d, "trends", key="month"),
-                lambda s: long_form(m.supplier_performance(s), d, "performance", key="supplier"),
+                lambda s: long_form(m.supplier_performance(s, **done), d, "performance", key="supplier"),
                 lambda s: long_form(m.analysis(s), d, "analysis"),
                 lambda s: long_form(m.recent_orders(s), d, "recent_orders",
                                     order=[F.desc("date"), F.asc("category"),
@@ -129,9 +133,9 @@ def _sections(department: str) -> list[Callable]:
     raise KeyError(department)
 
 
-def build_summary(department: str, src) -> DataFrame:
-    """ALL3: every section of one department as summary rows."""
-    parts = [fn(src) for fn in _sections(department)]
+def build_summary(department: str, src, completed: str | None = None) -> DataFrame:
+    """ALL3: every section of one department as summary rows. ``completed``: the status of a completed procurement, if not the usual one."""
+    parts = [fn(src) for fn in _sections(department, completed)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -155,11 +159,17 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK3: the metrics sections of the summaries as (department, metric, value) rows."""
     out = None
     for d in DEPARTMENTS:
-        src = testbed.SOURCES[d](spark, sf_dir)
-        m = {"supply_chain": supply_chain, "it": it, "production": production, "sales": sales,
-             "transport": transport, "hr": hr, "marketing": marketing}[d].metrics(src)
-        wide = m.select(*[F.col(c).cast("double").alias(c) for c in m.columns])
-        part = wide.unpivot([], wide.columns, "metric", "value").select(F.lit(d).alias("department"), "metric",
-                                                                       F.round("value", 4).alias("value"))
+        part = metric_values(build_summary(d, testbed.SOURCES[d](spark, sf_dir)), d).select(
+            F.lit(d).alias("department"), "metric", F.round(F.col("v").cast("double"), 4).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1: figures of the nested summary documents of supply chain, production and IT, written and read again."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    parts = [build_summary(d, testbed.SOURCES[d](spark, sf_dir), testbed.SUPPLY_COMPLETED) for d in ("supply_chain", "production", "it")]
+    write_summary_documents(reduce(DataFrame.unionByName, parts), root)
+    rows = read_summary_documents(spark, root).where(F.col("section").isin("metrics", "distributions", "trends", "performance"))
+    fields = rows.select("department", "section", "name", "key", F.explode(F.from_json("value", "map<string,string>")).alias("field", "v"))
+    return fields.select("department", "section", F.coalesce("name", "field").alias("name"), "key", F.col("v").cast("double").alias("value"))

@@ -1,5 +1,6 @@
 """Sources, sinks, summary store, intake, streaming intake, what-if."""
 
+import json
 import os
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from kpiforge.operators import whatif
 from kpiforge.plans.summary import build_summary
 from kpiforge.sinks.files import append_audit, log_predictions, write_predictions
-from kpiforge.sinks.summary import download_report, hr_report_tables, metrics_report, write_summary
+from kpiforge.sinks.summary import download_report, hr_report_tables, metrics_report, read_summary_documents, write_summary, write_summary_documents
 from kpiforge.sources.department import read_department
 from kpiforge.sources.intake import IntakeError, ingest_dataset, validate
 from kpiforge.sources.summary import get_or_build_summary, read_summary, with_default_metrics
@@ -51,6 +52,26 @@ def test_hr_report_side_by_side(spark, tmp_path):
     assert all(r.insight and r.recommendation for r in rows)
 
 
+def test_nested_documents_hold_the_summary(spark, tmp_path):
+    s = build_summary("it", read_department(spark, "it", fixtures.write(tmp_path, "it")))
+    odd = spark.createDataFrame([("hr", "trends", None, None, None), ("hr", "trends", 'a "quoted" name', "k\n2", '{"x": null, "y": [1]}')]
+                                + [("hr", "ranks", None, str(i), f'{{"n": {i}}}') for i in range(1, 13)], s.schema)
+    both = s.unionByName(odd)
+    parsed = lambda d: sorted(((r.department, r.section, r.name or "", r.key or "", r.value and json.loads(r.value)) for r in d.collect()), key=lambda r: r[:4])
+    for bound in (1000, 11):   # the ranks, and the distributions, lie beside the documents when 11 rows are the bound
+        root = str(tmp_path / f"documents{bound}")
+        write_summary_documents(both, root, max_rows=bound)
+        assert parsed(read_summary_documents(spark, root)) == parsed(both)
+        text = {r.department: json.loads(r.value) for r in spark.read.text(f"{root}/documents").collect()}
+        assert set(text) == {"it", "hr"} and text["it"]["sections"]["metrics"][0]["value"]["total_tickets"] == 6
+        if bound == 11:
+            assert text["hr"]["elsewhere"]["ranks"]["n"] == 12 and "ranks" not in text["hr"]["sections"]
+        else:
+            assert [i["value"]["n"] for i in text["hr"]["sections"]["ranks"]] == list(range(1, 13))
+    write_summary_documents(both.where("false"), str(tmp_path / "none"))
+    assert spark.read.schema("value string").text(str(tmp_path / "none" / "documents")).count() == 0
+
+
 def test_every_department_summary_builds(spark, tmp_path):
     for dept in ("supply_chain", "production", "sales", "transport", "marketing"):
         src = read_department(spark, dept, fixtures.write(tmp_path, dept))
