@@ -2,8 +2,16 @@
 
 Seeds are the five-word windows of the benchmark items. A bit table of fixed size (which
 seeds' hashes occur) goes to every task; a task keeps, of a whole text, only the windows whose
-hash hits it. Spark joins these with the seeds, so any benchmark size works, and gathers them
-per document and item. There, running Karp-Rabin finds the longest common run of words that
+hash hits it. Spark joins these with the seeds, so any benchmark size works.
+
+A pair is compared only if it can reach the coverage that counts: a tile of ``L`` windows covers
+``L + 4`` words, at most five a window, so covering ``threshold`` of an item of ``W`` words takes
+at least ``threshold * W / 5`` of its windows. All but one less than that, the rarest ones by the
+documents that hold them, index the item; a pair that shares none of these can't reach the
+threshold. So a stem that all items and documents share pairs nothing by itself. Pairs that are
+found get all their shared windows, and those with too few are dropped.
+
+The windows are gathered per document and item. There, running Karp-Rabin finds the longest common run of words that
 is still unmarked, marks it on both sides, and goes on with shorter ones, down to one seed.
 The marked share of the item is its coverage: it doesn't depend on the order in which the
 document holds the pieces, so passages put in another order count in full. A document that
@@ -23,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import broadcast_if_small, free_name, per_batch, staged, words
@@ -232,15 +240,43 @@ def _longest(a, a_at, free_a, b, b_at, free_b, most):
 PAIR = "id long, key long, item_id long, n_tiles int, longest int, covered int, n_words int, coverage double"
 
 
+def least_windows(n_words, least: float):
+    """Windows of an item of ``n_words`` words (a column) that a coverage of ``least`` takes; at least one."""
+    return F.greatest(F.lit(1), F.ceil(n_words * F.lit(least / SEED_WORDS) - 1e-9))
+
+
+def rarest_windows(item_seeds: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(seed, item_id, part): the windows of each item that every document covering ``least`` of it shares one of.
+
+    Of an item's windows, the ``least_windows - 1`` that most documents hold are left out, and those that none holds.
+    """
+    held = found.groupBy("seed").agg(F.count("*").alias("held"))
+    ranked = item_seeds.join(held, "seed").select("item_id", "part", "n_words", "seed", "held", F.size("at").alias("times"))
+    upto = Window.partitionBy("item_id", "part", "n_words").orderBy(F.desc("held"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    return (ranked.withColumn("upto", F.sum("times").over(upto)).where(F.col("upto") >= least_windows(F.col("n_words"), least))
+            .select("seed", "item_id", "part"))
+
+
 def coverage(docs: DataFrame, items: DataFrame, bits: int = TABLE_BITS, id_col: str = "doc_id", text_col: str = "text",
-             item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document (its id, and ``row_key``) and item with a shared seed: the tiles' coverage of the item."""
+             item_id: str = "item_id", item_text: str = "text", least: float = 0.0) -> DataFrame:
+    """Per document (its id, and ``row_key``) and item: the tiles' coverage of the item.
+
+    Holds every pair whose coverage is ``least`` or more, and may hold others with a shared seed; with 0, all of these.
+    """
     seeds = staged(seeds_of(items, item_id, item_text), "tile-seeds")
     table = seed_table(seeds, bits)
-    found = document_windows(docs, table, bits, id_col, text_col).dropDuplicates(["key", "seed"])  # repeated rows count once
-    item_seeds = seeds.groupBy("item_id", "part", "n_words", "seed").agg(F.collect_list("pos").alias("at"))
-    pairs = found.join(item_seeds, "seed").groupBy("id", "key", "item_id", "part", "n_words").agg(
-        F.collect_list(F.struct("seed", "places", "at")).alias("hits"))
+    found = staged(document_windows(docs, table, bits, id_col, text_col).dropDuplicates(["key", "seed"]),  # repeated rows count once
+                   "tile-found")
+    item_seeds = staged(seeds.groupBy("item_id", "part", "n_words", "seed").agg(F.collect_list("pos").alias("at")), "tile-items")
+    index = broadcast_if_small(staged(rarest_windows(item_seeds, found, least), "tile-index"))
+    met = found.select("key", "seed").join(index, "seed").select("key", "item_id", "part").distinct()
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  (a null id is an item, too)
+    item = F.concat_ws(":", one("item_id"), "part")
+    whole = broadcast_if_small(item_seeds.withColumn("item", item))
+    wanted = met.select("key", item.alias("item")).join(whole, "item").drop("item")
+    pairs = (found.join(wanted, ["key", "seed"]).groupBy("id", "key", "item_id", "part", "n_words").agg(
+        F.collect_list(F.struct("seed", "places", "at")).alias("hits"), F.sum(F.size("at")).alias("windows"))
+        .where(F.col("windows") >= least_windows(F.col("n_words"), least)))
 
     def run(batches):
         for batch in batches:
@@ -262,7 +298,7 @@ _PAIR_SCHEMA = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("item_id", p
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Per contaminated document: id, key, n_items (items covered to ``threshold``), best_item and its coverage."""
-    pairs = coverage(docs, items, **options).where(F.col("coverage") >= threshold)
+    pairs = coverage(docs, items, least=threshold, **options).where(F.col("coverage") >= threshold)
     best = F.max(F.struct("coverage", (-F.col("item_id")).alias("m"), "n_tiles")).alias("best")
     return (pairs.groupBy("id", "key").agg(F.countDistinct("item_id").alias("n_items"), best)
             .select("id", "key", "n_items", (-F.col("best.m")).alias("best_item"), F.col("best.coverage").alias("coverage"),

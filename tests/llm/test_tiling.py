@@ -90,3 +90,31 @@ def test_columns_of_any_name_stay(spark):
     d = docs_frame(spark, [(1, sentence(40)), (2, sentence(40, 100))]).withColumns({"_bad": F.lit(1), "key": F.lit("k"), "id": F.lit(3)})
     kept = tiling.clean_documents(d, items_frame(spark, [(9, sentence(40))]))
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_a_common_stem_pairs_nothing(spark):
+    """Every item and document starts with the same words; pairs are met only where enough is shared."""
+    stem = sentence(11, tag="stem")
+    items = [(k, stem + " " + sentence(60, k * 100, "i")) for k in range(30)]
+    docs = [(d, stem + " " + sentence(40, d * 100, "d")) for d in range(40)] + [(100, sentence(9, tag="x") + " " + items[7][1])]
+    met = tiling.coverage(docs_frame(spark, docs), items_frame(spark, items), least=0.5).collect()
+    assert [(r.id, r.item_id, r.coverage) for r in met] == [(100, 7, 1.0)]
+    every = tiling.coverage(docs_frame(spark, docs), items_frame(spark, items))
+    assert every.count() == 41 * 30 and every.where("covered = 11").count() == 41 * 30 - 1
+
+
+def test_every_pair_at_the_threshold_is_met(spark):
+    """Pieces of five to nine words in any order, some windows frequent: no pair of the threshold or more is lost."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"c{rng.randrange(12)}" if j % 20 < 8 else f"i{k}x{j}" for j in range(rng.randint(8, 60)))) for k in range(12)]
+    docs = []
+    for d in range(80):
+        w = items[d % 12][1].split()
+        parts = [w[c:c + rng.randint(5, 9)] for c in rng.sample(range(len(w)), min(5, len(w)))]
+        docs.append((d, " filler ".join(" ".join(p) for p in parts)))
+    frames = docs_frame(spark, docs), items_frame(spark, items)
+    for least in (0.2, 0.5, 0.9, 1.0):
+        pair = lambda r: (r.id, r.item_id, r.covered)
+        want = {pair(r) for r in tiling.coverage(*frames).where(F.col("coverage") >= least).collect()}
+        got = {pair(r) for r in tiling.coverage(*frames, least=least).where(F.col("coverage") >= least).collect()}
+        assert want and got == want
