@@ -802,9 +802,33 @@ VALUES = {
         _values("performance", "section", "it4_performance", "key", "avg_resolution_time"),
         _values("trends", "'avg_resolution_time'", "it3_monthly_trends", "month", "avg_resolution_time")],
 }
-SQL["all3_summary_values"] = "\nUNION ALL ".join(
-    f"SELECT '{d}' AS department, * FROM ({q})" for d, queries in VALUES.items() for q in queries)
-SQL["snk1_summary_documents"] = SQL["all3_summary_values"]
+ALL_VALUES = VALUES | {
+    "transport": [
+        _metric_values("tr1_metrics"), _values("distributions", "section", "tr2_distributions", "key", "n"),
+        _values("performance", "'by_vehicle_type'", "tr3_by_vehicle", "vehicle", "avg_delivery_time"),
+        _values("performance", "'monthly_trends'", "tr4_monthly_deliveries", "month", "deliveries"),
+        *[_values("trends", f"'{c}'", "tr6_monthly_service", "month", c) for c in ("avg_delivery_time", "avg_on_time_rate")]],
+    "hr": [
+        _metric_values("hr1_metrics"), _values("distributions", "section", "hr2_distributions", "key", "n"),
+        *[_values("department_insights", f"'{c}'", "hr3_department_insights", "department", c) for c in ("avg_performance", "attrition_rate")],
+        _values("trends", "'training'", "hr6_training_effectiveness", "NULL", "effectiveness")],
+    "marketing": [
+        _metric_values("mk1_metrics"),
+        *[f"SELECT section, '{c}' AS name, key::VARCHAR AS key, {c}::DOUBLE AS value FROM ({SQL['mk2_performance']})" for c in ("budget", "leads", "revenue", "roi")]],
+    "sales": [
+        f"SELECT section, name, key, CASE WHEN name = 'total_sales' THEN (WITH {SA} SELECT ROUND(SUM(revenue), 4) FROM sa) ELSE value END AS value FROM ({_metric_values('sa1_metrics')})",
+        _values("distributions", "section", "sa2_distributions", "key", "n"),
+        f"WITH {SA} SELECT 'trends' AS section, 'revenue' AS name, strftime(date, '%Y-%m') AS key, ROUND(SUM(revenue), 4) AS value FROM sa WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY 3",
+        f"WITH {SA}, {SA_GROUPED} SELECT 'performance' AS section, section AS name, key, ROUND(rev, 4) AS value FROM ranked WHERE rank <= 5"],
+}
+
+
+def _department_rows(values: dict[str, list[str]]) -> str:
+    return "\nUNION ALL ".join(f"SELECT '{d}' AS department, * FROM ({q})" for d, queries in values.items() for q in queries)
+
+
+SQL["all3_summary_values"] = _department_rows(ALL_VALUES)
+SQL["snk1_summary_documents"] = _department_rows(VALUES)
 SQL["src3_refreshed_summary"] = "\nUNION ALL ".join(f"SELECT *, 1 AS refreshed FROM ({q})" for q in [
     *VALUES["supply_chain"],
     f"WITH {SC} SELECT 'performance' AS section, 'cost_deviation' AS name, supplier AS key, ROUND(STDDEV_POP(total_cost), 2) AS value FROM sc WHERE supplier IS NOT NULL GROUP BY supplier"])

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, IntegralType
 
 
 class TableSource:
@@ -134,36 +135,40 @@ class StarSource:
 
         The fact is summed by the foreign key that leads to the section's
         dimension, in one scan and one aggregation for all sections; only the
-        sums meet the dimensions, one hop at a time, and are summed again by
-        the next key. So no raw row is shuffled on a dimension's key, and a hot
-        key is one row per task. Only what the measures read is joined first.
+        sums meet the names, in one join, and are summed again by them. Names by
+        foreign key come from the dimensions alone (an order's region, say). So
+        no raw row is shuffled on a dimension's key, and a hot key is one row
+        per task. Integer keys stay integers. Only what the measures read is
+        joined first.
         """
         base = self._needed(reads)
-        hops = {s: [d for d in self._needed([r]) if d not in base] for s, r in sections.items()}
-
-        def key_of(section: str) -> Column:
-            """The key by which the section's sums go on: the next foreign key, or the role itself."""
-            left = hops[section]
-            return F.col(self._dims[left[0]].on[0][0]) if left else self._roles[sections[section]].expr
-
         df = self._joined(base)
-        roles = [self._roles[r].expr.alias(r) for r in reads]
-        structs = [F.struct(F.lit(s).alias("section"), key_of(s).cast("string").alias("key")) for s in sections]
-        rows = df.select(F.inline(F.array(*structs)), *roles).where(F.col("key").isNotNull())
-        out = _sums(rows, measures)
-        while any(hops.values()):
-            key = F.col("key")
-            for s in [s for s, left in hops.items() if left]:
-                dim = self._dims[hops[s].pop(0)]
-                right = dim.load().select(F.col(dim.on[0][1]).cast("string").alias(f"_on_{s}"),
-                                          key_of(s).cast("string").alias(f"_to_{s}"))
-                if dim.broadcast:
-                    right = F.broadcast(right)
-                out = out.join(right, (F.col("section") == s) & (F.col("key") == F.col(f"_on_{s}")), "left")
-                key = F.when(F.col("section") == s, F.col(f"_to_{s}")).otherwise(key)
-            out = _sums(out.select("section", key.alias("key"), *measures).where(F.col("key").isNotNull()),
-                        {m: F.sum(m) for m in measures})
-        return out
+        hops = {s: [d for d in self._needed([r]) if d not in base] for s, r in sections.items()}
+        first = {s: self._dims[left[0]].on[0][0] for s, left in hops.items() if left}
+        integers = all(isinstance(df.schema[c].dataType, IntegralType) for c in first.values())
+        typed = lambda c: F.col(c).cast("long" if integers else "string")
+        none = F.lit(None)
+        structs = [F.struct(F.lit(i).alias("part"), (typed(first[s]) if s in first else none.cast("long" if integers else "string")).alias("fk"),
+                            (none.cast("string") if s in first else self._roles[r].expr.cast("string")).alias("key"))
+                   for i, (s, r) in enumerate(sections.items())]
+        rows = df.select(F.inline(F.array(*structs)), *[self._roles[r].expr.alias(r) for r in reads])
+        out = (rows.where(F.col("fk").isNotNull() | F.col("key").isNotNull()).groupBy("part", "fk", "key")
+               .agg(*[m.alias(name) for name, m in measures.items()]))
+        names = []
+        for i, (s, r) in enumerate(sections.items()):
+            if s in first:
+                dim, *rest = hops[s]
+                on = self._dims[dim].on[0][1]
+                named = self._joined(rest, self._dims[dim].load()).select(
+                    F.lit(i).alias("_part"), typed(on).alias("_fk"), self._roles[r].expr.cast("string").alias("_name"))
+                names.append(named.where(F.col("_name").isNotNull()))
+        section = F.element_at(F.array(*[F.lit(s) for s in sections]), F.col("part") + 1).alias("section")
+        if not names:
+            return out.select(section, "key", *measures)
+        named = reduce(DataFrame.unionByName, names)
+        out = out.join(named, (F.col("part") == F.col("_part")) & (F.col("fk") == F.col("_fk")), "left")
+        return _sums(out.select(section, F.coalesce("key", "_name").alias("key"), *measures).where(F.col("key").isNotNull()),
+                     {m: F.sum(m) for m in measures})
 
     def latest(self, date: str, n: int, roles: Sequence[str], ties: Sequence[Column | str] = (),
                keys: Sequence[str] = ()) -> DataFrame:
