@@ -168,7 +168,8 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1: figures of the nested summary documents of supply chain, production and IT, written and read again."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
-    parts = [build_summary(d, testbed.SOURCES[d](spark, sf_dir), testbed.SUPPLY_COMPLETED) for d in ("supply_chain", "production", "it")]
+    sources = testbed.stored_sources(spark, sf_dir, ("supply_chain", "production", "it"))
+    parts = [build_summary(d, src, testbed.SUPPLY_COMPLETED) for d, src in sources.items()]
     write_summary_documents(reduce(DataFrame.unionByName, parts), root)
     rows = read_summary_documents(spark, root).where(F.col("section").isin("metrics", "distributions", "trends", "performance"))
     fields = rows.select("department", "section", "name", "key", F.explode(F.from_json("value", "map<string,string>")).alias("field", "v"))
