@@ -148,8 +148,8 @@ DEPARTMENTS = ("supply_chain", "it", "production", "sales", "transport", "hr", "
 def section_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALL3: rows of every section of every department's summary."""
     out = None
-    for d in DEPARTMENTS:
-        part = build_summary(d, testbed.SOURCES[d](spark, sf_dir)).groupBy("department", "section").agg(
+    for d, src in testbed.stored_sources(spark, sf_dir, DEPARTMENTS).items():
+        part = build_summary(d, src).groupBy("department", "section").agg(
             F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -55,6 +55,15 @@ def test_documents_join_lines_with_orders_once(spark, tables, monkeypatch):
     assert asked.count("orders") == 1
 
 
+def test_all_departments_join_and_sum_orders_once(spark, tables, monkeypatch):
+    want = {d: lines(summary.build_summary(d, testbed.SOURCES[d](spark, tables))) for d in summary.DEPARTMENTS}
+    sources = testbed.stored_sources(spark, tables, summary.DEPARTMENTS)
+    assert {d: lines(summary.build_summary(d, src)) for d, src in sources.items()} == want
+    asked = counted(monkeypatch)
+    assert summary.section_sizes(spark, tables).count() > 0
+    assert asked.count("orders") == 3   # lines with orders, the order grain, campaigns
+
+
 def star(spark) -> StarSource:
     """Dimension keys that come twice, lack or are null, two hops."""
     fact = spark.createDataFrame([(k, f"own{i % 2}", float(i)) for i, k in enumerate([1, 1, 2, 3, None, 7, 2, 5])], "fk long, own string, x double")
