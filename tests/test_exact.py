@@ -37,6 +37,24 @@ def test_quantiles_equal_numpy(spark, kind, monkeypatch):
         assert n == len(vs) and (x == pytest.approx(want, rel=1e-12) or (np.isnan(want) and np.isnan(x)) or (lo == hi and np.isinf(lo)))
 
 
+def test_quantiles_store_only_rows_still_in_question(spark, monkeypatch):
+    stored = []
+
+    def recorded(df, name, keep=quantiles.staged):
+        out = keep(df, name)
+        if "v" in out.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "staged", recorded)
+    monkeypatch.setattr(quantiles, "FEW", 20, raising=False)
+    monkeypatch.setattr(quantiles, "SAMPLE", 400, raising=False)
+    df = spark.range(30_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 30_011).cast("double").alias("v"))
+    want = {(g, q): float(np.quantile(sorted(i * 7919 % 30_011 for i in range(g, 30_000, 2)), q)) for g in (0, 1) for q in (0.25, 0.5)}
+    assert {(r.g, r.q): r.quantile for r in exact_quantiles(df, ["g"], "v", (0.25, 0.5)).collect()} == want
+    assert len(stored) > 3 and stored[2] < stored[0] / 2 and stored[3] < stored[2] / 2   # all rows, all of large groups, those in ranges
+
+
 def test_quantiles_without_groups_or_rows(spark):
     df = spark.range(1_001).select(F.col("id").cast("double").alias("v"))
     assert [(r.n, r.quantile) for r in exact_quantiles(df, [], "v").collect()] == [(1_001, 500.0)]
